@@ -12,7 +12,9 @@ from ..runtime import table
 from .heavy_hitters import heavy_hitters
 from .mixing import mix
 from .packing import pack
+from .pii import find_pii, redact
 from .splitting import split_oversized
+from .syntax import check_files, fault_rates
 from .tokens import with_tokens
 
 SHARE = 0.005
@@ -50,6 +52,18 @@ def p3_top_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return heavy_hitters(node_stream(spark, sf)).withColumn("place", F.row_number().over(w)).where("place <= 100").select("field", F.col("value").alias("node"), "est_count", "total", "place")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return check_files(table(spark, sf, "converted_documents")).where("edit_cost > 0").select("source_path")
+
+
+def p5_files(spark: SparkSession, sf: str) -> DataFrame:
+    return check_files(table(spark, sf, "converted_documents"))
+
+
+def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return fault_rates(p5_files(spark, sf))
+
+
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return pack(with_tokens(table(spark, sf, "documents").select("doc_id", "text")).drop("text"))
 
@@ -72,8 +86,18 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = find_pii(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "person_lexicon"))
+    return found.select("doc_id", "kind", "start_pos").distinct()
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return redact(docs, find_pii(docs, table(spark, sf, "person_lexicon")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_top_nodes, p7_containers, p7_fill, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_top_nodes, p5_found, p5_files, p5_rates, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_redacted)}
 
 
 _NORM = r"trim(regexp_replace({}, '[\x00-\x1f\x7f\s]+', ' ', 'g'))"
