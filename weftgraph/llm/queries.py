@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import clean_nodes
 from ..runtime import table
+from .generated import not_by_hand
 from .heavy_hitters import heavy_hitters
 from .mixing import mix
 from .packing import pack
@@ -52,6 +53,14 @@ def p3_top_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return heavy_hitters(node_stream(spark, sf)).withColumn("place", F.row_number().over(w)).where("place <= 100").select("field", F.col("value").alias("node"), "est_count", "total", "place")
 
 
+def p4_files(spark: SparkSession, sf: str) -> DataFrame:
+    return not_by_hand(table(spark, sf, "converted_documents"), table(spark, sf, "library_files"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_files(spark, sf).where("kind <> ''").select("source_path")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return check_files(table(spark, sf, "converted_documents")).where("edit_cost > 0").select("source_path")
 
@@ -97,7 +106,7 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_top_nodes, p5_found, p5_files, p5_rates, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_top_nodes, p4_found, p4_files, p5_found, p5_files, p5_rates, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_redacted)}
 
 
 _NORM = r"trim(regexp_replace({}, '[\x00-\x1f\x7f\s]+', ' ', 'g'))"
