@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog import QUERIES as CATALOG
+from .catalog import SQL
 from .functions.names import clean_nodes
 from .operators.hierarchy import descendants, inherits_links, resolve_hierarchy
 from .operators.numbering import chunked_key_stats, distinct_per_key
@@ -60,7 +62,7 @@ def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {f.__name__: f for f in (p2_found, p2_key_stats, p6_found, p6_hierarchy, p6_descendants)}
-    return own
+    return CATALOG | own
 
 
 def _norm(x: str) -> str:
@@ -81,7 +83,7 @@ def oracle_sql() -> dict[str, str]:
         up AS (SELECT node, parent AS anc, 1 AS d, [node, parent] AS path FROM one
                UNION ALL SELECT u.node, o.parent, u.d + 1, list_append(u.path, o.parent) FROM up u JOIN one o ON u.anc = o.node WHERE NOT list_contains(u.path, o.parent)),
         ends AS (SELECT u.node, u.anc AS root, u.d, u.path FROM up u WHERE u.anc NOT IN (SELECT node FROM one))"""
-    return {
+    return SQL | {
         "p2_found": f"WITH {keys} SELECT field, key_value FROM k GROUP BY ALL HAVING count(*) >= 0.05 * (SELECT count(*) FROM hyperedges)",
         "p2_key_stats": f"""
             WITH {keys},
