@@ -59,18 +59,52 @@ _JS_OPEN_ENDS = frozenset("if else for while do var let const new typeof delete
 _GO_ENDS = frozenset(["NAME", "NUM", "STR", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"])
 
 
+_JS_STARTS = frozenset(["{", "++", "--", "@", "!", "~", "#"])
+_JS_ENDS = frozenset(["NAME", "NUM", "STR", ")", "]", "}", "++", "--"])
+_OPENING, _CLOSING = frozenset("([{"), frozenset(")]}")
+
+
 def lex(lang: str, text: str) -> list[tuple[str, int]]:
+    """(class, position) of every token."""
+    at: list[int] = []
+    return list(zip(classes(lang, text, at), at))
+
+
+def classes(lang: str, text: str, at: list[int] | None = None) -> list[str]:
+    """The token classes alone; ``at`` collects the positions where they are asked for."""
     if lang == "python":
-        return _python(text)
+        return _python(text, at)
     words = KEYWORDS[lang]
-    out: list[tuple[str, int]] = []
+    out: list[str] = []
+    put = out.append
+    mark = at.append if at is not None else None
+    if lang not in ("js", "ts", "go"):
+        for m in pattern(lang).finditer(text):
+            kind = m.lastindex
+            if kind is None:
+                continue
+            t = m.group()
+            if kind == 3:
+                put(t if t in words else "NAME")
+            elif kind == 5:
+                put(t)
+            elif kind == 4:
+                put("NUM")
+            elif kind == 2:
+                put("LIFE" if lang == "rust" and t[0] == "'" and t[-1:] != "'" else "STR")
+            else:
+                put("ERR")
+            if mark:
+                mark(m.start())
+        return out
+    go = lang == "go"
     line = -1  # a line end since the last token
-    auto = lang in ("js", "ts", "go")
     depth: list[str] = []
+    top = ""
     for m in pattern(lang).finditer(text):
         kind = m.lastindex
         if kind is None:
-            if auto and line < 0 and "\n" in m.group():
+            if line < 0 and m.group().find("\n") >= 0:
                 line = m.start()
             continue
         if kind == 1:
@@ -82,37 +116,43 @@ def lex(lang: str, text: str) -> list[tuple[str, int]]:
             c = t if t in words else "NAME"
         elif kind == 5:
             c = t
-        elif kind == 2:
-            c = "LIFE" if lang == "rust" and t[0] == "'" and t[-1:] != "'" else "STR"
         else:
-            c = "NUM" if kind == 4 else "ERR"
-        if line >= 0 and out:
-            prev = out[-1][0]
-            if lang == "go":
-                if prev in _GO_ENDS:
-                    out.append((";", line))
-            elif not depth or depth[-1] == "{":
-                ends = prev in ("NAME", "NUM", "STR", ")", "]", "}", "++", "--") or (prev[0].isalpha() and prev not in _JS_OPEN_ENDS)
-                starts = kind in (2, 3, 4) and c not in _JS_NOT_STARTS or c in ("{", "++", "--", "@", "!", "~", "#")
-                if ends and starts and not (kind == 2 and t[0] == "`"):
-                    out.append(("NL", line))
-            line = -1
-        elif line >= 0:
+            c = "STR" if kind == 2 else "NUM" if kind == 4 else "ERR"
+        if line >= 0:
+            if out:
+                prev = out[-1]
+                if go:
+                    if prev in _GO_ENDS:
+                        put(";")
+                        if mark:
+                            mark(line)
+                elif top == "" or top == "{":
+                    starts = kind < 5 and c not in _JS_NOT_STARTS or c in _JS_STARTS
+                    if starts and (prev in _JS_ENDS or (prev[0].isalpha() and prev not in _JS_OPEN_ENDS)) and not (kind == 2 and t[0] == "`"):
+                        put("NL")
+                        if mark:
+                            mark(line)
             line = -1
-        if kind == 5:
-            if t in "([{":
-                depth.append(t)
-            elif t in ")]}" and depth:
-                depth.pop()
-        out.append((c, m.start()))
-    if lang == "go" and out and out[-1][0] in _GO_ENDS:
-        out.append((";", len(text)))
+        if kind == 5 and not go:
+            if t in _OPENING:
+                depth.append(top)
+                top = t
+            elif t in _CLOSING:
+                top = depth.pop() if depth else ""
+        put(c)
+        if mark:
+            mark(m.start())
+    if go and out and out[-1] in _GO_ENDS:
+        put(";")
+        if mark:
+            mark(len(text))
     return out
 
 
-def _python(text: str) -> list[tuple[str, int]]:
+def _python(text: str, where: list[int] | None) -> list[str]:
     words = KEYWORDS["python"]
-    out: list[tuple[str, int]] = []
+    out: list[str] = []
+    pos: list[int] = []
     levels = [(0, 0)]
     depth = 0
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -134,22 +174,27 @@ def _python(text: str) -> list[tuple[str, int]]:
             for ch in pad:
                 wide = wide + 1 if ch == " " else (wide // 8 + 1) * 8
             here = (wide, len(pad))
-            if out and out[-1][0] not in ("NEWLINE", "INDENT", "DEDENT"):
-                out.append(("NEWLINE", at))
+            if out and out[-1] not in ("NEWLINE", "INDENT", "DEDENT"):
+                out.append("NEWLINE")
+                pos.append(at)
             top = levels[-1]
             if here == top:
                 continue
             if here[0] > top[0] and here[1] > top[1]:
                 levels.append(here)
-                out.append(("INDENT", at))
+                out.append("INDENT")
+                pos.append(at)
             elif here[0] < top[0] and here[1] < top[1]:
                 while len(levels) > 1 and levels[-1][0] > here[0]:
                     levels.pop()
-                    out.append(("DEDENT", at))
+                    out.append("DEDENT")
+                    pos.append(at)
                 if levels[-1] != here:
-                    out.append(("ERR", at))
+                    out.append("ERR")
+                    pos.append(at)
             else:
-                out.append(("ERR", at))
+                out.append("ERR")
+                pos.append(at)
             continue
         if kind == 3:
             c = t if t in words else "NAME"
@@ -161,8 +206,13 @@ def _python(text: str) -> list[tuple[str, int]]:
                 depth = max(0, depth - 1)
         else:
             c = "STR" if kind == 2 else "NUM" if kind == 4 else "ERR"
-        out.append((c, at))
-    if out and out[-1][0] not in ("NEWLINE", "DEDENT"):
-        out.append(("NEWLINE", len(text)))
-    out.extend(("DEDENT", len(text)) for _ in levels[1:])
+        out.append(c)
+        pos.append(at)
+    if out and out[-1] not in ("NEWLINE", "DEDENT"):
+        out.append("NEWLINE")
+        pos.append(len(text))
+    out.extend("DEDENT" for _ in levels[1:])
+    pos.extend(len(text) for _ in levels[1:])
+    if where is not None:
+        where.extend(pos)
     return out

@@ -18,15 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grammars import GRAMMARS
-from .lexers import EXTENSIONS, lex
+from .lexers import EXTENSIONS, classes, lex
 
 _GROUP = {"p": "(", "s": "[", "b": "{", "i": "INDENT"}
 _CLOSE = {"(": ")", "[": "]", "{": "}", "INDENT": "DEDENT"}
 _OPENS = frozenset(_CLOSE)
 _CLOSES = {v: k for k, v in _CLOSE.items()}
+# 0 ends a segment, 1 opens, a bracket closes that bracket
+_ROLE = {t: 0 for t in (";", "NL", "NEWLINE", ",")} | {t: 1 for t in _OPENS} | _CLOSES
 FULL = 400_000  # chart entries after which a worker starts a new chart
-TRIES = 4_000  # states one repair search may visit
-COSTLY = 25  # repairs per file after which a failing statement counts with its tokens
+TRIES = 1_000  # states one repair search may visit
+COSTLY = 8  # repairs in a group after which a failing statement counts with its tokens
 
 
 SMALL = 400  # states up to which a rule's automaton is made deterministic and least
@@ -203,6 +205,8 @@ class Chart:
         self.moved: dict = {}
         self.derived: dict = {}
         self.prices: dict = {}
+        self.sizes: dict = {}
+        self.mended: dict = {}
 
     def intern(self, x) -> int:
         i = self.ids.get(x)
@@ -281,6 +285,42 @@ class Chart:
             starts.append(begin)
         return intern(("c", *segs)), faults, starts
 
+    def quick(self, tokens: list[str]) -> int | None:
+        """The content of a file whose brackets match; None if they don't."""
+        ids, intern = self.ids, self.intern
+        stack: list = []
+        segs: list = ["c"]
+        cur: list[int] = []
+        for t in tokens:
+            k = _ROLE.get(t)
+            if k is None:
+                i = ids.get(t)
+                cur.append(intern(t) if i is None else i)
+            elif k == 0:
+                i = ids.get(t)
+                cur.append(intern(t) if i is None else i)
+                segs.append(intern(tuple(cur)))
+                cur = []
+            elif k == 1:
+                stack.append((t, segs, cur))
+                segs, cur = ["c"], []
+            else:
+                if not stack or stack[-1][0] != k:
+                    return None
+                if cur:
+                    segs.append(intern(tuple(cur)))
+                g = intern(("g", k, intern(tuple(segs))))
+                _, segs, cur = stack.pop()
+                cur.append(g)
+                if k == "{" or k == "INDENT":
+                    segs.append(intern(tuple(cur)))
+                    cur = []
+        if stack:
+            return None
+        if cur:
+            segs.append(intern(tuple(cur)))
+        return intern(tuple(segs))
+
     def derives(self, rule: str, content: int) -> bool:
         if rule == "Any":  # a token tree
             return True
@@ -318,30 +358,35 @@ class Chart:
     # repair
 
     def size(self, i: int) -> int:
-        x = self.items[i]
-        if x.__class__ is str:
-            return 1
-        body = self.items[x[2]][1:] if x[0] == "g" else x
-        if x[0] == "g":
-            return 2 + sum(self.size(k) for s in body for k in self.items[s])
-        return sum(self.size(k) for k in body)
-
-    def price(self, rule: str, content: int, budget: list[int]) -> int:
+        """Tokens of an item."""
+        n = self.sizes.get(i)
+        if n is None:
+            x = self.items[i]
+            n = self.sizes[i] = 1 if x.__class__ is str else 2 + sum(self.size(k) for s in self.items[x[2]][1:] for k in self.items[s])
+        return n
+
+    def price(self, rule: str, content: int) -> int:
         """Edits that make a group's content derive from the rule, least first; statement by statement."""
         key = (rule, content)
         if key not in self.prices:
-            self.prices[key] = 0 if self.derives(rule, content) else self.repair(rule, content, budget)[0]
+            self.prices[key] = 0 if self.derives(rule, content) else self.repair(rule, content)[0]
         return self.prices[key]
 
-    def repair(self, rule: str, content: int, budget: list[int]) -> tuple[int, list[int]]:
-        """(cost, segments with edits). A segment that fails from the state reached is repaired alone, to the state that costs least; if the search runs out, it is dropped."""
+    def repair(self, rule: str, content: int) -> tuple[int, list[int]]:
+        """(cost, segments with edits). A segment that fails from the state reached is repaired alone, to the state that costs least; if the search runs out, or COSTLY segments of the group failed before, it is dropped."""
         d = self.dfa(rule)
         state, cost, where = d.start, 0, []
         segs = self.items[content][1:]
         for k, seg in enumerate(segs):
             to = self.over(rule, d, state, seg)
             if to < 0:
-                c, to = self._mend(d, state, self.items[seg], budget)
+                key = (rule, state, seg)
+                if len(where) >= COSTLY:
+                    c, to = sum(self.size(i) for i in self.items[seg]), state
+                elif key in self.mended:
+                    c, to = self.mended[key]
+                else:
+                    c, to = self.mended[key] = self._mend(d, state, self.items[seg])
                 cost += c
                 where.append(k)
             state = to
@@ -351,11 +396,18 @@ class Chart:
             where.append(len(segs))
         return max(cost, 1), where
 
-    def _mend(self, d: Dfa, state: int, items: tuple, budget: list[int]) -> tuple[int, int]:
+    def reach(self, rule: str, content: int) -> int:
+        """Segments of a group that the rule takes before it fails."""
+        d = self.dfa(rule)
+        state = d.start
+        for k, seg in enumerate(self.items[content][1:]):
+            state = self.over(rule, d, state, seg)
+            if state < 0:
+                return k
+        return len(self.items[content])
+
+    def _mend(self, d: Dfa, state: int, items: tuple) -> tuple[int, int]:
         drop = sum(self.size(i) for i in items)
-        if budget[0] <= 0:
-            return drop, state
-        budget[0] -= 1
         heap, seen, n, tick = [(0, 0, 0, state)], set(), len(items), 0
         while heap and len(seen) < TRIES:
             cost, _, at, s = heapq.heappop(heap)
@@ -372,15 +424,19 @@ class Chart:
             if to >= 0:
                 options.append((cost, at + 1, to))
             elif x.__class__ is not str:
-                for rule, target in d.groups[s].get(x[1], ()):
-                    c = self.price(rule, x[2], budget)
-                    options.append((cost + c, at + 1, d.add(target)))
+                ways = d.groups[s].get(x[1], ())
+                if len(ways) > 1:  # a group is mended by the rule that gets furthest in it
+                    reach = [self.reach(rule, x[2]) for rule, _ in ways]
+                    ways = [ways[reach.index(max(reach))]]
+                for rule, target in ways:
+                    options.append((cost + self.price(rule, x[2]), at + 1, d.add(target)))
             options.append((cost + self.size(items[at]), at + 1, s))
-            if cost < 3:
+            if cost < 2:  # where the parse stops any token may be put in; before that, one from which it goes on
                 for t in list(d.tokens[s]):
                     target = d.token(s, t)
-                    options.append((cost + 1, at, target))
-                    if x.__class__ is str and t != x:
+                    if to < 0 or self.step(d, target, items[at]) >= 0:
+                        options.append((cost + 1, at, target))
+                    if x.__class__ is str and t != x and (to < 0 or at + 1 == n or self.step(d, target, items[at + 1]) >= 0):
                         options.append((cost + 1, at + 1, target))
             for c, a, to in options:
                 if (a, to) not in seen:
@@ -432,15 +488,14 @@ def check_source(text: str, lang: str, ready: dict[str, dict[str, Automaton]] |
     c = chart(lang, ready)
     if len(c.items) + len(c.moved) > FULL:
         c.clear()
-    tokens = lex(lang, text)
-    if not tokens:
+    content = c.quick(classes(lang, text))
+    if content is not None and c.derives("File", content):
         return 0, "", 0
+    tokens = lex(lang, text)
     content, faults, starts = c.tree(tokens)
-    if not faults and c.derives("File", content):
-        return 0, "", 0
     cost, where = len(faults), []
     if not c.derives("File", content):
-        more, where = c.repair("File", content, [COSTLY])
+        more, where = c.repair("File", content)
         cost += more
     end = tokens[-1][1]
     spots = sorted([at for at, _ in faults] + [starts[k] if k < len(starts) else end for k in where])
