@@ -20,6 +20,7 @@ from ..runtime import materialize
 from .syntax import newest_files
 
 REUSED, BLOB_CHARS, BLOB_RATE, BLOB_SHARE, SHARED = 0.6, 200, 0.62, 0.3, 0.3
+PACKED = 3  # statements a line from which a file counts as minified
 LEVELS, SHORT = 2, 16  # rules span 2^LEVELS lines; lines under SHORT characters say too little
 
 _COMMENT = {"py": r"#[^\n]*|^\s*(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')", "": r"//[^\n]*|/\*[\s\S]*?\*/"}
@@ -224,7 +225,7 @@ def not_by_hand(docs: DataFrame, library: DataFrame) -> DataFrame:
     both = own.join(hits, "file", "left").withColumn("shared", F.coalesce(F.col("hits") / F.size("rules"), F.lit(0.0)))
     folder = F.exists(F.slice(F.split("source_path", "/"), 2, 1000), lambda x: x.isin(*VENDOR_DIRS))
     kind = (
-        F.when(F.col("blob") >= BLOB_SHARE, "data").when((F.col("reuse") >= REUSED) | F.col("marked"), "generated").when(minified(), "minified")
+        F.when(F.col("blob") >= BLOB_SHARE, "data").when(F.col("density") >= PACKED, "minified").when((F.col("reuse") >= REUSED) | F.col("marked"), "generated").when(minified(), "minified")
         .when((F.col("shared") >= SHARED) | folder, "vendored").otherwise("")
     )
     return both.select("source_path", "repo", kind.alias("kind"), "reuse", "blob", "density", "short_names", "marked", F.round("shared", 6).alias("shared"))
@@ -232,4 +233,4 @@ def not_by_hand(docs: DataFrame, library: DataFrame) -> DataFrame:
 
 def minified():
     """Several statements a line, or mostly names of one or two characters with some."""
-    return (F.col("density") >= 3) | ((F.col("short_names") >= 0.5) & (F.col("density") >= 1.5))
+    return (F.col("density") >= PACKED) | ((F.col("short_names") >= 0.5) & (F.col("density") >= 1.5))
