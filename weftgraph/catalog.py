@@ -423,11 +423,11 @@ def w3_first_wins(spark, sf):
 # sets
 
 
-@q(f"SELECT edge_id, seq, array_to_string(list_sort(list_distinct(list_concat({_clean('sources')}, {_clean('targets')}))), '|') AS both, array_to_string(list_sort(list_distinct(list_filter({_clean('sources')}, lambda x: list_contains({_clean('targets')}, x)))), '|') AS shared, array_to_string(list_sort(list_distinct(list_filter({_clean('sources')}, lambda x: NOT list_contains({_clean('targets')}, x)))), '|') AS only_sources FROM hyperedges")
+@q(f"SELECT DISTINCT edge_id, seq, array_to_string(list_sort(list_distinct(list_concat({_clean('sources')}, {_clean('targets')}))), '|') AS both, array_to_string(list_sort(list_distinct(list_filter({_clean('sources')}, lambda x: list_contains({_clean('targets')}, x)))), '|') AS shared, array_to_string(list_sort(list_distinct(list_filter({_clean('sources')}, lambda x: NOT list_contains({_clean('targets')}, x)))), '|') AS only_sources FROM hyperedges")
 def u_node_sets(spark, sf):
     s, t = clean_nodes(F.col("sources")), clean_nodes(F.col("targets"))
     j = lambda c: F.array_join(F.sort_array(c), "|")
-    return table(spark, sf, "hyperedges").select("edge_id", "seq", j(F.array_union(s, t)).alias("both"), j(F.array_intersect(s, t)).alias("shared"), j(F.array_except(s, t)).alias("only_sources"))
+    return table(spark, sf, "hyperedges").select("edge_id", "seq", j(F.array_union(s, t)).alias("both"), j(F.array_intersect(s, t)).alias("shared"), j(F.array_except(s, t)).alias("only_sources")).distinct()
 
 
 @q("SELECT source_path FROM converted_documents INTERSECT SELECT source_path FROM hyperedges")
@@ -679,3 +679,66 @@ def r10_dispatch_files(spark, sf):
 
 
 __all__ = ["QUERIES", "SQL", "clean_type", "type_weight"]
+
+
+# probes and drawing
+
+_STRATEGY_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(query), '{p}') THEN '{n}' END" for n, p in __import__("weftgraph.plans.probe", fromlist=["STRATEGIES"]).STRATEGIES.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@q(f"SELECT DISTINCT query, CASE WHEN len({_STRATEGY_SQL}) = 0 THEN 'exploration' ELSE array_to_string({_STRATEGY_SQL}, '|') END AS strategies FROM scored_edges WHERE query IS NOT NULL")
+def f14_strategies(spark, sf):
+    from .plans.probe import strategies
+
+    x = table(spark, sf, "scored_edges").where("query is not null").select("query").distinct()
+    return x.select("query", F.array_join(strategies(F.col("query")), "|").alias("strategies"))
+
+
+@q("SELECT DISTINCT id, CASE WHEN list_contains(tags, 'llm-authored') THEN 'LLM-authored' WHEN len(list_filter(steps, lambda s: contains(coalesce(s.text, ''), '[text match]'))) > 0 THEN 'text-search' WHEN len(list_filter(steps, lambda s: coalesce(s.edge_type, '') <> '')) > 0 THEN 'auto-scaffolded' ELSE 'LLM-authored' END AS origin FROM tours")
+def f15_tour_origin(spark, sf):
+    from .plans.probe import tour_origin
+
+    return table(spark, sf, "tours").select("id", tour_origin(F.col("tags"), F.col("steps")).alias("origin")).distinct()
+
+
+_LANGUAGE_SQL = "CASE lower(regexp_extract(source_path, '\\.(\\w+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'java' THEN 'java' WHEN 'c' THEN 'c' ELSE 'other' END"
+
+
+@q(f"SELECT {_LANGUAGE_SQL} AS language, count(DISTINCT source_path) AS files FROM converted_documents GROUP BY 1")
+def f12_languages(spark, sf):
+    from .operators.views import language
+
+    return table(spark, sf, "converted_documents").groupBy(language(F.col("source_path")).alias("language")).agg(F.countDistinct("source_path").alias("files"))
+
+
+@q()
+def z1_tour_subgraph(spark, sf):
+    """What lies within two hops of the promoted tours' nodes."""
+    from .operators.views import subgraph
+
+    t = table(spark, sf, "tours").where("promoted")
+    seeds = t.select(F.explode("steps.node").alias("node")).select(normalise_node(F.col("node")).alias("node")).where("node <> ''").distinct()
+    return subgraph(graph(spark, sf), seeds, ["CALLS", "INHERITS", "DEFINES"], 2)[0]
+
+
+@q()
+def v4_merge_map(spark, sf):
+    """Vectors alike by 0.4 or more (no pair of the test vectors reaches the usual 0.97)."""
+    from .operators.simplify import merge_map
+
+    v = table(spark, sf, "embeddings")
+    return merge_map(rt.similar_pairs(v, 0.4), v.select(F.col("vec_id").alias("node"), F.lit(0).alias("degree")))
+
+
+@q()
+def t9_blast_radius(spark, sf):
+    from .plans.probe import blast_radius
+
+    return blast_radius(graph(spark, sf), "operator new", 1)
+
+
+@q()
+def t10_probe(spark, sf):
+    from .plans.probe import probe
+
+    return probe(graph(spark, sf), "what calls cursor.execute", 1)
