@@ -125,6 +125,13 @@ def test_not_by_hand(spark):
     assert generated.not_by_hand(docs.limit(0), library.limit(0)).count() == 0
 
 
+def test_hot_rules_give_the_same_shares(spark):
+    rows = [("a/x", "a", [1, 1, 2, 3]), ("b/y", "b", [1, 3, 4]), ("b/z", "b", [4, 5]), ("c/e", "c", [])]
+    m = spark.createDataFrame(rows, "source_path string, repo string, rules array<long>")
+    want = sorted(r.hits for r in generated.shared_rules(m).collect())
+    assert want == [2, 3] and sorted(r.hits for r in generated.shared_rules(m, hot_rows=2).collect()) == want
+
+
 # 5 syntax
 
 VALID = {

@@ -203,12 +203,20 @@ def _measured(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "source_path string, repo string, reuse double, blob double, density double, short_names double, marked boolean, rules array<long>")
 
 
-def shared_rules(measured: DataFrame) -> DataFrame:
-    """(file, shared): share of each file's rules that occur in another repository or in a library file. A rule is judged by its least and greatest repository, reduced before the shuffle, so no rule's files are ever gathered; a rule twice in a file counts twice."""
+def shared_rules(measured: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """(file, hits): how many of each file's rules occur in another repository or in a library file.
+
+    A rule is judged by its least and greatest repository, reduced before the shuffle, so no rule's files are ever gathered; a rule twice in a file counts twice. Common rules with more than
+    ``hot_rows`` rows (at least 50,000, a thousandth of all rows and so at most 1,000 rules) are sent to the rows instead of joined with them.
+    """
     rows = measured.select(F.xxhash64("source_path").alias("file"), F.xxhash64("repo").alias("home"), F.explode("rules").alias("rule"))
-    common = rows.groupBy("rule").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("rule")
-    hits = rows.join(common, "rule", "left_semi").groupBy("file").agg(F.count(F.lit(1)).alias("hits"))
-    return hits
+    if hot_rows is None:
+        hot_rows = max(50_000, (measured.agg(F.sum(F.size("rules"))).head()[0] or 0) // 1000)
+    common = rows.groupBy("rule").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("rule", (F.col("n") > hot_rows).alias("hot"))
+    hot = F.broadcast(common.where("hot").select(F.col("rule").alias("hot_rule")))
+    marked = rows.join(hot, F.col("rule") == F.col("hot_rule"), "left")
+    cold = marked.where("hot_rule is null").join(common.where("not hot"), "rule", "left_semi").select("file")
+    return cold.unionByName(marked.where("hot_rule is not null").select("file")).groupBy("file").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def not_by_hand(docs: DataFrame, library: DataFrame) -> DataFrame:
