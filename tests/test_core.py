@@ -242,3 +242,10 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     raw.write.mode("append").parquet(src)
     ingest(edge_stream(spark, src, raw), out, chk).awaitTermination()
     assert spark.read.parquet(out).count() == len(FX1)
+
+
+def test_call_chains(spark):
+    g = make(spark, [("c1", "A", ["B", "X"]), ("c2", "B", ["C", "Y"]), ("c3", "C", ["A", "D"]), ("c4", "P", ["Q"]), ("c5", "R", ["R"])])
+    got = {r.chain: r.length for r in tv.call_chains(g).collect()}
+    assert got["A -> B -> C -> D"] == 4 and got["P -> Q"] == 2
+    assert all(not c.startswith("R") for c in got)

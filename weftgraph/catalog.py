@@ -742,3 +742,26 @@ def t10_probe(spark, sf):
     from .plans.probe import probe
 
     return probe(graph(spark, sf), "what calls cursor.execute", 1)
+
+
+@q(r"""WITH w AS (SELECT DISTINCT query, unnest(string_split_regex(query, '[\s.,;:!?(){}\[\]"''`/\\]+')) AS w FROM scored_edges WHERE query IS NOT NULL), p AS (SELECT query, trim(lower(unnest(string_split(w, '_')))) AS t FROM w WHERE w <> '')
+SELECT query, string_agg(DISTINCT t, '|' ORDER BY t) AS tokens FROM p WHERE length(t) >= 3 AND t NOT IN (""" + ", ".join(f"'{x}'" for x in tx.KEYWORD_STOP) + ") GROUP BY 1")
+def f4_keyword_terms(spark, sf):
+    x = table(spark, sf, "scored_edges").where("query is not null").select("query").distinct()
+    return x.select("query", F.array_join(F.sort_array(tx.keyword_terms(F.col("query"))), "|").alias("tokens")).where("tokens <> ''")
+
+
+@q(base(""", m AS (SELECT DISTINCT edge_id, unnest(list_concat(s, t)) AS node FROM e WHERE edge_type IN ('CALLS', 'INHERITS')), h0 AS (SELECT DISTINCT node FROM m WHERE node = 'operator new'),
+h1 AS (SELECT DISTINCT node FROM m WHERE edge_id IN (SELECT edge_id FROM m WHERE node IN (SELECT node FROM h0))), h2 AS (SELECT DISTINCT node FROM m WHERE edge_id IN (SELECT edge_id FROM m WHERE node IN (SELECT node FROM h1)))
+SELECT (SELECT count(*) FROM h0) AS at_seed, (SELECT count(*) FROM h2) - (SELECT count(*) FROM h0) AS near, (SELECT count(*) FROM d) - (SELECT count(*) FROM h2) AS far"""))
+def agg_fog_counts(spark, sf):
+    """Nodes at a seed, within two hops, and farther or out of reach."""
+    g = graph(spark, sf)
+    hops = tv.hop_distances(g, words(spark, "operator new"), ["CALLS", "INHERITS"], 2)
+    h = g.degrees().select("node").join(hops, "node", "left")
+    return h.agg(F.count_if(F.col("hops") == 0).alias("at_seed"), F.count_if(F.col("hops").between(1, 2)).alias("near"), F.count_if(F.col("hops").isNull()).alias("far"))
+
+
+@q()
+def g7_call_chains(spark, sf):
+    return tv.call_chains(graph(spark, sf))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Words left out of queries (fixed values).
 SEARCH_STOP = ("how does what why when where which the and for that this with from into use uses used get set has have can will would should each some any are was were been being about work works all its not but they them their there").split()
 LOOKUP_STOP = [*SEARCH_STOP, "is", "who", "do"]
+KEYWORD_STOP = ("how does what why when where call calls the and for that this with from into use uses used get set has have can will would should which each some any").split()
 # Verbs and the edge types they ask for (fixed values).
 VERB_TYPES = {
     "call": "CALLS", "calls": "CALLS", "invoke": "CALLS", "invokes": "CALLS", "delegate": "CALLS", "delegates": "CALLS",
@@ -42,6 +43,12 @@ def search_terms(c: Column, dotted: bool = True) -> Column:
     return _kept(F.flatten(parts), SEARCH_STOP, 3)
 
 
+def keyword_terms(c: Column) -> Column:
+    """Identifier parts for keyword scores: cut at punctuation, dots and underscores, 3 characters or more, stop words out."""
+    words = F.filter(F.split(c, r"""[\s.,;:!?(){}\[\]"'`/\\]+"""), lambda x: x != "")
+    return _kept(F.flatten(F.transform(words, lambda w: F.split(w, "_"))), KEYWORD_STOP, 3)
+
+
 def last_segment(c: Column) -> Column:
     return F.substring_index(c, ".", -1)
 
