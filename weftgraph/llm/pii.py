@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .charcrf import N_CHARS, PAD, CharCrf, encode
-from .pii_samples import KINDS, Maker
+from .pii_samples import KINDS, ORDINARY, Maker
 
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, LAP, HIDDEN, STEPS, BATCH, TRAIN_LEN = 256, 64, 24, 700, 48, 112
@@ -139,7 +139,7 @@ _REACH = 40
 
 def _is_name(text: str) -> bool:
     words = [w.casefold() for w in re.findall(r"[^\W\d_]+", text)]
-    return not any(w in NO_NAME for w in words)
+    return not any(w in NO_NAME or w in ORDINARY for w in words)
 
 
 def check_spans(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
@@ -168,7 +168,8 @@ def check_spans(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
             for p in EXACT[k]:
                 at = lo
                 while m := p.search(text, at, hi):
-                    forms.add(m.span())
+                    if m.end() < hi or hi == len(text):  # at hi the pattern cannot see what follows
+                        forms.add(m.span())
                     at = m.start() + 1
         scored = []
         for s, e in forms:

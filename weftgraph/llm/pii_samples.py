@@ -11,6 +11,8 @@ _VERBS = "load store merge drain fetch build parse open close split verify rende
 _CAPS = "Cold Warm Lazy Stale Shared Local Remote Nested Partial Signed Frozen".split()
 _ROLES = "Manager Broker Notes Service Handler Factory Builder Monitor Runner Guide Center Index Lane Board Report".split()
 _ADJ = "Session Release Profile Worker Build Error Test Cache Project Design Status Type Event Code Data".split()
+# Capitalised words of titles of things, not of people.
+ORDINARY = frozenset(w.lower() for w in _ROLES + _ADJ) - {"lane"}
 _HOSTS = "willow ashgate riverton mail.oakfield corp.thornby mx1.pinewood-it eu.ops.redhill post.brook".split()
 _TLDS = "example test invalid example.com example.org example.net com org io".split()
 _SERVICE = "git noreply no-reply support admin root postmaster security builds ci-bot info hello team webmaster".split()
