@@ -81,7 +81,7 @@ def hue(c: Column) -> Column:
 
 
 def is_test_regex(path: Column) -> Column:
-    """Test, benchmark and example paths, by pattern."""
+    """Test, benchmark and example paths, by a fixed pattern."""
     return path.rlike(r"(?i)[\\/](tests?|conftest|benchmarks|asv_benchmarks|examples)[\\/]|[\\/]test_[^\\/]*\.py$|_test\.py$")
 
 
