@@ -249,3 +249,11 @@ def test_call_chains(spark):
     got = {r.chain: r.length for r in tv.call_chains(g).collect()}
     assert got["A -> B -> C -> D"] == 4 and got["P -> Q"] == 2
     assert all(not c.startswith("R") for c in got)
+
+
+def test_expand_seeds(spark):
+    from weftgraph.operators.views import expand_seeds
+
+    g = make(spark, [("e1", "a.b.Run", ["Run", "Run.stop"]), ("e2", "Running", ["x.y"])])
+    of = lambda *s: {r.node for r in expand_seeds(g, spark.createDataFrame([(x,) for x in s], "node string")).collect()}
+    assert of("Run") == {"a.b.Run", "Run", "Run.stop"} and of("z.Run") == {"Run"} and of("none") == set()

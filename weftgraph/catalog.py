@@ -713,12 +713,13 @@ def f12_languages(spark, sf):
 
 @q()
 def z1_tour_subgraph(spark, sf):
-    """What lies within two hops of the promoted tours' nodes."""
-    from .operators.views import subgraph
+    """What lies within one hop of the nodes tied to the tours' steps and keywords."""
+    from .operators.views import expand_seeds, subgraph
 
-    t = table(spark, sf, "tours").where("promoted")
-    seeds = t.select(F.explode("steps.node").alias("node")).select(normalise_node(F.col("node")).alias("node")).where("node <> ''").distinct()
-    return subgraph(graph(spark, sf), seeds, ["CALLS", "INHERITS", "DEFINES"], 2)[0]
+    t = table(spark, sf, "tours")
+    seeds = t.select(F.explode(F.concat("steps.node", "keywords")).alias("node")).select(normalise_node(F.col("node")).alias("node")).where("node <> ''").distinct()
+    g = graph(spark, sf)
+    return subgraph(g, expand_seeds(g, seeds), ["CALLS", "INHERITS", "DEFINES"], 1)[0]
 
 
 @q()

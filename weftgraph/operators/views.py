@@ -30,6 +30,17 @@ def group_of(node, path):
     return F.when(F.coalesce(path, F.lit("")) != "", by_file).when(F.contains(node, F.lit(".")), F.substring_index(node, ".", 1)).otherwise("other")
 
 
+def expand_seeds(g: Hypergraph, seeds: DataFrame) -> DataFrame:
+    """Nodes tied to the seeds: equal, a seed's member (seed.x), a qualified form (x.seed), or a dotted seed's last segment. The few dotted cuts of each name make it an equi-join."""
+    names = g.degrees().select("node", F.split("node", r"\.").alias("p"))
+    heads = F.expr("transform(sequence(1, size(p)), k -> array_join(slice(p, 1, k), '.'))")
+    tails = F.expr("transform(sequence(1, size(p)), k -> array_join(slice(p, size(p) - k + 1, k), '.'))")
+    cuts = names.select("node", F.explode(F.array_distinct(F.concat(heads, tails))).alias("key"))
+    keys = seeds.select(F.col("node").alias("key")).distinct()
+    last = seeds.where(F.contains("node", F.lit("."))).select(last_segment(F.col("node")).alias("node")).distinct()
+    return cuts.join(keys, "key", "left_semi").select("node").unionByName(names.join(last, "node", "left_semi").select("node")).distinct()
+
+
 def subgraph(g: Hypergraph, seeds: DataFrame, edge_types: Sequence[str] | None = None, max_hops: int = 2, shown: int = 500) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around the seeds: nodes with label, file, group, language, degree, importance (seeds at least 15), hops and focus (all seeds, then the nearest and most important up to ``shown``)."""
     hops = hop_distances(g, seeds, edge_types, max_hops)
