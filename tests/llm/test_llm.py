@@ -125,6 +125,22 @@ def test_not_by_hand(spark):
     assert generated.not_by_hand(docs.limit(0), library.limit(0)).count() == 0
 
 
+def _noise(n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", seed=3):
+    r = random.Random(seed)
+    return "".join(r.choice(chars) for _ in range(n))
+
+
+def test_wrapped_literals_are_one():
+    x = _noise(1520)
+    rows = [x[i : i + 76] for i in range(0, len(x), 76)]
+    for path, text in (
+        ("r/a.py", "import base64\n\nICON = base64.b64decode(\n" + "".join(f'    "{k}"\n' for k in rows) + ")\n"),
+        ("r/b.js", "const icon =\n" + " +\n".join(f"  '{k}'" for k in rows) + ";\n"),
+        ("r/c.py", "ICON = [\n" + "".join(f'    b"{k}",  # row\n' for k in rows) + "]\n"),
+    ):
+        assert generated.measure(text, path)[1] > generated.BLOB_SHARE, path
+
+
 def test_hot_rules_give_the_same_shares(spark):
     rows = [("a/x", "a", [1, 1, 2, 3]), ("b/y", "b", [1, 3, 4]), ("b/z", "b", [4, 5]), ("c/e", "c", [])]
     m = spark.createDataFrame(rows, "source_path string, repo string, rules array<long>")

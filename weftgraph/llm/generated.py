@@ -30,6 +30,7 @@ _WORD = re.compile(r"[^\W\d][\w$]*")
 _NUM = re.compile(r"\b\d[\w.]*")
 _RUN = re.compile(r"(?:[-+]?(?:0|s)\s*[,;]?\s*){3,}")
 _GAP = re.compile(r"[ \t]+")
+_JOIN = re.compile(r"[\s,+\\]*(?:\b[bBrRuUfF]{1,2})?")  # what may stand between two literals of a run
 _CUT = re.compile(r"\n|(?<=[;{}])")
 _KEEP = frozenset("if for while return def class func fn function struct type interface enum const let var static public private package import from export".split())
 
@@ -42,24 +43,38 @@ TOOL_DIRS = ("gen", "generated", "__generated__", "autogen", "_generated")
 
 
 def statements(text: str, ext: str) -> tuple[list[str], list[str], list[str]]:
-    """(statement tokens, string literals, comments) of a text."""
-    literals: list[str] = []
+    """(statement tokens, string literals, comments) of a text. Literals that follow each other (side by side, added, items of a list) are one."""
     comments: list[str] = []
+    runs: list[list[str]] = []
+    end = -1  # of the last literal or comment; -1 once other code was met
 
     def take(m: re.Match) -> str:
+        nonlocal end
+        joins = end >= 0 and _JOIN.fullmatch(text, end, m.start())
         if m.group(1) is None:
             comments.append(m.group())
+            end = m.end() if joins else -1
             return " "
-        literals.append(m.group(1))
+        if joins:
+            runs[-1].append(m.group(1))
+        else:
+            runs.append([m.group(1)])
+        end = m.end()
         return ' "" '
 
     bare = _TAKE["py" if ext == "py" else ""].sub(take, text)
     bare = _NUM.sub("0", _NAMES.sub("a", bare)).replace('""', "s")
     bare = _RUN.sub("0+", bare)
     parts = (p.strip() for p in _CUT.split(_GAP.sub(" ", bare)))
+    literals = ["".join(r) if len(r) == 1 else "".join(map(_inside, r)) for r in runs]
     return [p for p in parts if p and p not in _CLOSERS], literals, comments
 
 
+def _inside(literal: str) -> str:
+    n = 3 if len(literal) > 5 and literal[:3] in ('"""', "'''") else 1
+    return literal[n:-n]
+
+
 _CLOSERS = frozenset(["}", "{", "};", ")", "]", "end", ");"])
 
 
