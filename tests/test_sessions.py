@@ -1,5 +1,7 @@
 """Sessions over a folder of files, probes, node merging and drawing."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from weftgraph.operators.simplify import merge_map
@@ -51,6 +53,27 @@ def test_merge_map_has_no_chains(spark):
     assert merge_map(pairs.limit(0), deg).count() == 0
 
 
+def test_merge_map_ends_the_greedy_order(spark):
+    r = random.Random(5)
+    star = [("hub", f"m{i:03d}", 0.99 - i / 1000) for i in range(120)]
+    chain = [(f"c{i:03d}", f"c{i + 1:03d}", 0.5 + i / 1000) for i in range(150)]
+    loose = list({(f"x{a}", f"x{b}"): (f"x{a}", f"x{b}", r.randint(1, 9) / 10) for a, b in (sorted(r.sample(range(40), 2)) for _ in range(150))}.values())
+    rows, degree = star + chain + loose, {"hub": 500} | {f"x{i}": r.randint(0, 3) for i in range(40)}
+    want: dict = {}
+    order = []
+    for a, b, score in rows:
+        keep = a if (-degree.get(a, 0), a) < (-degree.get(b, 0), b) else b
+        order.append((-score, keep, b if keep == a else a))
+    for _, k, m in sorted(order):
+        if k not in want and m not in want and m not in want.values():
+            want[m] = k
+    deg = spark.createDataFrame(list(degree.items()), "node string, degree long")
+    f = lambda x, **k: {r.merged: r.keeper for r in merge_map(spark.createDataFrame(x, "a string, b string, score double"), deg, **k).collect()}
+    assert sum(v == "hub" for v in want.values()) == 120 and sum(k[0] == "c" for k in want) == 75
+    assert f(rows) == want
+    assert f(star + loose, few=0) == {m: k for m, k in want.items() if m[0] != "c"}
+
+
 def test_layout():
     pos = layout(["a", "b", "c"], [("a", "b", "CALLS"), ("x", "b", "CALLS")])
     assert set(pos) == {"a", "b", "c"} and max(abs(v) for p in pos.values() for v in p) <= 1000.01
