@@ -191,6 +191,19 @@ def test_python_syntax_agrees_with_the_parser():
             assert check_source(s, "python")[0] == 0, s
 
 
+def test_repairs_are_least_and_without_bounds():
+    assert check_source("def f():\n" + "".join(f"    x{i} = = {i} + f(a, b, c, d)\n" for i in range(40)), "python")[0] == 40  # many faults in a group
+    assert check_source("x = f(a b c d e g h i)\n", "python")[0] == 4  # many edits in a statement
+    assert check_source("def f(a: int, b: str, c, d.e: g = 1): pass\n", "python")[0] == 1
+    r = random.Random(8)  # against all edits of one token
+    words = ["x", "1", "=", "+", ",", "if", "else", "not", "in", "for", ".", ":"]
+    cost = lambda t: check_source(" ".join(t) + "\n", "python")[0]
+    for _ in range(25):
+        t = [r.choice(words) for _ in range(r.randint(2, 5))]
+        near = [t[:i] + mid + t[i + cut :] for i in range(len(t) + 1) for cut in (0, 1) for mid in ([], *([w] for w in words)) if i + cut <= len(t)]
+        assert cost(t) <= 1 or not any(cost(k) == 0 for k in near), t
+
+
 def test_fault_kinds():
     good = VALID["python"][2] * 5
     assert check_source(good + "x = (1,\n", "python")[1] == "truncation"

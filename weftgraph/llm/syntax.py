@@ -3,16 +3,16 @@
 Tokens are grouped by their brackets (indentation counts as a bracket in Python); a group is stored once per distinct content, and the
 chart holds, for (rule, content), whether the content derives from the rule and at what edit cost. A group's content is parsed by
 the rule's automaton over tokens and inner groups, each of which is looked up in the chart in turn. Chart entries are shared by all files of a
-worker, so a statement shape is parsed once, however often it occurs. Where no derivation exists, edits (drop, insert or replace a token) are searched
-in order of cost. Unmatched brackets are edits of their own.
+worker, so a statement shape is parsed once, however often it occurs. Where no derivation exists, the least edits (drop, insert or replace a token) of the
+statement are the shortest path over its positions and all states of the automaton, without bounds. Unmatched brackets are edits of their own.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +27,7 @@ _CLOSES = {v: k for k, v in _CLOSE.items()}
 # 0 ends a segment, 1 opens, a bracket closes that bracket
 _ROLE = {t: 0 for t in (";", "NL", "NEWLINE", ",")} | {t: 1 for t in _OPENS} | _CLOSES
 FULL = 400_000  # chart entries after which a worker starts a new chart
-TRIES = 1_000  # states one repair search may visit
-COSTLY = 8  # repairs in a group after which a failing statement counts with its tokens
+FAR = 1 << 29  # cost of what is not reached
 
 
 SMALL = 400  # states up to which a rule's automaton is made deterministic and least
@@ -193,10 +192,133 @@ class Dfa:
         return to
 
 
+def least_tokens(rules: dict[str, str]) -> dict[str, int]:
+    """Tokens of the shortest content of each rule."""
+    least = dict.fromkeys(rules, FAR) | {"Any": 0}
+
+    def alternatives(words: list[str]) -> int:
+        best = FAR
+        while True:
+            n = 0
+            while words and words[-1] not in ("|", ")", ")?", ")*", ")+", ")~"):
+                n += one(words)
+            best = min(best, n)
+            if not words or words[-1] != "|":
+                return best
+            words.pop()
+
+    def one(words: list[str]) -> int:
+        w = words.pop()
+        if w == "(":
+            n = alternatives(words)
+            mark = words.pop()[1:]
+            if mark == "~":
+                one(words)
+            return 0 if mark in ("?", "*") else n
+        if w[0] == "$" and len(w) > 1:
+            return least[w[1:]]
+        return 2 + least[w[2:]] if len(w) > 2 and w[1] == ":" and w[0] in _GROUP else 1
+
+    while True:
+        now = {r: min(FAR, alternatives(text.split()[::-1])) for r, text in rules.items()} | {"Any": 0}
+        if now == least:
+            return least
+        least = now
+
+
+class Costs:
+    """Edit costs over all states of a rule's automaton at once, as a vector."""
+
+    def __init__(self, a: Automaton, least: dict[str, int]):
+        ids: dict = {}
+        edges = np.fromiter((k for x, m in enumerate(a.moves) for label, y in m for k in (x, ids.setdefault(label, len(ids)), y)), np.int64).reshape(-1, 3)
+        closed = [np.fromiter(a.closure([y]), np.int64) for y in range(len(a.moves))]
+        n = np.array([len(c) for c in closed])
+        starts = np.concatenate([[0], n.cumsum()])
+        flat, k = np.concatenate(closed), n[edges[:, 2]]
+        src, label = np.repeat(edges[:, 0], k), np.repeat(edges[:, 1], k)
+        dst = flat[np.repeat(starts[edges[:, 2]], k) + np.arange(k.sum()) - np.repeat(k.cumsum() - k, k)]
+        names = list(ids)
+        price = np.array([1 if isinstance(x, str) else min(FAR, 2 + least[x[1]]) for x in names], np.int64)
+        order = np.argsort(label, kind="stable")
+        cuts = np.searchsorted(label[order], np.arange(len(names) + 1))
+        self.states = len(a.moves)
+        mark = np.zeros(self.states, np.int32)
+        src, dst = src.astype(np.int32), dst.astype(np.int32)
+        self.by = {x: (src[o], dst[o]) for i, x in enumerate(names) for o in (order[cuts[i] : cuts[i + 1]],)}
+        self.groups: dict[str, list[str]] = {}
+        for x in names:
+            if not isinstance(x, str):
+                self.groups.setdefault(x[0], []).append(x[1])
+        self.insert = _arcs(mark, src, dst, price[label])
+        token = np.array([isinstance(x, str) for x in names], bool)[label]
+        self.replace = _arcs(mark, src[token], dst[token], price[label[token]])
+
+    def start(self, states: frozenset[int], most: int) -> np.ndarray:
+        v = np.full(self.states, FAR, np.int32)
+        v[list(states)] = 0
+        self.inserted(v, most)
+        return v
+
+    def inserted(self, v: np.ndarray, most: int) -> None:
+        """Lower ``v`` by whatever may be put in at a cost of ``most`` in all."""
+        fresh = np.flatnonzero(v < most)
+        while len(fresh := fresh[v[fresh] < most]):
+            fresh = _pass(v, v, self.insert, fresh, most)
+
+    def finish(self, states: frozenset[int]) -> int:
+        """Tokens to put in until the rule may end."""
+        most = 1
+        while (v := self.start(states, most))[1] > most:
+            most *= 2
+        return int(v[1])
+
+
+def _arcs(mark: np.ndarray, src: np.ndarray, dst: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(where each state's arcs begin, their targets, their costs, ``mark`` to tell states met twice); of several arcs between two states the cheapest."""
+    order = np.lexsort((cost, dst, src))
+    src, dst, cost = src[order], dst[order], cost[order]
+    new = np.ones(len(src), bool)
+    new[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])
+    src, dst, cost = src[new], dst[new], cost[new]
+    return np.searchsorted(src, np.arange(len(mark) + 1)).astype(np.int32), dst.astype(np.int32), cost.astype(np.int32), mark
+
+
+def _pass(old: np.ndarray, new: np.ndarray, arcs: tuple, at: np.ndarray, most: int) -> np.ndarray:
+    """Lower ``new`` to what ``old`` reaches from the states ``at`` over the arcs at ``most`` in all; the states lowered."""
+    begin, to, cost, mark = arcs
+    first = begin[at]
+    n = begin[at + 1] - first
+    ends = n.cumsum()
+    if not len(ends) or not ends[-1]:
+        return at[:0]
+    k = np.repeat(first - ends + n, n) + np.arange(ends[-1])
+    c, t = np.repeat(old[at], n) + cost[k], to[k]
+    less = (c < new[t]) & (c <= most)
+    c, t = c[less], t[less]
+    np.minimum.at(new, t, c)
+    mark[t] = order = np.arange(len(t), dtype=np.int32)
+    return t[mark[t] == order]
+
+
+def _move(old: np.ndarray, new: np.ndarray, arcs: tuple, most: int, more: int = 0) -> bool:
+    """Lower ``new`` to what ``old`` reaches over the arcs at ``more`` and ``most`` in all; True if anything was lowered."""
+    c = old[arcs[0]] + more
+    near = np.flatnonzero(c <= most)
+    if not len(near):
+        return False
+    c, t = c[near], arcs[1][near]
+    less = c < new[t]
+    np.minimum.at(new, t[less], c[less])
+    return bool(less.any())
+
+
 class Chart:
     def __init__(self, lang: str, automata: dict[str, Automaton]):
         self.lang, self.automata = lang, automata
         self.dfas: dict[str, Dfa] = {}
+        self.costs: dict[str, Costs] = {}
+        self.least = least_tokens(GRAMMARS[lang])
         self.clear()
 
     def clear(self) -> None:
@@ -373,7 +495,7 @@ class Chart:
         return self.prices[key]
 
     def repair(self, rule: str, content: int) -> tuple[int, list[int]]:
-        """(cost, segments with edits). A segment that fails from the state reached is repaired alone, to the state that costs least; if the search runs out, or COSTLY segments of the group failed before, it is dropped."""
+        """(cost, segments with edits). A segment that fails from the state reached is repaired alone, at the least cost, to all states reached at that cost."""
         d = self.dfa(rule)
         state, cost, where = d.start, 0, []
         segs = self.items[content][1:]
@@ -381,85 +503,58 @@ class Chart:
             to = self.over(rule, d, state, seg)
             if to < 0:
                 key = (rule, state, seg)
-                if len(where) >= COSTLY:
-                    c, to = sum(self.size(i) for i in self.items[seg]), state
-                elif key in self.mended:
-                    c, to = self.mended[key]
-                else:
-                    c, to = self.mended[key] = self._mend(d, state, self.items[seg])
+                if key not in self.mended:
+                    self.mended[key] = self._mend(rule, d, state, self.items[seg])
+                c, to = self.mended[key]
                 cost += c
                 where.append(k)
             state = to
         if not d.final[state]:
-            c, _ = self._finish(d, state)
-            cost += c
+            cost += self.edits(rule).finish(d.sets[state])
             where.append(len(segs))
         return max(cost, 1), where
 
-    def reach(self, rule: str, content: int) -> int:
-        """Segments of a group that the rule takes before it fails."""
-        d = self.dfa(rule)
-        state = d.start
-        for k, seg in enumerate(self.items[content][1:]):
-            state = self.over(rule, d, state, seg)
-            if state < 0:
-                return k
-        return len(self.items[content])
-
-    def _mend(self, d: Dfa, state: int, items: tuple) -> tuple[int, int]:
-        drop = sum(self.size(i) for i in items)
-        heap, seen, n, tick = [(0, 0, 0, state)], set(), len(items), 0
-        while heap and len(seen) < TRIES:
-            cost, _, at, s = heapq.heappop(heap)
-            if cost >= drop:
-                break
-            if (at, s) in seen:
-                continue
-            seen.add((at, s))
-            if at == n:
-                return max(cost, 1), s
-            x = self.items[items[at]]
-            options = []
-            to = self.step(d, s, items[at])
-            if to >= 0:
-                options.append((cost, at + 1, to))
-            elif x.__class__ is not str:
-                ways = d.groups[s].get(x[1], ())
-                if len(ways) > 1:  # a group is mended by the rule that gets furthest in it
-                    reach = [self.reach(rule, x[2]) for rule, _ in ways]
-                    ways = [ways[reach.index(max(reach))]]
-                for rule, target in ways:
-                    options.append((cost + self.price(rule, x[2]), at + 1, d.add(target)))
-            options.append((cost + self.size(items[at]), at + 1, s))
-            if cost < 2:  # where the parse stops any token may be put in; before that, one from which it goes on
-                for t in list(d.tokens[s]):
-                    target = d.token(s, t)
-                    if to < 0 or self.step(d, target, items[at]) >= 0:
-                        options.append((cost + 1, at, target))
-                    if x.__class__ is str and t != x and (to < 0 or at + 1 == n or self.step(d, target, items[at + 1]) >= 0):
-                        options.append((cost + 1, at + 1, target))
-            for c, a, to in options:
-                if (a, to) not in seen:
-                    tick += 1
-                    heapq.heappush(heap, (c, -a, a, to))
-        return drop, state
-
-    def _finish(self, d: Dfa, state: int) -> tuple[int, int]:
-        """Tokens and groups to insert until the rule may end."""
-        heap, seen = [(0, state)], set()
-        while heap and len(seen) < TRIES:
-            cost, s = heapq.heappop(heap)
-            if d.final[s]:
-                return cost, s
-            if s in seen:
-                continue
-            seen.add(s)
-            for t in list(d.tokens[s]):
-                heapq.heappush(heap, (cost + 1, d.token(s, t)))
-            for options in d.groups[s].values():
-                for _, target in options:
-                    heapq.heappush(heap, (cost + 2, d.add(target)))
-        return 1, state
+    def edits(self, rule: str) -> Costs:
+        if rule not in self.costs:
+            self.costs[rule] = Costs(self.automata[rule], self.least)
+        return self.costs[rule]
+
+    def _mend(self, rule: str, d: Dfa, state: int, items: tuple) -> tuple[int, int]:
+        """(least cost, states reached at it) of a segment: item by item, the least cost of every state of the automaton. States that cost more than a bound are left out, and the bound rises until one within it is at the end, at the latest where all is dropped."""
+        e = self.edits(rule)
+        drop, most = sum(self.size(i) for i in items), 1
+        while True:
+            v = e.start(d.sets[state], most)
+            for i in items:
+                v = self._item(e, v, i, most)
+            c = int(v.min())
+            if c <= most:
+                return max(c, 1), d.add(d.a.closure(np.flatnonzero(v == c).tolist()))
+            most = min(2 * most, drop)
+
+    def _item(self, e: Costs, v: np.ndarray, i: int, most: int) -> np.ndarray:
+        x = self.items[i]
+        new = v + self.size(i)
+        new[new > most] = FAR
+        at = np.flatnonzero(v <= most)
+        others = []
+        if x.__class__ is str:
+            _pass(v, new, e.replace, at, most)
+            if x in e.by:
+                _move(v, new, e.by[x], most)
+        else:
+            for inner in e.groups.get(x[1], ()):
+                if self.derives(inner, x[2]):
+                    _move(v, new, e.by[x[1], inner], most)
+                else:
+                    others.append(inner)
+        e.inserted(new, most)
+        for inner in others:  # priced only where one edit inside could pay
+            arcs = e.by[x[1], inner]
+            if _move(v, new.copy(), arcs, most, 1):
+                if _move(v, new, arcs, most, self.price(inner, x[2])):
+                    e.inserted(new, most)
+        return new
 
 
 @lru_cache(maxsize=None)
