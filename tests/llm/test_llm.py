@@ -204,6 +204,14 @@ def test_repairs_are_least_and_without_bounds():
         assert cost(t) <= 1 or not any(cost(k) == 0 for k in near), t
 
 
+def test_token_trees_hold_no_errors():
+    f = "fn f() {{ {} }}\n".format
+    assert check_source(f('println!("x{}", a.b, \'c\', &[1, {2}]);'), "rust")[0] == 0
+    assert check_source(f("println!(“x”);"), "rust")[0] == 2
+    assert check_source(f("m!(a, [b, (\x00)]);"), "rust")[0] == 1
+    assert check_source("#[a(“b”)]\nstruct S;\n", "rust")[0] == 2
+
+
 def test_fault_kinds():
     good = VALID["python"][2] * 5
     assert check_source(good + "x = (1,\n", "python")[1] == "truncation"

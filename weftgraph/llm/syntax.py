@@ -329,6 +329,7 @@ class Chart:
         self.prices: dict = {}
         self.sizes: dict = {}
         self.mended: dict = {}
+        self.wrong: dict = {}
 
     def intern(self, x) -> int:
         i = self.ids.get(x)
@@ -445,7 +446,7 @@ class Chart:
 
     def derives(self, rule: str, content: int) -> bool:
         if rule == "Any":  # a token tree
-            return True
+            return not self.errors(content)
         key = (rule, content)
         found = self.derived.get(key)
         if found is None:
@@ -487,11 +488,18 @@ class Chart:
             n = self.sizes[i] = 1 if x.__class__ is str else 2 + sum(self.size(k) for s in self.items[x[2]][1:] for k in self.items[s])
         return n
 
+    def errors(self, content: int) -> int:
+        """Tokens of a content, at any depth, that are none of the language."""
+        n = self.wrong.get(content)
+        if n is None:
+            n = self.wrong[content] = sum(x == "ERR" if x.__class__ is str else self.errors(x[2]) for s in self.items[content][1:] for x in (self.items[i] for i in self.items[s]))
+        return n
+
     def price(self, rule: str, content: int) -> int:
         """Edits that make a group's content derive from the rule, least first; statement by statement."""
         key = (rule, content)
         if key not in self.prices:
-            self.prices[key] = 0 if self.derives(rule, content) else self.repair(rule, content)[0]
+            self.prices[key] = 0 if self.derives(rule, content) else self.errors(content) if rule == "Any" else self.repair(rule, content)[0]
         return self.prices[key]
 
     def repair(self, rule: str, content: int) -> tuple[int, list[int]]:
