@@ -141,6 +141,20 @@ def test_wrapped_literals_are_one():
         assert generated.measure(text, path)[1] > generated.BLOB_SHARE, path
 
 
+def test_whole_literals_are_judged():
+    share = lambda x: generated.measure(f"X = \"\"\"{x}\"\"\"\n", "r/a.py")[1]
+    x, h = _noise(1600), _noise(1600, "0123456789abcdef")
+    wrap = lambda sep, x=x, n=64: sep.join(x[i : i + n] for i in range(0, len(x), n))
+    for data in ("-----BEGIN CERTIFICATE-----\n" + wrap("\n") + "\n-----END CERTIFICATE-----\n", wrap("\n        "), wrap(" ", h, 2), "data:image/png; base64," + x, wrap(", 0x", h, 2)):
+        assert share(data) > generated.BLOB_SHARE, data[:60]
+    words = "the engine keeps relations between many nodes as frames and every operator reads them again when a worker is lost so that nothing has to be computed twice unless memory runs out".split()
+    r = random.Random(4)
+    for text in (_noise(700) * 6, " ".join(r.choices(words, k=300)), "".join(w.title() for w in r.choices(words, k=300)), "".join(r.choices(words, k=300)).upper()):
+        assert share(text) < generated.BLOB_SHARE, text[:60]
+    names = ",\n".join(f'    "{w}"' for w in r.choices(words, k=200))
+    assert generated.measure(f"W = [\n{names}\n]\n", "r/a.py")[1] < generated.BLOB_SHARE
+
+
 def test_hot_rules_give_the_same_shares(spark):
     rows = [("a/x", "a", [1, 1, 2, 3]), ("b/y", "b", [1, 3, 4]), ("b/z", "b", [4, 5]), ("c/e", "c", [])]
     m = spark.createDataFrame(rows, "source_path string, repo string, rules array<long>")

@@ -8,6 +8,8 @@ occurs in several repositories or in a known library marks the files it covers.
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,6 +22,7 @@ from ..runtime import materialize
 from .syntax import newest_files
 
 REUSED, BLOB_CHARS, BLOB_RATE, BLOB_SHARE, SHARED = 0.6, 200, 0.62, 0.3, 0.3
+EVEN = 0.81  # bits of the characters of random data, against those of its alphabet, that even short samples exceed and prose, code and word lists do not
 PACKED = 3  # statements a line from which a file counts as minified
 LEVELS, SHORT = 2, 16  # rules span 2^LEVELS lines; lines under SHORT characters say too little
 
@@ -142,16 +145,89 @@ def _root(x: int, rules: dict[int, tuple[int, int]]) -> int:
     return x
 
 
-BLOCK = 512
+# Alphabets that data is written in, least first; a literal counts as written in the first that holds all but 3 % of it.
+_ALPHABETS = (frozenset("0123456789"), frozenset("0123456789abcdefABCDEF"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567="), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="), frozenset(map(chr, range(33, 127))), frozenset(map(chr, range(256))))
+_BITS = (math.log2(10), 4.0, 5.0, 6.0, math.log2(94), 8.0)
+_BARE = re.compile(r"\s+|\\[nrt\n]|(?:(?<![0-9A-Za-z])0x(?=[\da-fA-F]{1,8}\b))|(?<=[\da-fA-F]{2})[,:;-](?=\s*(?:0x)?[\da-fA-F]{2})")
+_BYTE = re.compile(r"\\x([\da-fA-F]{2})|\\u00([\da-fA-F]{2})|\\([0-3][0-7]{2})")
+
+
+def _entropy(counts) -> float:
+    """Bits of a sequence with these counts of symbols."""
+    n = sum(counts)
+    return n * math.log2(n) - sum(c * math.log2(c) for c in counts) if n else 0.0
+
+
+def grammar_bits(text: str) -> float:
+    """Bits of the Re-Pair grammar of a text, from the characters alone to the last rule, where it is least: its sequence by the counts of its symbols, and each rule by one symbol and two bits (rules in the order of their left sides).
+
+    Pairs are counted as they change, so the whole text gets one grammar in about linear time.
+    """
+    ids: dict[str, int] = {}
+    s = [ids.setdefault(x, len(ids)) for x in text]
+    n, terminals = len(s), len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    where: dict[tuple[int, int], set[int]] = {}
+    for i in range(n - 1):
+        where.setdefault((s[i], s[i + 1]), set()).add(i)
+    counts = Counter(s)
+    heap = [(-len(v), k) for k, v in where.items() if len(v) > 1]
+    heapq.heapify(heap)
+    best, rules, due = _entropy(counts.values()), 0, 1
+    while heap:
+        c, pair = heapq.heappop(heap)
+        at = where.get(pair, ())
+        if len(at) != -c:
+            if len(at) > 1:
+                heapq.heappush(heap, (-len(at), pair))
+            continue
+        a, b = pair
+        new = terminals + rules
+        hits = 0
+        touched = set()
+        for i in sorted(at):
+            j = after[i] if s[i] == a else n
+            if j >= n or s[j] != b:
+                continue  # an overlap that was used up
+            p, q = before[i], after[j]
+            if p >= 0:
+                where[s[p], a].discard(p)
+                where.setdefault((s[p], new), set()).add(p)
+                touched.add((s[p], new))
+            if q < n:
+                where[b, s[q]].discard(j)
+                where.setdefault((new, s[q]), set()).add(i)
+                touched.add((new, s[q]))
+                before[q] = i
+            s[i], s[j], after[i] = new, -1, q
+            hits += 1
+        where.pop(pair, None)
+        if not hits:
+            continue
+        counts[a] -= hits
+        counts[b] -= hits
+        counts[new] = hits
+        rules += 1
+        for k in touched:
+            if k in where and len(where[k]) > 1:
+                heapq.heappush(heap, (-len(where[k]), k))
+        if rules >= due:
+            due += 1 + due // 8
+            best = min(best, _entropy([x for x in counts.values() if x > 0]) + rules * (math.log2(terminals + rules) + 2))
+    return min(best, _entropy([x for x in counts.values() if x > 0]) + rules * (math.log2(terminals + rules) + 2))
 
 
 def shrink(literal: str) -> float:
-    """Size of a literal's character grammars, one for each block of BLOCK characters, against the literal."""
-    total = 0
-    for i in range(0, len(literal), BLOCK):
-        s, rules, _ = re_pair(literal[i : i + BLOCK])
-        total += len(s) + 2 * len(rules)
-    return total / max(1, len(literal))
+    """Size of a literal's own grammar against as much random data in its alphabet, 0 where its characters are far from evenly used; white space, separators of hexadecimal numbers and escapes are taken out before."""
+    x = _BARE.sub("", _BYTE.sub(lambda m: chr(int(m[1] or m[2], 16) if m[1] or m[2] else int(m[3], 8)), literal))
+    if not x:
+        return 0.0
+    counts = Counter(x)
+    held = [sum(n for c, n in counts.items() if c not in a) <= 0.03 * len(x) for a in _ALPHABETS]
+    if sum(counts[c] for c in "234567") < 0.05 * len(x):
+        held[2] = False  # words in capitals
+    full = min(next((b for h, b in zip(held, _BITS) if h), 16.0), math.log2(max(2, len(x)))) * len(x)
+    return grammar_bits(x) / full if _entropy(counts.values()) > EVEN * full else 0.0
 
 
 _DIGITS = re.compile(r"[-+\s\[\](){},.\d]{200,}|(?:0x[\da-fA-F]+,\s*){20,}")
@@ -160,7 +236,7 @@ _DIGITS = re.compile(r"[-+\s\[\](){},.\d]{200,}|(?:0x[\da-fA-F]+,\s*){20,}")
 def measure(text: str, path: str) -> tuple[float, float, float, float, bool]:
     """(reuse of rules, share of near-incompressible literals and number tables, statements a line, share of names of one or two characters, marked as tool output)."""
     tokens, literals, comments = statements(text, path.rsplit(".", 1)[-1].lower())
-    blob = sum(len(x) for x in literals if len(x) > BLOB_CHARS and " " not in x[:400] and shrink(x) > BLOB_RATE)
+    blob = sum(len(x) for x in literals if len(x) > BLOB_CHARS and shrink(x) > BLOB_RATE)
     numbers = sum(len(m) for m in _DIGITS.findall(text) if sum(map(str.isdigit, m)) > 0.3 * len(m))
     lines = max(1, sum(1 for x in text.split("\n") if x.strip()))
     density = len(tokens) / lines
