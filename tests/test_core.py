@@ -251,6 +251,19 @@ def test_call_chains(spark):
     assert all(not c.startswith("R") for c in got)
 
 
+def test_call_chains_are_whole(spark):
+    deep = [(f"d{i}", f"d{i:02d}", [f"d{i + 1:02d}"]) for i in range(14)]
+    got = [(r.chain, r.length) for r in tv.call_chains(make(spark, deep)).collect()]
+    assert got == [(" -> ".join(f"d{i:02d}" for i in range(15)), 15)]
+    ring = [(f"r{i}", f"r{i}", [f"r{(i + 1) % 6}"]) for i in range(6)]  # six walks over the same nodes
+    pairs = [(f"p{i}", f"p{i}", [f"q{i}"]) for i in range(3)]
+    got = [r.chain for r in tv.call_chains(make(spark, ring + pairs), top=4).collect()]
+    assert got == ["r0 -> r1 -> r2 -> r3 -> r4 -> r5", "p0 -> q0", "p1 -> q1", "p2 -> q2"]
+    tails = [(f"t{i}", f"t{i}", [f"t{i + 1}"]) for i in range(45)]  # 45 walks, each within the one before
+    got = [(r.chain, r.length) for r in tv.call_chains(make(spark, tails + pairs), top=2).collect()]
+    assert got[0][1] == 46 and got[1] == ("p0 -> q0", 2)
+
+
 def test_expand_seeds(spark):
     from weftgraph.operators.views import expand_seeds
 

@@ -99,26 +99,43 @@ def call_adjacency(g: Hypergraph) -> DataFrame:
     return c.groupBy("src").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "dst"))), lambda x: x["dst"]), "|").alias("callees"))
 
 
-def call_chains(g: Hypergraph, max_length: int = 10, top: int = 20) -> DataFrame:
-    """(chain, length): from every caller the walk to its first callee not met yet, that one's first, and so on; the longest chains first (ties by name), without those whose nodes all lie in a longer one kept before. The walks run as joins; only ten times ``top`` candidates reach the driver."""
+def call_chains(g: Hypergraph, top: int = 20) -> DataFrame:
+    """(chain, length): from every caller the walk to its first callee not met yet, that one's first, and so on until none is left; the longest chains first (ties by name), without those whose nodes all lie in a longer one kept before.
+
+    The walks run as joins, a level a step. Candidates reach the driver in blocks of ten times ``top``, one a set of nodes, without those that lie in a kept one, until ``top`` chains are kept or none remain.
+    """
     c = g.arcs.where("edge_type = 'CALLS' and src <> dst").groupBy("src", "dst").agg(F.min("seq").alias("at"))
     adj = materialize(c.groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "dst"))), lambda x: x["dst"]).alias("callees")), "callees")
     walk = adj.select(F.array("src").alias("chain"), F.col("src").alias("last"))
-    ended = None
-    for step in range(max_length - 1):
+    ended, step = None, 0
+    while True:
         met = walk.join(adj.withColumnRenamed("src", "last"), "last", "left")
         after = F.get(F.filter("callees", lambda x: ~F.array_contains("chain", x)), F.lit(0))
         walked = materialize(met.select("chain", "last", after.alias("to")), f"chain{step}")
         stop = walked.where("to is null and size(chain) > 1").select("chain")
         ended = stop if ended is None else ended.unionByName(stop)
         walk = walked.where("to is not null").select(F.concat("chain", F.array("to")).alias("chain"), F.col("to").alias("last"))
+        step += 1
         if walk.isEmpty():
             break
-    out = ended.unionByName(walk.select("chain")).select(F.array_join("chain", " -> ").alias("text"), "chain").distinct().orderBy(F.desc(F.size("chain")), "text").limit(10 * top)
+    text = F.array_join("chain", " -> ")
+    left = ended.select("chain", text.alias("text")).groupBy(F.array_sort("chain").alias("nodes")).agg(F.min_by("chain", "text").alias("chain"), F.min("text").alias("text"))
+    left = materialize(left, "chains")
     kept: list[list[str]] = []
-    for r in out.collect():
-        if len(kept) < top and not any(set(r.chain) <= set(k) for k in kept):
-            kept.append(r.chain)
+    while len(kept) < top:
+        block = left.orderBy(F.desc(F.size("chain")), "text").limit(10 * top).collect()
+        if not block:
+            break
+        before = len(kept)
+        for r in block:
+            if len(kept) < top and not any(set(r.chain) <= set(k) for k in kept):
+                kept.append(r.chain)
+        if len(block) < 10 * top:
+            break
+        end = (len(block[-1].chain), block[-1].text)
+        left = left.where((F.size("chain") < end[0]) | ((F.size("chain") == end[0]) & (F.col("text") > end[1])))
+        for k in kept[before:]:
+            left = left.where(F.size(F.array_except("chain", F.array(*map(F.lit, k)))) > 0)
     return g.edges.sparkSession.createDataFrame([(" -> ".join(k), len(k)) for k in kept], "chain string, length int")
 
 
