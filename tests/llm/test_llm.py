@@ -312,6 +312,18 @@ def test_mix(spark):
 # 9 personal information
 
 
+def test_particles_belong_to_names():
+    def names(text, part):
+        tags = np.zeros(len(text), np.int8)
+        at = text.index(part)
+        tags[at : at + len(part)] = 2 * pii.KINDS.index("name") + 1
+        return [text[s:e] for s, e, k in pii.check_spans(text, tags) if k == "name"]
+
+    assert names("we met Jan van der Meer there", "Jan van der Meer") == ["Jan van der Meer"]
+    assert names("we met VAN DER MEER, JAN there", "VAN DER MEER, JAN") == ["VAN DER MEER, JAN"]
+    assert names("so Der Garten it was", "Der Garten") == [] and names("to Herr Meer it was", "Herr Meer") == []
+
+
 def test_crf_gradients():
     m = CharCrf(6, 3, hidden=4, seed=2)
     r = np.random.default_rng(3)

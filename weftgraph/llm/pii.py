@@ -24,6 +24,7 @@ _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 _SERVICE = r"(?:git|svn|hg|ssh|no-?reply|do-?not-?reply|postmaster|mailer-daemon|root|admin|support|security|abuse|info|webmaster|hostmaster|builds?|ci|bot|team|help|hello|contact|office|daemon|service|notifications?|list|dev|ops)"
 _CAP = r"(?:(?:[OD]['’]|Mc|Mac)?[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿß]+(?:-[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿß]+)*|[A-ZÀ-ÖØ-Þ](?:['’]?[A-ZÀ-ÖØ-Þ]+)+(?:-[A-ZÀ-ÖØ-Þ]{2,})*)"
 _INIT = r"[A-ZÀ-ÖØ-Þ]\."
+PARTICLES = frozenset("van von de der den del la du".split())
 _OF = r"(?:(?:van|von|de|der|den|del|la|du|VAN|VON|DE|DER|DEN|DEL|LA|DU)[ ]){0,2}"
 _NO = r"\d{1,4}(?:\s?[a-d](?![\w]))?"
 _STREET = r"[^\W\d_][\w'’-]*\.?"
@@ -139,6 +140,8 @@ _REACH = 40
 
 def _is_name(text: str) -> bool:
     words = [w.casefold() for w in re.findall(r"[^\W\d_]+", text)]
+    if len(words) > 2:  # what stands between given and family name is no article
+        words = [words[0], *(w for w in words[1:-1] if w not in PARTICLES), words[-1]]
     return not any(w in NO_NAME or w in ORDINARY for w in words)
 
 
