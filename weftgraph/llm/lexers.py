@@ -216,3 +216,172 @@ def _python(text: str, where: list[int] | None) -> list[str]:
     if where is not None:
         where.extend(pos)
     return out
+
+
+# The quick way to the classes: strings, comments, numbers and names become marks for the whole text at once; the lines of what is left repeat so often that their tokens are looked up.
+
+_BLOCK = r"/\*(?:[^*\n]|\*(?!/))*(?:(?P<line>\n)[\s\S]*?)?\*/"
+_PREFIX = {"python": r"(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])", "c": r"(?:u8|[uUL])", "rust": r"[bc]"}
+_JS_TEXT = rf"//[^\n]*|{_BLOCK}|(?=(?P<quote>[\"'`]))(?:{_DQ}|{_SQ}|{_TPL})|(?P<slash>/)(?![*/])(?:(?<=[=(,:\[!&|?{{}};\n]/)|(?<=[=(,:\[!&|?{{}};] /)|(?<=return /))(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_TEXTS = {  # strings and comments; every part begins with a fixed character
+    "python": r"""#[^\n]*|\\\n|(?=(?P<quote>["']))(?:\"""(?:[^\\]|\\[\s\S])*?\"""|'''(?:[^\\]|\\[\s\S])*?'''|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')""",
+    "js": _JS_TEXT,
+    "ts": _JS_TEXT,
+    "go": rf"//[^\n]*|{_BLOCK}|(?=(?P<quote>[\"'`]))(?:{_DQ}|`[^`]*`|'(?:[^'\\\n]|\\[^\n]{{1,10}}?)')",
+    "java": rf"//[^\n]*|{_BLOCK}|(?=(?P<quote>[\"']))(?:\"\"\"[\s\S]*?\"\"\"|{_DQ}|{_SQ})",
+    "c": rf"//[^\n]*|{_BLOCK}|(?=(?P<quote>[\"']))(?:{_DQ}|{_SQ})|\n[ \t]*#(?:[^\n\\]|\\[\s\S])*|\\\r?\n",
+    "rust": rf"//[^\n]*|{_BLOCK}|(?:br(?<!\wbr)|r(?<!\wr))(?=#{{0,2}}(?P<quote>\"))(?:\"[^\"]*\"|#\"[\s\S]*?\"#|##\"[\s\S]*?\"##)|(?=(?P<other>[\"']))(?:\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\\n]|\\(?:u\{{\w+\}}|x\w\w|.))')",
+}
+_MARKS = {"quote": r"\g<quote>\g<quote>", "other": r"\g<other>\g<other>", "slash": r"\g<slash>\g<slash>", "line": r"\g<line>"}
+MOST_WORDS, MOST_LINES = 500_000, 200_000  # kept a language; then the table starts anew
+
+
+class _Words(dict):
+    """What stands for a word: itself for keywords, prefixes of strings and numbers of other forms, 0 for digits, a for names."""
+
+    def __init__(self, lang: str):
+        self.kept = KEYWORDS[lang] | frozenset(_RAW.get(lang, "").split())
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > MOST_WORDS:
+            self.clear()
+        mark = self[word] = word if word in self.kept else "0" if word.isascii() and word.isdigit() else "a" if word[0] == "_" or word[0] == "$" or word[0].isalpha() else word
+        return mark
+
+
+_RAW = {"python": "r R b B u U f F rb rB Rb RB br bR Br BR rf rF Rf RF fr fR Fr FR", "c": "u8 u U L", "rust": "b c r"}
+
+
+@lru_cache(maxsize=None)
+def _quick(lang: str) -> tuple:
+    w = r"[\w$]" if lang in ("js", "ts", "java") else r"\w"
+    text = re.compile(_TEXTS[lang])
+    mark = "".join(m for name, m in _MARKS.items() if name in text.groupindex) + " "
+    own = rf"(?:{_PREFIX[lang]})?" if lang in _PREFIX else ""
+    strings = rf"{own}(?:\"\"|'')|``" + ("|//" if lang in ("js", "ts") else "")
+    life = r"|('[^\W\d]\w*)" if lang == "rust" else r"|((?!))"
+    _, _, name, _, number = _PARTS[lang]
+    token = re.compile(rf"\s+|({strings}){life}|({name})|({number})|({_OPS[lang]})|(\w+|[\s\S])")
+    return text, mark, re.compile(rf"{w}+"), _Words(lang), token
+
+
+_lines: dict[str, dict[str, tuple]] = {}
+
+
+def _line(lang: str, line: str, token: re.Pattern) -> tuple:
+    """(classes, net depth, least depth, may stand after a line end) of a line of marks."""
+    out = []
+    words = KEYWORDS[lang]
+    depth = least = 0
+    starts = None
+    for m in token.finditer(line):
+        k = m.lastindex
+        if k is None:
+            continue
+        t = m.group()
+        c = "STR" if k == 1 else "LIFE" if k == 2 else "NUM" if k == 4 else t if k == 5 or (k == 3 and t in words) else "NAME" if k == 3 else "ERR"
+        if k == 5 and t in "([{":
+            depth += 1
+        elif k == 5 and t in ")]}":
+            depth -= 1
+            least = min(least, depth)
+        if starts is None:
+            starts = (k < 5 and c not in _JS_NOT_STARTS or c in _JS_STARTS) and t != "``"
+        out.append(c)
+    return tuple(out), depth, least, bool(starts)
+
+
+def quick_classes(lang: str, text: str) -> list[str] | None:
+    """The same as ``classes`` for text without faults of its tokens and brackets; None where it can't be told."""
+    strings, mark, word, marks, token = _quick(lang)
+    if lang == "python":
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+        if text[:1] == "﻿":
+            text = text[1:]
+    elif lang == "c":
+        text = "\n" + text
+    text = word.sub(lambda m: marks[m[0]], strings.sub(mark, text))
+    known = _lines.setdefault(lang, {})
+    if len(known) > MOST_LINES:
+        known.clear()
+    if lang == "python":
+        return _quick_python(text, known, token)
+    out: list[str] = []
+    put = out.extend
+    if lang not in ("js", "ts", "go"):
+        for line in text.split("\n"):
+            found = known.get(line)
+            if found is None:
+                found = known[line] = _line(lang, line, token)
+            put(found[0])
+        return out
+    go = lang == "go"
+    stack: list[str] = []
+    for line in text.split("\n"):
+        found = known.get(line)
+        if found is None:
+            found = known[line] = _line(lang, line, token)
+        own, net, least, starts = found
+        if not own:
+            continue
+        if out:
+            prev = out[-1]
+            if go:
+                if prev in _GO_ENDS:
+                    out.append(";")
+            elif starts and (not stack or stack[-1] == "{") and (prev in _JS_ENDS or (prev[0].isalpha() and prev not in _JS_OPEN_ENDS)):
+                out.append("NL")
+        put(own)
+        if not go and (net or least):
+            for c in own:
+                if c in _OPENING:
+                    stack.append(c)
+                elif c in _CLOSING:
+                    if not stack:
+                        return None
+                    stack.pop()
+    if go and out and out[-1] in _GO_ENDS:
+        out.append(";")
+    return out
+
+
+def _quick_python(text: str, known: dict[str, tuple], token: re.Pattern) -> list[str] | None:
+    out: list[str] = []
+    levels = [(0, 0)]
+    depth = 0
+    for line in text.split("\n"):
+        found = known.get(line)
+        if found is None:
+            bare = line.lstrip(" \t\f")
+            pad = line[: len(line) - len(bare)].rsplit("\f", 1)[-1]
+            wide = 0
+            for ch in pad:
+                wide = wide + 1 if ch == " " else (wide // 8 + 1) * 8
+            found = known[line] = (*_line("python", bare, token), (wide, len(pad)))
+        own, net, least, _, here = found
+        if not own:
+            continue
+        if not depth:
+            top = levels[-1]
+            if here != top:
+                if here[0] > top[0] and here[1] > top[1]:
+                    levels.append(here)
+                    out.append("INDENT")
+                elif here[0] < top[0] and here[1] < top[1]:
+                    while len(levels) > 1 and levels[-1][0] > here[0]:
+                        levels.pop()
+                        out.append("DEDENT")
+                    if levels[-1] != here:
+                        return None
+                else:
+                    return None
+        if depth + least < 0:
+            return None
+        out.extend(own)
+        depth += net
+        if not depth:
+            out.append("NEWLINE")
+    if depth:
+        return None
+    out.extend("DEDENT" for _ in levels[1:])
+    return out

@@ -4,7 +4,7 @@ Tokens are grouped by their brackets (indentation counts as a bracket in Python)
 chart holds, for (rule, content), whether the content derives from the rule and at what edit cost. A group's content is parsed by
 the rule's automaton over tokens and inner groups, each of which is looked up in the chart in turn. Chart entries are shared by all files of a
 worker, so a statement shape is parsed once, however often it occurs. Where no derivation exists, the least edits (drop, insert or replace a token) of the
-statement are the shortest path over its positions and all states of the automaton, without bounds. Unmatched brackets are edits of their own.
+statement are the shortest path over its positions and all states of the automaton, without bounds, found level by level as sets of states. Unmatched brackets are edits of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grammars import GRAMMARS
-from .lexers import EXTENSIONS, classes, lex
+from .lexers import EXTENSIONS, lex, quick_classes
 
 _GROUP = {"p": "(", "s": "[", "b": "{", "i": "INDENT"}
 _CLOSE = {"(": ")", "[": "]", "{": "}", "INDENT": "DEDENT"}
@@ -46,8 +46,10 @@ class Automaton:
         self.eps[y].append(b)
         if self.pos != len(self.words):
             raise ValueError(f"rule {rule}: {self.words[max(0, self.pos - 5) : self.pos + 5]}")
-        if len(self.moves) < 8 * SMALL:
-            self._reduce()
+        if len(self.moves) < 8 * SMALL and self._reduce():
+            return
+        if len(self.moves) > SMALL:
+            self._fold()
 
     def _new(self) -> int:
         self.eps.append([])
@@ -109,7 +111,7 @@ class Automaton:
                     todo.append(x)
         return frozenset(x for x in seen if self.moves[x] or x == 1)
 
-    def _reduce(self) -> None:
+    def _reduce(self) -> bool:
         sets = [self.closure([0])]
         ids = {sets[0]: 0}
         table: list[dict] = []
@@ -123,7 +125,7 @@ class Automaton:
                 c = self.closure(targets)
                 if c not in ids:
                     if len(sets) > SMALL:
-                        return
+                        return False
                     ids[c] = len(sets)
                     sets.append(c)
                 row[label] = ids[c]
@@ -143,6 +145,57 @@ class Automaton:
             at = number[part[i]]
             self.moves[at] = [(k, number[part[v]]) for k, v in row.items()]
             self.eps[at] = [1] if 1 in sets[i] else []
+        return True
+
+    def _fold(self) -> None:
+        """Empty moves taken out, then states alike in all that follows made one, then those alike in all that goes before."""
+        number, todo, ids = {0: 0}, [0], {}
+        src, lab, dst, ends = [], [], [], []
+        for x in todo:
+            c = self.closure([x])
+            ends.append(1 in c)
+            for name, y in {m for z in c for m in self.moves[z]}:
+                if y not in number:
+                    number[y] = len(todo)
+                    todo.append(y)
+                src.append(number[x])
+                lab.append(ids.setdefault(name, len(ids)))
+                dst.append(number[y])
+        src, lab, dst = (np.array(v, np.int64) for v in (src, lab, dst))
+        end, start = np.array(ends), 0
+        for back in (False, True):
+            part = _alike(np.arange(len(end)) == start if back else end, *((dst, lab, src) if back else (src, lab, dst)))
+            end = np.bincount(part, end) > 0
+            start = int(part[start])
+            labels, m = len(ids), int(part.max()) + 1
+            t = _distinct((part[src] * labels + lab) * m + part[dst])
+            src, lab, dst = t // (labels * m), t // m % labels, t % m
+        names = list(ids)
+        self.moves = [[] for _ in range(len(end) + 2)]
+        self.eps = [[start + 2], []] + [[1] if e else [] for e in end.tolist()]
+        for x, k, y in zip(src.tolist(), lab.tolist(), dst.tolist()):
+            self.moves[x + 2].append((names[k], y + 2))
+
+
+def _alike(flag: np.ndarray, src: np.ndarray, lab: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Classes of states with the same flag and the same labels into the same classes, by refinement; the sets are told apart by sums of 64-bit hashes."""
+    part, n, labels = flag.astype(np.int64), len(np.unique(flag)), int(lab.max(initial=0)) + 1
+    while True:
+        t = _distinct((src * labels + lab) * n + part[dst])  # each move into a class once
+        h = (t % (labels * n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        sums = part.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        np.add.at(sums, t // (labels * n), h)
+        part = np.unique(sums, return_inverse=True)[1].reshape(-1)
+        if part.max() + 1 == n:
+            return part
+        n = int(part.max()) + 1
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def build(rules: dict[str, str], rule: str, done: dict[str, Automaton]) -> Automaton:
@@ -226,99 +279,116 @@ def least_tokens(rules: dict[str, str]) -> dict[str, int]:
         least = now
 
 
-class Costs:
-    """Edit costs over all states of a rule's automaton at once, as a vector."""
+class Levels:
+    """Sets of states by edit cost. A set is an integer of bits; what it moves to is looked up once per (set, label) and kept, so cells of one statement and of others share it."""
+
+    def __init__(self, arcs: Arcs):
+        self.a, self.n = arcs, arcs.states
+        self.bytes = (self.n + 7) // 8
+        self.moved: dict = {}
+        self.put: dict = {}
+        self.ends: dict = {}
+
+    def mask(self, states) -> int:
+        v = np.zeros(8 * self.bytes, bool)
+        v[list(states)] = True
+        return self._int(v)
+
+    def _int(self, v: np.ndarray) -> int:
+        return int.from_bytes(np.packbits(v, bitorder="little").tobytes(), "little")
+
+    def _bits(self, m: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(m.to_bytes(self.bytes, "little"), np.uint8), bitorder="little")
+
+    def states(self, m: int) -> np.ndarray:
+        return np.flatnonzero(self._bits(m))
+
+    def move(self, m: int, label) -> int:
+        key = (m, label)
+        to = self.moved.get(key)
+        if to is None:
+            arcs = self.a.by.get(label)
+            to = self.moved[key] = self._over(m, *arcs) if arcs else 0
+        return to
+
+    def insert(self, m: int, price: int) -> int:
+        """What one token (price 1) or one group of that price put in leads to."""
+        if price not in self.a.prices:
+            return 0
+        key = (m, price)
+        to = self.put.get(key)
+        if to is None:
+            to = self.put[key] = self._over(m, *self.a.prices[price])
+        return to
+
+    def _over(self, m: int, src: np.ndarray, dst: np.ndarray) -> int:
+        v = np.zeros(8 * self.bytes, bool)
+        v[dst[self._bits(m).astype(bool)[src]]] = True
+        return self._int(v)
+
+    def grown(self, levels: list[int], m: int) -> int:
+        """The states at cost ``len(levels)`` or less, from those at lower cost at the same place and ``m`` reached otherwise."""
+        c = len(levels)
+        if c:
+            m |= levels[-1]
+        for price in self.a.prices:
+            if price <= c and levels[c - price]:
+                m |= self.insert(levels[c - price], price)
+        return m
+
+    def finish(self, m: int) -> int:
+        """Tokens to put in until the rule may end (state 1)."""
+        found = self.ends.get(m)
+        if found is None:
+            levels = [m]
+            while not levels[-1] & 2:
+                levels.append(self.grown(levels, 0))
+            found = self.ends[m] = len(levels) - 1
+        return found
+
+
+class Arcs:
+    """An automaton's moves without empty ones: per label, and per price of what is put in, (from, to)."""
 
     def __init__(self, a: Automaton, least: dict[str, int]):
         ids: dict = {}
-        edges = np.fromiter((k for x, m in enumerate(a.moves) for label, y in m for k in (x, ids.setdefault(label, len(ids)), y)), np.int64).reshape(-1, 3)
-        closed = [np.fromiter(a.closure([y]), np.int64) for y in range(len(a.moves))]
-        n = np.array([len(c) for c in closed])
-        starts = np.concatenate([[0], n.cumsum()])
-        flat, k = np.concatenate(closed), n[edges[:, 2]]
-        src, label = np.repeat(edges[:, 0], k), np.repeat(edges[:, 1], k)
-        dst = flat[np.repeat(starts[edges[:, 2]], k) + np.arange(k.sum()) - np.repeat(k.cumsum() - k, k)]
-        names = list(ids)
-        price = np.array([1 if isinstance(x, str) else min(FAR, 2 + least[x[1]]) for x in names], np.int64)
+        src, label, dst = [], [], []
+        closed: dict[int, np.ndarray] = {}
+        for x, m in enumerate(a.moves):
+            for name, y in m:
+                c = closed.get(y)
+                if c is None:
+                    c = closed[y] = np.fromiter(a.closure([y]), np.int32)
+                src.append(x)
+                label.append(ids.setdefault(name, len(ids)))
+                dst.append(c)
+        n = np.fromiter(map(len, dst), np.int64, len(dst))
+        src, label = np.repeat(np.array(src, np.int32), n), np.repeat(np.array(label, np.int32), n)
+        dst = np.concatenate(dst) if len(dst) else np.zeros(0, np.int32)
+        small = np.uint16 if len(a.moves) < 1 << 16 else np.int32
         order = np.argsort(label, kind="stable")
-        cuts = np.searchsorted(label[order], np.arange(len(names) + 1))
+        cuts = np.searchsorted(label[order], np.arange(len(ids) + 1))
         self.states = len(a.moves)
-        mark = np.zeros(self.states, np.int32)
-        src, dst = src.astype(np.int32), dst.astype(np.int32)
-        self.by = {x: (src[o], dst[o]) for i, x in enumerate(names) for o in (order[cuts[i] : cuts[i + 1]],)}
+        self.by = {x: (src[o].astype(small), dst[o].astype(small)) for i, x in enumerate(ids) for o in (order[cuts[i] : cuts[i + 1]],)}
         self.groups: dict[str, list[str]] = {}
-        for x in names:
+        per: dict[int, list] = {}
+        for x in ids:
             if not isinstance(x, str):
                 self.groups.setdefault(x[0], []).append(x[1])
-        self.insert = _arcs(mark, src, dst, price[label])
-        token = np.array([isinstance(x, str) for x in names], bool)[label]
-        self.replace = _arcs(mark, src[token], dst[token], price[label[token]])
-
-    def start(self, states: frozenset[int], most: int) -> np.ndarray:
-        v = np.full(self.states, FAR, np.int32)
-        v[list(states)] = 0
-        self.inserted(v, most)
-        return v
-
-    def inserted(self, v: np.ndarray, most: int) -> None:
-        """Lower ``v`` by whatever may be put in at a cost of ``most`` in all."""
-        fresh = np.flatnonzero(v < most)
-        while len(fresh := fresh[v[fresh] < most]):
-            fresh = _pass(v, v, self.insert, fresh, most)
-
-    def finish(self, states: frozenset[int]) -> int:
-        """Tokens to put in until the rule may end."""
-        most = 1
-        while (v := self.start(states, most))[1] > most:
-            most *= 2
-        return int(v[1])
-
-
-def _arcs(mark: np.ndarray, src: np.ndarray, dst: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(where each state's arcs begin, their targets, their costs, ``mark`` to tell states met twice); of several arcs between two states the cheapest."""
-    order = np.lexsort((cost, dst, src))
-    src, dst, cost = src[order], dst[order], cost[order]
-    new = np.ones(len(src), bool)
-    new[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])
-    src, dst, cost = src[new], dst[new], cost[new]
-    return np.searchsorted(src, np.arange(len(mark) + 1)).astype(np.int32), dst.astype(np.int32), cost.astype(np.int32), mark
-
-
-def _pass(old: np.ndarray, new: np.ndarray, arcs: tuple, at: np.ndarray, most: int) -> np.ndarray:
-    """Lower ``new`` to what ``old`` reaches from the states ``at`` over the arcs at ``most`` in all; the states lowered."""
-    begin, to, cost, mark = arcs
-    first = begin[at]
-    n = begin[at + 1] - first
-    ends = n.cumsum()
-    if not len(ends) or not ends[-1]:
-        return at[:0]
-    k = np.repeat(first - ends + n, n) + np.arange(ends[-1])
-    c, t = np.repeat(old[at], n) + cost[k], to[k]
-    less = (c < new[t]) & (c <= most)
-    c, t = c[less], t[less]
-    np.minimum.at(new, t, c)
-    mark[t] = order = np.arange(len(t), dtype=np.int32)
-    return t[mark[t] == order]
-
-
-def _move(old: np.ndarray, new: np.ndarray, arcs: tuple, most: int, more: int = 0) -> bool:
-    """Lower ``new`` to what ``old`` reaches over the arcs at ``more`` and ``most`` in all; True if anything was lowered."""
-    c = old[arcs[0]] + more
-    near = np.flatnonzero(c <= most)
-    if not len(near):
-        return False
-    c, t = c[near], arcs[1][near]
-    less = c < new[t]
-    np.minimum.at(new, t[less], c[less])
-    return bool(less.any())
+            price = 1 if isinstance(x, str) else 2 + least[x[1]]
+            if price < FAR:
+                per.setdefault(price, []).append(self.by[x])
+        self.prices = {}
+        for price in sorted(per):
+            pairs = _distinct(np.concatenate([s.astype(np.int64) * self.states + d for s, d in per[price]]))
+            self.prices[price] = ((pairs // self.states).astype(small), (pairs % self.states).astype(small))
 
 
 class Chart:
     def __init__(self, lang: str, automata: dict[str, Automaton]):
         self.lang, self.automata = lang, automata
         self.dfas: dict[str, Dfa] = {}
-        self.costs: dict[str, Costs] = {}
-        self.least = least_tokens(GRAMMARS[lang])
+        self.levels: dict[str, Levels] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -518,51 +588,51 @@ class Chart:
                 where.append(k)
             state = to
         if not d.final[state]:
-            cost += self.edits(rule).finish(d.sets[state])
+            e = self.edits(rule)
+            cost += e.finish(e.mask(d.sets[state]))
             where.append(len(segs))
         return max(cost, 1), where
 
-    def edits(self, rule: str) -> Costs:
-        if rule not in self.costs:
-            self.costs[rule] = Costs(self.automata[rule], self.least)
-        return self.costs[rule]
+    def edits(self, rule: str) -> Levels:
+        if rule not in self.levels:
+            self.levels[rule] = Levels(self.automata[rule].arcs)
+        return self.levels[rule]
 
     def _mend(self, rule: str, d: Dfa, state: int, items: tuple) -> tuple[int, int]:
-        """(least cost, states reached at it) of a segment: item by item, the least cost of every state of the automaton. States that cost more than a bound are left out, and the bound rises until one within it is at the end, at the latest where all is dropped."""
+        """(least cost, states reached at it) of a segment: level by level, the states that each place is reached in at that cost or less, until the end is reached; at the latest where all is dropped."""
         e = self.edits(rule)
-        drop, most = sum(self.size(i) for i in items), 1
-        while True:
-            v = e.start(d.sets[state], most)
-            for i in items:
-                v = self._item(e, v, i, most)
-            c = int(v.min())
-            if c <= most:
-                return max(c, 1), d.add(d.a.closure(np.flatnonzero(v == c).tolist()))
-            most = min(2 * most, drop)
-
-    def _item(self, e: Costs, v: np.ndarray, i: int, most: int) -> np.ndarray:
-        x = self.items[i]
-        new = v + self.size(i)
-        new[new > most] = FAR
-        at = np.flatnonzero(v <= most)
-        others = []
-        if x.__class__ is str:
-            _pass(v, new, e.replace, at, most)
-            if x in e.by:
-                _move(v, new, e.by[x], most)
-        else:
-            for inner in e.groups.get(x[1], ()):
-                if self.derives(inner, x[2]):
-                    _move(v, new, e.by[x[1], inner], most)
-                else:
-                    others.append(inner)
-        e.inserted(new, most)
-        for inner in others:  # priced only where one edit inside could pay
-            arcs = e.by[x[1], inner]
-            if _move(v, new.copy(), arcs, most, 1):
-                if _move(v, new, arcs, most, self.price(inner, x[2])):
-                    e.inserted(new, most)
-        return new
+        n = len(items)
+        sizes = [self.size(i) for i in items]
+        kinds = [self.items[i] for i in items]
+        open_: list = [None] * n  # groups: rules they derive from at no cost, and prices of the others
+        cells: list[list[int]] = [[] for _ in range(n + 1)]
+        for c in range(sum(sizes) + 1):
+            cells[0].append(e.grown(cells[0], 0 if c else e.mask(d.sets[state])))
+            for k in range(n):
+                before, x, size = cells[k], kinds[k], sizes[k]
+                m = before[c - size] if size <= c else 0
+                now = before[c]
+                if x.__class__ is str:
+                    if now:
+                        m |= e.move(now, x)
+                    if c and before[c - 1]:
+                        m |= e.insert(before[c - 1], 1)  # another token in its place
+                elif now:
+                    if open_[k] is None:
+                        free = [r for r in e.a.groups.get(x[1], ()) if self.derives(r, x[2])]
+                        open_[k] = (free, [r for r in e.a.groups.get(x[1], ()) if r not in free], {})
+                    free, dear, paid = open_[k]
+                    for r in free:
+                        m |= e.move(now, (x[1], r))
+                    for r in dear if c else ():  # priced only where one edit inside could pay
+                        if r not in paid and e.move(before[c - 1], (x[1], r)):
+                            paid[r] = self.price(r, x[2])
+                        if paid.get(r, FAR) <= c and before[c - paid[r]]:
+                            m |= e.move(before[c - paid[r]], (x[1], r))
+                cells[k + 1].append(e.grown(cells[k + 1], m))
+            if cells[n][c]:
+                return max(c, 1), d.add(d.a.closure(e.states(cells[n][c]).tolist()))
+        raise AssertionError("a statement can always be dropped")
 
 
 @lru_cache(maxsize=None)
@@ -571,8 +641,10 @@ def automata(lang: str) -> dict[str, Automaton]:
     rules = GRAMMARS[lang]
     done: dict[str, Automaton] = {}
     used = {"File"} | {w[2:] for text in rules.values() for w in text.split() if len(w) > 2 and w[1] == ":" and w[0] in _GROUP}
+    least = least_tokens(rules)
     for rule in sorted(used):
         a = build(rules, rule, done)
+        a.arcs = Arcs(a, least)
         del a.rules, a.done, a.words
     return {rule: done[rule] for rule in used}
 
@@ -591,7 +663,8 @@ def check_source(text: str, lang: str, ready: dict[str, dict[str, Automaton]] |
     c = chart(lang, ready)
     if len(c.items) + len(c.moved) > FULL:
         c.clear()
-    content = c.quick(classes(lang, text))
+    found = quick_classes(lang, text)
+    content = c.quick(found) if found is not None else None
     if content is not None and c.derives("File", content):
         return 0, "", 0
     tokens = lex(lang, text)
