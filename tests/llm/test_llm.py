@@ -18,7 +18,7 @@ from weftgraph.llm.mixing import mix, split_quotas
 from weftgraph.llm.packing import pack, plan_containers
 from weftgraph.llm.pii_samples import Maker
 from weftgraph.llm.splitting import cut_points, split_oversized
-from weftgraph.llm.syntax import check_files, check_source, fault_rates
+from weftgraph.llm.syntax import chart, check_files, check_source, fault_rates
 
 # 1 splitting
 
@@ -218,6 +218,40 @@ def test_repairs_are_least_and_without_bounds():
         assert cost(t) <= 1 or not any(cost(k) == 0 for k in near), t
 
 
+def test_brackets_are_placed_at_least_cost():
+    for lang, text, cost, kind in (
+        ("python", "def f(:\n    pass\n", 1, "local"), ("python", "x = (1,\n", 1, "truncation"), ("java", "class A { int f( { } }", 1, "local"), ("js", "let x = ;", 1, "local"), ("python", "print 'a'\n", 1, "local"),
+        ("python", "x = (1, 2\ny = 3\n", 1, "local"), ("python", "x = [1, 2)\n", 1, "local"), ("python", "f a)\n", 1, "local"), ("go", "package a\nfunc f() {\n", 1, "truncation"), ("python", "class A:\n    def f(self):\n        return g(a, [b", 2, "truncation"),
+        ("js", "const a = 1;\nfunction g(x { return x }\nconst b = 2;\n", 1, "local"), ("python", "x = foo.\n", 1, "truncation"),
+    ):
+        assert check_source(text, lang)[:2] == (cost, kind), text
+    for lang, words in (("python", "x 1 = , : if else . ( ) [ ]"), ("js", "x = , ; ( ) { } =>"), ("c", "x int = , ; ( ) { }")):  # against all edits of one token
+        words, r = words.split(), random.Random(9)
+        cost = lambda t: check_source(" ".join(t) + "\n", lang)[0]  # noqa: E731, B023
+        for _ in range(12):
+            t = [r.choice(words) for _ in range(r.randint(2, 5))]
+            near = [t[:i] + mid + t[i + cut :] for i in range(len(t) + 1) for cut in (0, 1) for mid in ([], *([w] for w in words)) if i + cut <= len(t)]
+            assert cost(t) <= 1 or not any(cost(k) == 0 for k in near), t
+
+
+def test_quick_classes_are_the_classes():
+    from weftgraph.llm.lexers import classes, quick_classes
+
+    def valid(lang, tokens):
+        content = chart(lang).quick(tokens)
+        return content is not None and chart(lang).derives("File", content)
+
+    r = random.Random(5)
+    for lang, texts in VALID.items():
+        for s in texts:
+            assert quick_classes(lang, s) == classes(lang, s), s
+            for _ in range(40):  # of faulty text it may say nothing, but never that it is valid
+                k = r.randint(0, len(s))
+                t = s[:k] + r.choice(["", '"', "'", "`", "/*", "*/", "#", "//", "\\", "0x", "1.5.2", "\r\n", "\t", ")", "é", "\x00", "$"]) + s[k + r.randint(0, 2) :]
+                found = quick_classes(lang, t)
+                assert found is None or not valid(lang, found) or valid(lang, classes(lang, t)), t
+
+
 def test_token_trees_hold_no_errors():
     f = "fn f() {{ {} }}\n".format
     assert check_source(f('println!("x{}", a.b, \'c\', &[1, {2}]);'), "rust")[0] == 0

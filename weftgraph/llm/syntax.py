@@ -9,8 +9,10 @@ statement are the shortest path over its positions and all states of the automat
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -389,6 +391,7 @@ class Chart:
         self.lang, self.automata = lang, automata
         self.dfas: dict[str, Dfa] = {}
         self.levels: dict[str, Levels] = {}
+        self.inside: dict[str, list[str]] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -573,16 +576,17 @@ class Chart:
         return self.prices[key]
 
     def repair(self, rule: str, content: int) -> tuple[int, list[int]]:
-        """(cost, segments with edits). A segment that fails from the state reached is repaired alone, at the least cost, to all states reached at that cost."""
+        """(cost, segments with edits; the number of segments where only the end lacks something). A segment that fails from the state reached is repaired alone, at the least cost, to all states reached at that cost."""
         d = self.dfa(rule)
         state, cost, where = d.start, 0, []
         segs = self.items[content][1:]
         for k, seg in enumerate(segs):
             to = self.over(rule, d, state, seg)
             if to < 0:
-                key = (rule, state, seg)
+                last = k == len(segs) - 1
+                key = (rule, state, seg, last)
                 if key not in self.mended:
-                    self.mended[key] = self._mend(rule, d, state, self.items[seg])
+                    self.mended[key] = self._mend(rule, d, state, self.items[seg], last)
                 c, to = self.mended[key]
                 cost += c
                 where.append(k)
@@ -593,20 +597,41 @@ class Chart:
             where.append(len(segs))
         return max(cost, 1), where
 
+    def ends_open(self, rule: str, content: int, ended: bool) -> bool:
+        """The last segment, without a line end of the lexer's own making, is the start of something valid: only what should follow is missing."""
+        d = self.dfa(rule)
+        state = d.start
+        segs = self.items[content][1:]
+        for seg in segs[:-1]:
+            state = self.over(rule, d, state, seg)
+            if state < 0:
+                return False
+        for i in self.items[segs[-1]][: -1 if ended else None] if segs else ():
+            state = self.step(d, state, i)
+            if state < 0:
+                return False
+        return True
+
+    def rules(self, bracket: str) -> list[str]:
+        """The rules that a bracket's content may follow."""
+        if bracket not in self.inside:
+            self.inside[bracket] = sorted({r for a in self.automata.values() for r in a.arcs.groups.get(bracket, ())})
+        return self.inside[bracket]
+
     def edits(self, rule: str) -> Levels:
         if rule not in self.levels:
             self.levels[rule] = Levels(self.automata[rule].arcs)
         return self.levels[rule]
 
-    def _mend(self, rule: str, d: Dfa, state: int, items: tuple) -> tuple[int, int]:
-        """(least cost, states reached at it) of a segment: level by level, the states that each place is reached in at that cost or less, until the end is reached; at the latest where all is dropped."""
+    def _mend(self, rule: str, d: Dfa, state: int, items: tuple, last: bool) -> tuple[int, int]:
+        """(least cost, states reached at it) of a segment: level by level, the states that each place is reached in at that cost or less, until the end is reached, and after the last segment the rule may end; at the latest where all is dropped."""
         e = self.edits(rule)
         n = len(items)
         sizes = [self.size(i) for i in items]
         kinds = [self.items[i] for i in items]
         open_: list = [None] * n  # groups: rules they derive from at no cost, and prices of the others
         cells: list[list[int]] = [[] for _ in range(n + 1)]
-        for c in range(sum(sizes) + 1):
+        for c in count():
             cells[0].append(e.grown(cells[0], 0 if c else e.mask(d.sets[state])))
             for k in range(n):
                 before, x, size = cells[k], kinds[k], sizes[k]
@@ -630,9 +655,8 @@ class Chart:
                         if paid.get(r, FAR) <= c and before[c - paid[r]]:
                             m |= e.move(before[c - paid[r]], (x[1], r))
                 cells[k + 1].append(e.grown(cells[k + 1], m))
-            if cells[n][c]:
+            if cells[n][c] & 2 if last else cells[n][c]:
                 return max(c, 1), d.add(d.a.closure(e.states(cells[n][c]).tolist()))
-        raise AssertionError("a statement can always be dropped")
 
 
 @lru_cache(maxsize=None)
@@ -658,8 +682,152 @@ def chart(lang: str, ready: dict[str, dict[str, Automaton]] | None = None) -> Ch
     return _charts[lang]
 
 
+_MATE = {"(": ")", "[": "]", "{": "}"}
+_MATES = {v: k for k, v in _MATE.items()}
+_TOKEN = re.compile(r"[\w$]+|[^\w\s]{1,2}(?<![()\[\]{}].)(?<!.[()\[\]{}])|[^\w\s]")
+NOTHING = "\x00"  # a character of no token in any of the languages
+
+
+def bracket_faults(tokens: list[tuple[str, int]], end: int) -> list[tuple[str, int, int, int]]:
+    """(bracket, its token's number, its position, where it must be closed at the latest; -1 for one that closes nothing)."""
+    stack: list[tuple[str, int, int]] = []
+    out = []
+    for i, (t, at) in enumerate(tokens):
+        if t in _MATE:
+            stack.append((t, i, at))
+        elif t in _MATES:
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == _MATES[t]), None)
+            if k is None:
+                out.append((t, i, at, -1))
+                continue
+            out.extend((*x, at) for x in stack[k + 1 :])
+            del stack[k:]
+    return sorted(out + [(*x, end) for x in stack], key=lambda x: x[1])
+
+
+class Brackets:
+    """A text whose brackets don't match, and the edits of brackets that cost least: an unclosed one is closed at the latest place, or after the last item to which one of the bracket's rules is complete, or is given to the
+    repair of statements as no token, which drops or replaces it; one that closes nothing likewise, or another is put in before it or a token of its line; of two faulty ones the one is made the other's mate. One or two
+    are changed at a time, until nothing gets cheaper."""
+
+    def __init__(self, c: Chart, text: str, tokens: list[tuple[str, int]]):
+        self.c, self.text, self.tokens = c, text, tokens
+        self.faults = bracket_faults(tokens, len(text))
+        least = (len(self.faults) + 1) // 2
+        self.edits: list = [self._late(f) for f in self.faults]
+        self.found = self.price(self.edits)
+        changed = True
+        while changed and self.found[0] > least:
+            changed = False
+            for at, other in self._others():
+                edits = [*self.edits[:at], *other, *self.edits[at + len(other) :]]
+                found = self.price(edits)
+                if found[0] < self.found[0]:
+                    self.edits, self.found, changed = edits, found, True
+                if self.found[0] <= least:
+                    return
+
+    @staticmethod
+    def _late(f) -> tuple[int, str, int]:
+        """(position, what stands there, characters it stands for)."""
+        return (f[2], NOTHING, 1) if f[3] < 0 else (f[3], _MATE[f[0]], 0)
+
+    def _others(self) -> Iterator[tuple[int, list]]:
+        """(number of a fault, edits for it and those that follow)."""
+        tokens = self.tokens
+        for n, (t, i, at, latest) in enumerate(self.faults):
+            if latest >= 0:
+                for p in self._complete(t, i, latest):
+                    bare = len(self.text[:p].rstrip())
+                    yield from ((n, [(x, _MATE[t], 0)]) for x in dict.fromkeys((bare, p)))
+                    yield n, [(p, _MATE[t], self._width(p))]
+                yield n, [(at, NOTHING, 1)]
+            else:
+                first = self.text.rfind("\n", 0, at) + 1
+                for k in range(i, -1, -1):
+                    if tokens[k][1] < first:
+                        break
+                    yield n, [(tokens[k][1], _MATES[t], 0)]
+                    if k < i:
+                        yield n, [(tokens[k][1], _MATES[t], self._width(tokens[k][1]))]
+            if n + 1 < len(self.faults):
+                other = self.faults[n + 1]
+                if latest >= 0:
+                    yield n, [None, (other[2], _MATE[t], 1)]
+                if other[3] < 0:
+                    yield n, [(at, _MATES[other[0]], 1), None]
+
+    def _complete(self, t: str, i: int, latest: int) -> list[int]:
+        """Where the content of the bracket, read by each of its rules, is last complete; latest first."""
+        c = self.c
+        items: list[tuple[int, int]] = []
+        k = i + 1
+        while k < len(self.tokens) and self.tokens[k][1] < latest:
+            x, at = self.tokens[k]
+            if x in _MATES:
+                break
+            if x in _MATE:
+                depth, m = 1, k + 1
+                while m < len(self.tokens) and depth:
+                    depth += (self.tokens[m][0] in _MATE) - (self.tokens[m][0] in _MATES)
+                    m += 1
+                whole = c.quick([y for y, _ in self.tokens[k:m]])
+                if depth or whole is None:
+                    break
+                items.append((c.items[c.items[whole][1]][0], at))
+                k = m
+                continue
+            items.append((c.intern(x), at))
+            k += 1
+        ends = [at for _, at in items] + [self.tokens[k][1] if k < len(self.tokens) else len(self.text)]
+        out = set()
+        for rule in c.rules(t):
+            if rule == "Any":
+                continue
+            d = c.dfa(rule)
+            state, last = d.start, 0 if d.final[d.start] else -1
+            for n, (x, _) in enumerate(items, 1):
+                state = c.step(d, state, x)
+                if state < 0:
+                    break
+                if d.final[state]:
+                    last = n
+            if last >= 0:
+                out.add(ends[last])
+        return sorted((p for p in out if p < latest), reverse=True)
+
+    def _width(self, at: int) -> int:
+        """Characters of the token at a position."""
+        m = _TOKEN.match(self.text, at)
+        return m.end() - at if m else 0
+
+    def mended(self, edits: list) -> str:
+        parts, at = [], 0
+        for p, _, n, x in sorted((e[0], -i, e[2], e[1]) for i, e in enumerate(edits) if e):  # what was opened last is closed first
+            parts.append(self.text[at:p])
+            parts.append(x)
+            at = p + n
+        return "".join(parts) + self.text[at:]
+
+    def price(self, edits: list) -> tuple:
+        """(cost, edited segments, segments' starts, tokens, positions of bracket edits) with the edits made; positions in the text as it was. What became no token is paid for by the repair."""
+        c = self.c
+        tokens = lex(c.lang, self.mended(edits)) if edits else self.tokens
+        content, faults, starts = c.tree(tokens)
+        cost, where = sum(e is not None and e[1] != NOTHING for e in edits) + len(faults), []
+        if not c.derives("File", content):
+            more, where = c.repair("File", content)
+            cost += more
+        put_in = sorted(e[0] for e in edits if e and not e[2])
+        back = lambda at: at - sum(p + k < at for k, p in enumerate(put_in))
+        return cost, where, [back(x) for x in starts], tokens, [e[0] for e in edits if e] + [back(at) for at, _ in faults]
+
+
 def check_source(text: str, lang: str, ready: dict[str, dict[str, Automaton]] | None = None) -> tuple[int, str, int]:
-    """(edit cost, kind of fault, line of the first edit); (0, '', 0) for valid source. Empty source is valid."""
+    """(edit cost, kind of fault, line of the first edit); (0, '', 0) for valid source. Empty source is valid.
+
+    The kind follows from where the edits lie: on a line of a merge conflict; all over the file (mismatch); nowhere but at its end (truncation); at characters of no token; else local.
+    """
     c = chart(lang, ready)
     if len(c.items) + len(c.moved) > FULL:
         c.clear()
@@ -667,29 +835,30 @@ def check_source(text: str, lang: str, ready: dict[str, dict[str, Automaton]] |
     content = c.quick(found) if found is not None else None
     if content is not None and c.derives("File", content):
         return 0, "", 0
-    tokens = lex(lang, text)
-    content, faults, starts = c.tree(tokens)
-    cost, where = len(faults), []
-    if not c.derives("File", content):
-        more, where = c.repair("File", content)
-        cost += more
-    end = tokens[-1][1]
-    spots = sorted([at for at, _ in faults] + [starts[k] if k < len(starts) else end for k in where])
-    errs = sum(1 for t, _ in tokens if t == "ERR")
-    segs = max(1, len(starts))
-    opened = [at for at, t in faults if t in _OPENS]
-    line = text.count("\n", 0, min(spots)) + 1 if spots else 1
-    if any(text.startswith(("<<<<<<<", ">>>>>>>"), at) for at in _line_starts(text)) and any(x in text for x in ("\n=======", "\n>>>>>>>", "<<<<<<< ")):
+    if lang == "python":
+        text = text.replace("\r\n", "\n").replace("\r", "\n").removeprefix("\ufeff")
+    b = Brackets(c, text, lex(lang, text))
+    cost, where, starts, tokens, spots = b.found
+    segs, end = max(1, len(starts)), len(text)
+    spans = [(starts[k], starts[k + 1] if k + 1 < len(starts) else end) if k < len(starts) else (end, end) for k in where]
+    last = starts[-1] if starts else 0
+    first = min([*spots, *(a for a, _ in spans)], default=0)
+    marks = [at for at in _line_starts(text) if text.startswith(_CONFLICT, at)]
+    late = all(x == len(text) for x in spots) and all(k >= len(starts) - 1 for k in where) and (not where or bool(spots) or where == [len(starts)] or c.ends_open("File", c.tree(tokens)[0], tokens[-1][0] == "NEWLINE" or (lang == "go" and not text.startswith(";", tokens[-1][1]))))
+    if any(text.startswith(("<", ">"), at) for at in marks) and any(a <= at < z for at in marks for a, z in [*spans, *((x, x + 1) for x in spots)]):
         kind = "conflict"
     elif len(where) > 2 and len(where) > 0.4 * segs or cost > 0.15 * len(tokens) + 3:
         kind = "mismatch"
-    elif errs and not opened:
+    elif late:
+        kind, first = "truncation", max(first, last) if not spots else end
+    elif any(t == "ERR" for t, _ in b.tokens):
         kind = "characters"
-    elif opened or (spots and min(spots) >= starts[-1] if starts else False):
-        kind = "truncation"
     else:
         kind = "local"
-    return max(cost, 1), kind, line
+    return max(cost, 1), kind, text.count("\n", 0, first) + 1
+
+
+_CONFLICT = ("<<<<<<<", "=======", ">>>>>>>", "|||||||")
 
 
 def _line_starts(text: str) -> Iterator[int]:
