@@ -73,28 +73,81 @@ class CharCrf:
                 saved.append((g, cand, old, tc, before))
         return ins, hs, saved
 
+    def _ready(self) -> tuple:
+        """Weights for reading: gates negated for 1 / (1 + exp(z)), the candidate's doubled as tanh is a sigmoid of twice the value, both directions in one table."""
+        if not hasattr(self, "_fast"):
+            h = self.hidden
+            f = np.full(4 * h, -1.0, np.float32)
+            f[3 * h :] = -2.0
+            table = (self.p["table"] + self.p["bias"]) * f
+            self._fast = np.ascontiguousarray(table.reshape(-1, 4 * h)), self.p["rec"] * f, table.shape[1]
+        return self._fast
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_fast"}
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(T, B, tags)"""
-        _, hs, _ = self._run(x, False)
-        return hs[:, 0] @ self.p["out"][: self.hidden] + hs[::-1, 1] @ self.p["out"][self.hidden :] + self.p["ob"]
-
-    def decode(self, x: np.ndarray, bias: np.ndarray | float = 0.0) -> np.ndarray:
-        """The best tag sequence of each window (B, T) under the CRF; ``bias`` is added to every emission."""
-        e = self.emissions(x) + bias
+        table, rec, n = self._ready()
+        b, t = x.shape
+        h = self.hidden
+        ins = np.stack([x.T, x.T[::-1] + n], 1)  # T, 2, B
+        z, zz = np.empty((2, b, 4 * h), np.float32), np.empty((2, b, 4 * h), np.float32)
+        c, u = np.zeros((2, b, h), np.float32), np.empty((2, b, h), np.float32)
+        hs = np.zeros((t + 1, 2, b, h), np.float32)
+        for i in range(t):
+            np.take(table, ins[i], axis=0, out=z, mode="clip")
+            np.matmul(hs[i], rec, out=zz)
+            z += zz
+            np.exp(z, out=z)
+            z += 1.0
+            np.reciprocal(z, out=z)
+            c *= z[:, :, h : 2 * h]
+            np.multiply(z[:, :, 3 * h :], 2.0, out=u)
+            u -= 1.0
+            u *= z[:, :, :h]
+            c += u
+            np.multiply(c, -2.0, out=u)
+            np.exp(u, out=u)
+            u += 1.0
+            np.reciprocal(u, out=u)
+            u *= 2.0
+            u -= 1.0
+            np.multiply(u, z[:, :, 2 * h : 3 * h], out=hs[i + 1])
+        hs = hs[1:]
+        return hs[:, 0] @ self.p["out"][:h] + hs[::-1, 1] @ self.p["out"][h:] + self.p["ob"]
+
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """The best tag sequence of each window (B, T) under the CRF.
+
+        A window where every other tag falls short of tag 0 by more than any two transitions can make good is all 0 and is not decoded.
+        """
+        e = self.emissions(x)
         t, b, k = e.shape
-        tr = np.ascontiguousarray(self.p["trans"].T)  # to, from
+        tags = np.zeros((b, t), np.int8)
+        tr = self.p["trans"]
+        gain = 2 * float((tr - tr[0, 0]).max())
+        some = np.flatnonzero((e[:, :, 1:].max(2) - e[:, :, 0]).max(0) + gain >= 0)
+        if not len(some):
+            return tags
+        e = np.ascontiguousarray(e[:, some].transpose(0, 2, 1))  # T, tags, windows
         score = e[0]
-        back = np.empty((t, b, k), np.int8)
+        back = np.empty((t, k, len(some)), np.int8)
         for i in range(1, t):
-            m = score[:, None, :] + tr
-            best = m.argmax(2)
-            back[i] = best
-            score = np.take_along_axis(m, best[:, :, None], 2)[:, :, 0] + e[i]
-        tags = np.empty((b, t), np.int8)
-        tags[:, -1] = score.argmax(1)
-        rows = np.arange(b)
-        for i in range(t - 1, 0, -1):
-            tags[:, i - 1] = back[i, rows, tags[:, i]]
+            best = score[0] + tr[0][:, None]
+            at = back[i]
+            at[:] = 0
+            for j in range(1, k):
+                m = score[j] + tr[j][:, None]
+                more = m > best
+                np.copyto(best, m, where=more)
+                at[more] = j
+            score = best + e[i]
+        rows = np.arange(len(some))
+        now = score.argmax(0)
+        for i in range(t - 1, -1, -1):
+            tags[some, i] = now
+            now = back[i, now, rows]
         return tags
 
     def loss_and_grads(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:

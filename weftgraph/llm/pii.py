@@ -1,9 +1,11 @@
-"""Personal information in free text: found by a character BiLSTM-CRF, then held against exact forms, and replaced by placeholders."""
+"""Personal information in free text: spans decoded by a character BiLSTM-CRF, their ends trimmed by exact forms, and replaced by placeholders."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -11,11 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .charcrf import N_CHARS, PAD, CharCrf, encode
-from .pii_samples import KINDS, ORDINARY, Maker
+from .pii_samples import KINDS, Maker
 
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-WINDOW, LAP, HIDDEN, STEPS, BATCH, TRAIN_LEN = 256, 64, 24, 700, 48, 112
-LENIENT = 2.5  # taken from the emission of O: marginal spans are kept for the exact check
+WINDOW, LAP, HIDDEN, STEPS, BATCH, TRAIN_LEN = 384, 64, 32, 1600, 48, 160
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 _AT = r"(?:@|%40|&#64;|&#x40;|&commat;|\\u0040|＠|\s?[\[({<]\s?at\s?[\])}>]\s?|\sat\s)"
@@ -24,7 +25,6 @@ _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 _SERVICE = r"(?:git|svn|hg|ssh|no-?reply|do-?not-?reply|postmaster|mailer-daemon|root|admin|support|security|abuse|info|webmaster|hostmaster|builds?|ci|bot|team|help|hello|contact|office|daemon|service|notifications?|list|dev|ops)"
 _CAP = r"(?:(?:[OD]['’]|Mc|Mac)?[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿß]+(?:-[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿß]+)*|[A-ZÀ-ÖØ-Þ](?:['’]?[A-ZÀ-ÖØ-Þ]+)+(?:-[A-ZÀ-ÖØ-Þ]{2,})*)"
 _INIT = r"[A-ZÀ-ÖØ-Þ]\."
-PARTICLES = frozenset("van von de der den del la du".split())
 _OF = r"(?:(?:van|von|de|der|den|del|la|du|VAN|VON|DE|DER|DEN|DEL|LA|DU)[ ]){0,2}"
 _NO = r"\d{1,4}(?:\s?[a-d](?![\w]))?"
 _STREET = r"[^\W\d_][\w'’-]*\.?"
@@ -58,12 +58,6 @@ EXACT = {
         rf"(?<![\w@/.-]){_OF}{_CAP},[ ](?:{_CAP}|{_INIT})(?:[ ]{_INIT}){{0,2}}(?![\w(/]|['’]\w)",
     )],
 }
-# Titles and other words that stand before names but are no part of them (fixed values).
-NO_NAME = frozenset("mr mrs ms miss dr prof sir herr frau señor señora sr sra mme mlle the as by to an and contact tel author from calle plaza die der das ohne bitte nach les il une los las el tras".split())
-
-
-def lexicon_flags(words: list[str], given: frozenset, family: frozenset) -> list[int]:
-    return [(w in given) + 2 * (w in family) for w in map(str.casefold, words)]
 
 
 def inputs(text: str, given: frozenset, family: frozenset) -> np.ndarray:
@@ -77,41 +71,49 @@ def inputs(text: str, given: frozenset, family: frozenset) -> np.ndarray:
     return x
 
 
-_trained: dict = {}
+def training_windows(seed: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``steps`` batches of BATCH labelled windows, the bound of the training set: invented lines with invented name parts, half of them on an invented list."""
+    make = Maker([], [], seed)
+    index = {t: i for i, t in enumerate(TAGS)}
+    g, f = frozenset(map(str.casefold, make.given)), frozenset(map(str.casefold, make.family))
+    for _ in range(steps):
+        xs, ys = [], []
+        for _ in range(BATCH):
+            text, tags = make.text(TRAIN_LEN)
+            x, y = inputs(text, g, f), np.array([index[t] for t in tags])
+            if make.r.random() < 0.2:  # texts that end inside a window
+                end = make.r.randint(10, TRAIN_LEN)
+                x[end:], y[end:] = PAD, 0
+            xs.append(x)
+            ys.append(y)
+        yield np.array(xs), np.array(ys)
+
+
+def train(steps: int = STEPS, seed: int = 11) -> CharCrf:
+    model = CharCrf(4 * N_CHARS, len(TAGS), HIDDEN, seed)
+    model.fit(training_windows(seed, steps), rate=0.02, steps=steps)
+    return model
+
 
+MODEL = Path(__file__).with_name("pii_model.npz")
 
-def train(given: tuple[str, ...], family: tuple[str, ...], steps: int = STEPS, seed: int = 11) -> CharCrf:
-    """Fit the tagger on ``steps`` batches of BATCH invented windows (the bound of the training set) with the given name parts; once a process."""
-    key = (given, family, steps, seed)
-    if key not in _trained:
-        make = Maker(list(given), list(family), seed)
-        index = {t: i for i, t in enumerate(TAGS)}
-        g, f = frozenset(map(str.casefold, given)), frozenset(map(str.casefold, family))
 
-        def batches():
-            for _ in range(steps):
-                xs, ys = [], []
-                for _ in range(BATCH):
-                    text, tags = make.text(TRAIN_LEN)
-                    x, y = inputs(text, g, f), np.array([index[t] for t in tags])
-                    if make.r.random() < 0.3:  # texts that end inside a window
-                        end = make.r.randint(10, TRAIN_LEN)
-                        x[end:], y[end:] = PAD, 0
-                    xs.append(x)
-                    ys.append(y)
-                yield np.array(xs), np.array(ys)
+def save(model: CharCrf, path: Path = MODEL) -> None:
+    np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in model.p.items()})
 
-        model = CharCrf(4 * N_CHARS, len(TAGS), HIDDEN, seed)
-        model.fit(batches(), rate=0.02, steps=steps)
-        _trained[key] = model
-    return _trained[key]
+
+@lru_cache(maxsize=1)
+def stored() -> CharCrf:
+    """The tagger that ``python -m weftgraph.llm.pii`` trained and stored."""
+    model = CharCrf(4 * N_CHARS, len(TAGS), HIDDEN)
+    with np.load(MODEL) as f:
+        model.p = {k: f[k].astype(np.float32) for k in f.files}
+    return model
 
 
 def tag_texts(model: CharCrf, xs: list[np.ndarray], batch: int = 512) -> list[np.ndarray]:
     """A tag for every character of every text: windows overlap by LAP, and of two windows the one in whose inside a character lies further from the edge decides."""
     out = [np.zeros(len(x), np.int8) for x in xs]
-    bias = np.zeros(len(TAGS), np.float32)
-    bias[0] = -LENIENT
     spans = []
     for i, x in enumerate(xs):
         for a in range(0, max(1, len(x) - LAP), WINDOW - LAP):
@@ -125,7 +127,7 @@ def tag_texts(model: CharCrf, xs: list[np.ndarray], batch: int = 512) -> list[np
         w = np.full((len(part), width), PAD, np.int64)
         for j, (i, a, b) in enumerate(part):
             w[j, : b - a] = xs[i][a:b]
-        tags = model.decode(w, bias)
+        tags = model.decode(w)
         for j, (i, a, b) in enumerate(part):
             lo = a if a == 0 else a + LAP // 2
             hi = b if b == len(xs[i]) else b - LAP // 2
@@ -133,76 +135,61 @@ def tag_texts(model: CharCrf, xs: list[np.ndarray], batch: int = 512) -> list[np
     return out
 
 
-_DIGITS = ("phone", "identity")
-_RANK = {k: i for i, k in enumerate(("email", "address", "phone", "identity", "name"))}
-_REACH = 40
+SLIP = 4  # characters by which a form may begin before or after the decoded span
+LEXICON = 1_000_000  # name parts that may be given
 
 
-def _is_name(text: str) -> bool:
-    words = [w.casefold() for w in re.findall(r"[^\W\d_]+", text)]
-    if len(words) > 2:  # what stands between given and family name is no article
-        words = [words[0], *(w for w in words[1:-1] if w not in PARTICLES), words[-1]]
-    return not any(w in NO_NAME or w in ORDINARY for w in words)
+def decoded(tags: np.ndarray) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the spans that a tag sequence names: a beginning and what goes on with its kind; a span without a beginning begins at its first character."""
+    kind = (tags.astype(np.int16) + 1) // 2
+    cuts = np.flatnonzero((np.diff(kind, prepend=0) != 0) | ((tags % 2 == 1) & (tags > 0)))
+    ends = [*cuts[1:].tolist(), len(tags)]
+    return [(a, b, KINDS[kind[a] - 1]) for a, b in zip(cuts.tolist(), ends) if kind[a]]
 
 
-def check_spans(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
-    """The exact forms that the decoded spans bear out, without overlaps.
+def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
+    """The ends of a decoded span by the exact form of its kind that begins within SLIP characters of it and has the most in common with it; None if there is none that covers half of it."""
+    best, found = 0, None
+    for a in range(max(0, start - SLIP), min(end, start + SLIP + 1)):
+        for p in EXACT[kind]:
+            m = p.match(text, a)
+            if m:
+                both = min(end, m.end()) - max(start, a)
+                score = 2 * both - (m.end() - a)
+                if 2 * both >= end - start and (found is None or score > best):
+                    best, found = score, (a, m.end())
+    return found
 
-    A form counts if more than half of its characters were decoded as its kind (numbers: as either kind of number); of
-    overlapping forms of a kind the one with the most such characters, less the others, stays. E-mail goes
-    before address, number and name. Decoded spans without a form are dropped.
-    """
-    kind = (tags.astype(np.int16) + 1) // 2
+
+def check_spans(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
+    """The decoded spans, their ends trimmed by the exact form of their kind, in order and without overlaps (of two the earlier stays). Spans of no form are dropped; a form alone is never taken."""
     out: list[tuple[int, int, str]] = []
-    for k in sorted(KINDS, key=_RANK.get):
-        near = np.flatnonzero(np.isin(kind, [KINDS.index(x) + 1 for x in (_DIGITS if k in _DIGITS else (k,))]))
-        if not len(near):
-            continue
-        marked = np.zeros(len(text) + 1, np.int32)
-        marked[near + 1] = 1
-        marked = marked.cumsum()
-        own = np.zeros(len(text) + 1, np.int32)
-        own[np.flatnonzero(kind == KINDS.index(k) + 1) + 1] = 1
-        own = own.cumsum()
-        cuts = np.flatnonzero(np.diff(near) > 1) + 1
-        forms = set()
-        for run in np.split(near, cuts):
-            lo, hi = max(0, int(run[0]) - _REACH), min(len(text), int(run[-1]) + 1 + _REACH)
-            for p in EXACT[k]:
-                at = lo
-                while m := p.search(text, at, hi):
-                    if m.end() < hi or hi == len(text):  # at hi the pattern cannot see what follows
-                        forms.add(m.span())
-                    at = m.start() + 1
-        scored = []
-        for s, e in forms:
-            score = 2 * int(marked[e] - marked[s]) - (e - s)
-            if score > 0 and (k != "name" or _is_name(text[s:e])):
-                scored.append((-score, -int(own[e] - own[s]), s, e))
-        for _, _, s, e in sorted(scored):
-            if not any(s < y and x < e for x, y, _ in out):
-                out.append((s, e, k))
-    return sorted(out)
-
-
-def find_pii(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> DataFrame:
+    for s, e, k in decoded(tags):
+        found = trimmed(text, s, e, k)
+        if found and not (out and found[0] < out[-1][1]):
+            out.append((*found, k))
+    return out
+
+
+def find_pii(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: CharCrf | None = None) -> DataFrame:
     """(id, kind, start_pos, end_pos, value): one row per occurrence, positions in characters from 0.
 
-    ``lexicon`` (name_part, name_role) is a fixed list read by the driver; NULL parts are passed over and it may be empty. The tagger is
-    trained on the driver from invented lines, never from ``docs``, so it is the same at every size. Every text is tagged over its whole length
-    and a decoded span counts if an exact form of its kind fits it. NULL and empty texts give no rows; repeated rows give repeated results.
+    ``lexicon`` (name_part, name_role) is a list read by the driver, at most LEXICON parts (more are an error); NULL parts are passed over and it may be empty. The tagger is the
+    stored one unless another is given; it was trained on invented lines, never on ``docs``, so it is the same at every size. Every text is tagged over its whole length;
+    the decoded spans are the occurrences, and the exact form of their kind trims their ends. NULL and empty texts give no rows; repeated rows give repeated results.
     """
-    parts = sorted({(r[0], r[1]) for r in lexicon.select("name_part", "name_role").where("name_part is not null").collect()})
-    given = tuple(p for p, role in parts if role != "family")
-    family = tuple(p for p, role in parts if role == "family")
+    parts = lexicon.select("name_part", "name_role").where("name_part is not null").distinct().limit(LEXICON + 1).collect()
+    if len(parts) > LEXICON:
+        raise ValueError(f"at most {LEXICON} name parts")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(train(given, family, steps))
-    g, f = frozenset(map(str.casefold, given)), frozenset(map(str.casefold, family))
+    g = frozenset(r[0].casefold() for r in parts if r[1] != "family")
+    f = frozenset(r[0].casefold() for r in parts if r[1] == "family")
+    shared = spark.sparkContext.broadcast((model or stored(), g, f))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
     kind = dict(base.dtypes)["id"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model, g, f = shared.value
         for frame in frames:
             rows = []
             for lo in range(0, len(frame), 1000):
@@ -230,3 +217,7 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
         lambda acc: F.concat(acc["done"], F.substring(F.col("__t"), acc["at"] + 1, F.length("__t"))),
     )
     return base.select(id_col, F.when(F.col("spans").isNull(), F.col("__t")).otherwise(text).alias("redacted"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_replaced"))
+
+
+if __name__ == "__main__":
+    save(train())

@@ -9,10 +9,9 @@ KINDS = ("email", "phone", "identity", "address", "name")
 _NOUNS = "cache ledger token queue index parser module worker batch schema cursor router shard layer stage signal registry buffer widget panel".split()
 _VERBS = "load store merge drain fetch build parse open close split verify render walk sync".split()
 _CAPS = "Cold Warm Lazy Stale Shared Local Remote Nested Partial Signed Frozen".split()
+_SMALL = "are was that when where which each nothing else touches keeps reads path lists plan wider local names files lines edges calls users tests docs race cleanup reference memory caller owner release before after only whole branch line error table group time data text page item".split()
 _ROLES = "Manager Broker Notes Service Handler Factory Builder Monitor Runner Guide Center Index Lane Board Report".split()
 _ADJ = "Session Release Profile Worker Build Error Test Cache Project Design Status Type Event Code Data".split()
-# Capitalised words of titles of things, not of people.
-ORDINARY = frozenset(w.lower() for w in _ROLES + _ADJ) - {"lane"}
 _HOSTS = "willow ashgate riverton mail.oakfield corp.thornby mx1.pinewood-it eu.ops.redhill post.brook".split()
 _TLDS = "example test invalid example.com example.org example.net com org io".split()
 _SERVICE = "git noreply no-reply support admin root postmaster security builds ci-bot info hello team webmaster".split()
@@ -38,14 +37,36 @@ _WITH = (
     "Signed-off-by: {name} <{email}>", "Reviewed-by: {name} <{email}>", "Contact: {name}\n{address}\nTel. {phone}", "Ship the board to {name}, {address}.", "Bitte an {name}, {address} wenden.", "Écrire à {name} ({email}).", "Preguntar a {name}, tel. {phone}.",
     'The user record was {{"name": "{name}", "email": "{email}", "phone": "{phone}"}}', "| {name} | {email} | {phone} |", "Sample row: {name};{address};{phone};{id}", "Please remove {label} {id} from the test data.", "The fixture still has the {label} {id} of {name}.",
     "DEBUG payload {label}={id} addr='{address}'", "> I moved to {address}, so update the file.", "My number is {phone}, call before noon.", "log: login failed for {email} from worker {d}", "curl -d 'who={email}&doc={id}' /api/{f}", "mailto:{email}?subject=patch",
-    "Ping {email} if {f} breaks", "Mail from {email} about `{f}`.", "assigned to '{email}'", "{name} and {name} agreed.", "Call {phone} or write to {email}.", "Frau {name} wohnt in {address}.", "Mme {name}, {address}", "Send it to {name}", "{name}", "{address}", "{label}: {id}", "owner = \"{email}\"",
+    "Ping {email} if {f} breaks", "Ping me at {email} if {f} breaks.", "traceback: KeyError: '{email}' in {f}", '"email": "{email}", "phone": "{phone}"', 'user record was {{"name": "{name}", "email": "{email}"}}', "Preguntar a {name}, tel. {phone}.", "Mr {name} reported it by phone (tel:{phone}).", "module level?  {name} wrote:\n> I moved to {address}.", "Dr {name} and Ms {name} met Herr {name}.", "Écrire à {name} ({email}).", "> I moved to {address}, so update the CODEOWNERS file.", "Bitte {name} ({email}) fragen.", "Mail from {email} about `{f}`.", "assigned to '{email}'", "{name} and {name} agreed.", "Call {phone} or write to {email}.", "Frau {name} wohnt in {address}.", "Mme {name}, {address}", "Send it to {name}", "{name}", "{address}", "{label}: {id}", "owner = \"{email}\"",
+)
+# Frames of sentences, code and logs without personal information; {w} is any invented or listed word, {W} the same with a capital, {WW} two or three of these joined.
+_FRAMES = (
+    "The {w} {w} {w} is {w} after the {w} {w}.", "{W} of {w} {w}: {d} files, {ddd} symbols, depth {d}.", "In {w}/{w} the {w} keeps a {w} to the {w} {w}, so {w} {w} slowly.", "Edges of type {U} into {w}/{w} {w} this {w}.", "Node {WW} sits in {dd} hyperedges, most of them {U}.", "Benchmarks: {ddd} ops before, {dddd} after, same {w}.",
+    "# {WW} {w}", "## {W} {W} {w}", "- {W} the {w} {w} of {f}", "Chunk {d} of {w} is {w}.", "Search ranks {w}/{w} first although {WW} is the real owner.", "`{f}` now accepts a timeout of {ddd} ms and gives up after {d} tries.", "{WW} {w} its {w} logic from a base that nobody {w}.", "Without the {w} a {w} {w} reaches `{f}` and raises in line {ddd}.",
+    "The summary names {WW}, {f} and {ddd} key {w}.", "{WW} {w} its {w}. {W} {w} a {w}.", "en {w}/{w} el {w} guarda una referencia a {WW}. {W} {w} a `{f}`.", "Die Tests für {WW} {w}. {W} {w}.", "Why does {w}/{w} import {WW} at module level?", "{W} chain goes from {WW} through {f}.", "func ({w} *{WW}) {W}({w} {WW}, n int) {", "async {cc}({w}: {WW}, n: number): {WW} {", "so update the {UU} file.", "{UU} {w} {w}", "# {UU}", "Bitte vor dem {W} die {W} für {WW} ergänzen.", "Les tests de {WW} ne couvrent pas ce cas.", "The @{w}_{w} on {WW} is wrong.", "{W}{w} {w} the {W}.", "Chunk {d} of {w}/{w} is indexed.",
+    "  const {w}_{dd}: number = {cc}({w}, {ddd});", "let {w}_{d}: {w} = {cc}({w}, {ddd}); // {w} {W}", "const {w}_{dd} = {cc}({w}, {dd});", "    {w} {w} = {w}.{cc}({w}, {ddd}, {d});", "    }}\n  {w}.{cc}({ddd}, \"{w} {w}\");", "Why does it import {WW} at module level? {W} {w}.", "Nothing else in {w}/{w} touches the {w}.", "{W}, {W} {w} {w}: {w}", "  for (const {w} of {cc}({w})) {", "export function {cc}({w}: {WW}, n: number): number {",
+    "Fixed in {W} {W} {d}.{dd}, see {W} {W}.", "{W} {W} and {W} {W} are {w} here.", "{W}: {W} {W} {w}", "The {W} {W} page of {w} lists {dd} {W} {W} items.", "Order of {dd} {A} {W} {w}.", "Order of {dd} {A} {X} tasks.", "{dd} {W} {X} rows in {w}", "Le {w} {w} de {f} ne {w} pas le {w}.", "Il faut déplacer {f} hors de la {w} du {w}.", "El {w} de {w} no {w} la {w} {w}.", "Der {w} in {w}/{w} {w} die {W} {W}.", "{W} {W} prüft {w} und {W}.",
+    "func {W}(ctx *{WW}, n int) (int, error) {", "function {cc}({w}, opts) {", "const {w}_{dd}: {WW}<{W}> = {cc}({w}, {ddd});", "  if ({w}.{cc}({d}) > {ddd}) { return null; }", "\t{w}_{d} := {cc}({w}, {ddd})", "    {w} = self.{f}({w}=\"{w} {w}\", {w}={d})", "public static void {cc}({WW} {w}, int {w}) {", "let mut {w}: Vec<{WW}> = {cc}(&{w}, {d});", "class {WW}({WW}):", "import { {WW}, {cc} } from './{w}/{w}';", "from {w}.{w} import {WW} as {W}", "  {w}.{cc}(\"{w} {w}\", {ddd});", "return {w} / {dd}.{d} + {w}[{d}];", "#include <{w}/{w}.h>", "static const char *{w}[] = {\"{W} {W}\", \"{w}\"};", "assert {f}({d}, {w}=[{d}, {dd}, {ddd}]) == '{WW}'", "// {W} the {w} when {w} is {w}", "/* {W} {W}: {w} {w} */", "@{w}.{w}(\"/{w}/<int:{w}>\")", "@{w}_{w}", "  \"{w}\": {\"{w}\": {ddd}, \"{w}_{w}\": \"{W} {W}\"},",
+    "{y}-0{d}-{dd}T{dd}:{dd}:{dd}Z {U} {w}: {w} {w} took {ddd} ms", "{y}/{d}/{dd} {dd}:{dd} [{w}-{d}] {U} {w}={hex}", "  at {w}.{WW}.{cc}({WW}.java:{ddd})", "Traceback (most recent call last):", "  File \"/{w}/{w}/{f}.py\", line {ddd}, in {f}", "{WW}Error: {w} {d} of {dd}", "diff --git a/{w}/{w}.go b/{w}/{w}.go", "@@ -{dd},{d} +{dd},{d} @@ func {W}({w})", "+    {w}: {d}.{d}.{dd}", "| {w} | {ddd} | {WW} | {d}.{dd} |", "https://{w}.example/{w}/{w}?{w}={ddd}&{w}={hex}", "git clone {svc}@{w}.example:{w}/{w}.git", "scp {svc}@{w}:{w}/{w} .", "npm i {w}@{d}.{dd}.{d} @{w}/{w}@{d}", "{hex}{hexx} {w}/{w}.c", "id: {hex}-{dddd}-{dddd}-{dddd}-{hexx}{dd}", "ISBN {ddd}-{d}-{dddd}-{dddd}-{d}", "range {ddd}-{dddd}, step {dd}-{dd}-{dddd}x", "{dddd}-{dddd}-{dddd} bytes", "{d}{dddd}{dddd}{dddd} ns", "port {dddd}, pid {dddd}{d}, uid {dddd}{dddd}{dd}", "v{d}.{d}.{d} {d}.{dd}.{dddd} {d}.{d}.{d}-rc.{d}", "10.{dd}.{ddd}.{d}/{dd} via 192.168.{d}.{dd}", "0x{hexx} {ddd}% {dd}/{dd} {d}e-{d} {dd}:{dd}",
+    "Co-authored by the {W} {W} team", "cc the {w} {W} on call", "Thanks to everybody for {w}.", "Ping me if {f} breaks.", "Contact the {W} {W} {w}.", "Call {f} or write to the {w}.", "Please remove the {w} {w} from the test data.", "author: {w}-bot", "Reviewed-by: {w} {w}", "Signed off in {W} {y}.", "My {w} is {ddd}.", "I moved to {w} {W}, so update the {w}.", "{W} street, {W} road and {w} lane are layers.", "Tel. means {w} here.", "addr={hexx} phone={d} id={ddd}", "mail to {svc}@{host}.{tld}", "from {svc}@{host}.{tld} to {svc}+{w}@{host}.{tld}",
 )
 _LABELS = "SSN,social security number,NI number,NINO,DNI,passport no.,passport number,Personalausweis,national insurance number".split(",")
 
 
 class Maker:
+    """Makes labelled texts from the given name parts; without any, from invented ones."""
+
     def __init__(self, given: list[str], family: list[str], seed: int):
-        self.r, self.given, self.family = random.Random(seed), given, family
+        self.r = random.Random(seed)
+        self.given, self.family = given or self._parts(60), family or self._parts(60)
+
+    def _parts(self, n: int) -> list[str]:
+        out: dict[str, None] = {}
+        while len(out) < n:
+            w = self._word().capitalize()
+            if len(w) > 3:
+                out[w if len(out) % 9 else f"{w}-{self._word().capitalize()}a"] = None
+        return list(out)
 
     def _word(self) -> str:
         r = self.r
@@ -87,8 +108,8 @@ class Maker:
         x = r.random()
         if x < 0.6:
             out = f"{local}@{host}"
-        elif x < 0.8:
-            at, dot = r.choice([(" [at] ", " [dot] "), (" AT ", " DOT "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", ".")])
+        elif x < 0.84:
+            at, dot = r.choice([(" [at] ", " [dot] "), (" AT ", " DOT "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), (" (at) ", "."), (" [at] ", "."), (" at ", ".")])
             out = local + at + host.replace(".", dot)
         else:
             out = local + r.choice(["%40", "&#64;", "&#x40;", "&commat;", "\\u0040"]) + host
@@ -125,6 +146,8 @@ class Maker:
         f = lambda: f"{r.choice(_VERBS)}_{r.choice(_NOUNS)}"
         plain = {
             "n": lambda: r.choice(_NOUNS), "f": f, "p": lambda: f"{r.choice(_NOUNS)}/{r.choice(_NOUNS)}", "C": lambda: r.choice(_CAPS) + r.choice(_NOUNS).capitalize(), "A": lambda: r.choice(_ADJ), "R": lambda: r.choice(_ROLES), "W": lambda: r.choice(_WAYS),
+            "w": lambda: r.choice(r.choice((_NOUNS, _VERBS, _SMALL))) if r.random() < 0.7 else self._word(), "W": lambda: (r.choice(r.choice((_ADJ, _ROLES, _CAPS))) if r.random() < 0.6 else r.choice(r.choice((_NOUNS, _VERBS, _SMALL))).capitalize()), "X": lambda: r.choice(_WAYS).rstrip("."), "U": lambda: r.choice(("CALLS", "IMPORTS", "DEFINES", "INFO", "WARN", "ERROR", "DEBUG", "TODO", "INHERITS")),
+            "WW": lambda: "".join((r.choice(r.choice((_CAPS, _ADJ, _NOUNS, _SMALL, _VERBS))) if r.random() < 0.7 else self._word()).capitalize() for _ in range(r.choice((2, 2, 2, 3)))), "UU": lambda: (r.choice(("CODEOWNERS", "README", "LICENSE", "CHANGELOG", "MAKEFILE")) if r.random() < 0.3 else (self._word() + r.choice(_SMALL)).upper()), "cc": lambda: r.choice(_VERBS) + r.choice(_NOUNS).capitalize() + (r.choice(_NOUNS).capitalize() if r.random() < 0.3 else ""),
             "svc": lambda: r.choice(_SERVICE), "host": lambda: r.choice(_HOSTS), "tld": lambda: r.choice(_TLDS), "y": lambda: str(r.randint(2015, 2030)), "hex": lambda: "".join(r.choice("0123456789abcdef") for _ in range(7)), "hexx": lambda: "".join(r.choice("0123456789abcdef") for _ in range(10)), "label": lambda: r.choice(_LABELS), "d13": lambda: d(13), "d11": lambda: d(11),
         }
         kinds = {"name": "name", "email": "email", "phone": "phone", "id": "identity", "address": "address"}
@@ -134,9 +157,9 @@ class Maker:
                 out.append((template[i:], ""))
                 break
             out.append((template[i:j], ""))
-            if template[j : j + 2] == "{{":
+            if template[j : j + 2] == "{{" or not template[j + 1 : j + 2].isalpha():
                 out.append(("{", ""))
-                i = j + 2
+                i = j + (2 if template[j : j + 2] == "{{" else 1)
                 continue
             k = template.index("}", j)
             key = template[j + 1 : k]
@@ -150,7 +173,8 @@ class Maker:
         chars: list[str] = []
         tags: list[str] = []
         while len(chars) < length:
-            for t, k in self._fill(r.choice(_WITH if r.random() < 0.5 else _PLAIN)) + [(r.choice([" ", " ", "\n", "\n\n", "  "]), "")]:
+            x = r.random()
+            for t, k in self._fill(r.choice(_WITH if x < 0.34 else _PLAIN if x < 0.6 else _FRAMES)) + [(r.choice([" ", " ", "\n", "\n\n", "  "]), "")]:
                 chars.extend(t)
                 tags.extend((f"B-{k}" if i == 0 else f"I-{k}") if k else "O" for i in range(len(t)))
         return "".join(chars[:length]), tags[:length]
