@@ -155,11 +155,36 @@ def test_whole_literals_are_judged():
     assert generated.measure(f"W = [\n{names}\n]\n", "r/a.py")[1] < generated.BLOB_SHARE
 
 
-def test_hot_rules_give_the_same_shares(spark):
-    rows = [("a/x", "a", [1, 1, 2, 3]), ("b/y", "b", [1, 3, 4]), ("b/z", "b", [4, 5]), ("c/e", "c", [])]
-    m = spark.createDataFrame(rows, "source_path string, repo string, rules array<long>")
-    want = sorted(r.hits for r in generated.shared_rules(m).collect())
-    assert want == [2, 3] and sorted(r.hits for r in generated.shared_rules(m, hot_rows=2).collect()) == want
+def test_corpus_grammar_covers_what_is_shared(spark):
+    block, other = list(range(100, 109)), list(range(200, 205))
+    rows = [
+        ("a/x", "a", [1, 2, *block, 3]), ("b/y", "b", [4, *block, 5]), ("b/z", "b", [*other, 6]), ("c/w", "c", [7, *other, 8, 9, *block]), ("c/e", "c", []),
+        ("d/own", "d", [11, 12, 13, 14, 15]), ("d/own2", "d", [11, 12, 13, 14, 15]),  # shared within one repository only
+        ("e/few", "e", [100, 101, 20, 102, 103, 21, 104]), ("e/run", "e", [30] * 9), ("f/run", "f", [31, *[30] * 8]),
+    ]
+    m = spark.createDataFrame(rows, "source_path string, repo string, lines array<long>")
+    names = {r.file: r.source_path for r in m.select("source_path", F.xxhash64("source_path").alias("file")).collect()}
+    got = {names[r.file]: r.hits for r in generated.shared_rules(m).collect()}
+    assert {k: got.pop(k) for k in ("a/x", "b/y", "b/z", "c/w")} == {"a/x": 9, "b/y": 9, "b/z": 5, "c/w": 14}
+    assert set(got) <= {"e/run", "f/run"} and all(v >= 4 for v in got.values())
+    assert {names[r.file]: r.hits for r in generated.shared_rules(m, hot_rows=1).collect()} | got == {names[r.file]: r.hits for r in generated.shared_rules(m).collect()}
+    assert generated.shared_rules(m.limit(0)).count() == 0
+
+
+def test_number_tables_by_grammar():
+    r = random.Random(2)
+    numbers = ", ".join(str(r.randint(0, 999)) for _ in range(300))
+    assert generated.table_share(f"WEIGHTS = [{numbers}]\n") > 0.8
+    assert generated.table_share("T = [" + ", ".join(f"[{r.random():.4f}, -{r.random():.3f}]" for _ in range(100)) + "]\n") > 0.6
+    code = "".join(f"def f{i}(x):\n    return x + {i}\n\n" for i in range(40))
+    assert generated.table_share(code) == 0.0 and generated.table_share(code + f"W = [{numbers[:120]}]\n") < 0.3 and generated.table_share("") == 0.0
+
+
+def test_third_party_comments(spark):
+    says = ("# Vendored from alpha 1.2, local patches: none.\nx = 1\n", "// Copied verbatim from the upstream beta release 3; sync with tools/pull.\nlet x = 1;\n")
+    for text, path in zip(says, ("r/a.py", "r/a.js")):
+        assert generated.measure(text, path)[5]
+    assert not generated.measure("X = 'Vendored from alpha'\n# Licensed under the terms in NOTICE.\n", "r/a.py")[5]
 
 
 # 5 syntax

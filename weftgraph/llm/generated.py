@@ -2,8 +2,8 @@
 
 Each file's text becomes a sequence of statement tokens (a statement with its names, numbers and strings taken out), for which a Re-Pair grammar is
 inferred. Tool output and tables are made of few rules used over and over. Large literals get a grammar over their characters;
-what hardly shrinks is a blob. Third-party copies are found over the whole corpus: runs of lines become rules by pairing, level by level, and a rule that
-occurs in several repositories or in a known library marks the files it covers.
+what hardly shrinks is a blob. Third-party copies are found by one grammar of the whole corpus: over the lines of all files and libraries the commonest pairs of neighbours become rules, round by round, and rules that occur in several
+repositories or in a known library mark the files they cover.
 """
 
 from __future__ import annotations
@@ -15,22 +15,22 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, release
 from .syntax import newest_files
 
 REUSED, BLOB_CHARS, BLOB_RATE, BLOB_SHARE, SHARED = 0.6, 200, 0.62, 0.3, 0.3
 EVEN = 0.81  # bits of the characters of random data, against those of its alphabet, that even short samples exceed and prose, code and word lists do not
 PACKED = 3  # statements a line from which a file counts as minified
-LEVELS, SHORT = 2, 16  # rules span 2^LEVELS lines; lines under SHORT characters say too little
+LONG, SHORT = 4, 16  # rules of LONG lines or more tell a copy; lines under SHORT characters say too little
 
 _COMMENT = {"py": r"#[^\n]*|^\s*(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')", "": r"//[^\n]*|/\*[\s\S]*?\*/"}
 _STR = r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`"
 _TAKE = {k: re.compile(f"({_STR})|(?:{c})", re.M) for k, c in _COMMENT.items()}
 _WORD = re.compile(r"[^\W\d][\w$]*")
-_NUM = re.compile(r"\b\d[\w.]*")
 _RUN = re.compile(r"(?:[-+]?(?:0|s)\s*[,;]?\s*){3,}")
 _GAP = re.compile(r"[ \t]+")
 _JOIN = re.compile(r"[\s,+\\]*(?:\b[bBrRuUfF]{1,2})?")  # what may stand between two literals of a run
@@ -38,10 +38,24 @@ _CUT = re.compile(r"\n|(?<=[;{}])")
 _KEEP = frozenset("if for while return def class func fn function struct type interface enum const let var static public private package import from export".split())
 
 
-_NAMES = re.compile(r"\b(?!(?:" + "|".join(sorted(_KEEP)) + r")\b)[^\W\d][\w$]*")
+class _Marks(dict):
+    """What stands for a word or number: itself for keywords, 0 for numbers, a for names; kept until there are very many."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        mark = self[word] = word if word in _KEEP else "0" if word[0].isdigit() else "a"
+        return mark
+
+
+_ITEM = re.compile(r"[^\W\d][\w$]*|\b\d[\w.]*")
+_marks = _Marks()
+
+
 # What tools write into the comments of their output, and how they name files and folders (fixed values).
 _MARK = re.compile(r"(?i)\bcode generated by\b|@generated\b|<auto-?generated\b|\bauto-?generated (?:file|by|code)\b|\bautomatisch erzeugt\b|\bproduced by a tool\b|\b(?:made|emitted|written|generated|created) by [\w.-]+ v?\d|\bcommands emitted by\b|\bfile (?:is|was) (?:auto-?)?generated\b")
 _TOOL_FILE = re.compile(r"(?:\.pb\.(?:go|c|h|cc)|_pb2(?:_grpc)?\.py|\.(?:gen|g|generated|designer)\.\w+|\.tab\.[ch]|\.lex\.c)$")
+_FOREIGN = re.compile(r"(?i)\bvendored from\b|\bcopied (?:verbatim )?from (?:the )?upstream\b|\bthird[- ]party code\b")
 TOOL_DIRS = ("gen", "generated", "__generated__", "autogen", "_generated")
 
 
@@ -66,7 +80,7 @@ def statements(text: str, ext: str) -> tuple[list[str], list[str], list[str]]:
         return ' "" '
 
     bare = _TAKE["py" if ext == "py" else ""].sub(take, text)
-    bare = _NUM.sub("0", _NAMES.sub("a", bare)).replace('""', "s")
+    bare = _ITEM.sub(lambda m: _marks[m[0]], bare).replace('""', "s")
     bare = _RUN.sub("0+", bare)
     parts = (p.strip() for p in _CUT.split(_GAP.sub(" ", bare)))
     literals = ["".join(r) if len(r) == 1 else "".join(map(_inside, r)) for r in runs]
@@ -230,14 +244,63 @@ def shrink(literal: str) -> float:
     return grammar_bits(x) / full if _entropy(counts.values()) > EVEN * full else 0.0
 
 
-_DIGITS = re.compile(r"[-+\s\[\](){},.\d]{200,}|(?:0x[\da-fA-F]+,\s*){20,}")
+_VALUE = re.compile(r"(?<![\w$])[-+]?(?:\d[\w.]*|\.\d[\w.]*)")
+
+
+def table_share(text: str) -> float:
+    """Share of a text's characters in tables of numbers: its numbers become 0 and its names a, and rules that double again and again hold numbers, signs and brackets only.
+
+    Only where numbers and what stands between them could make up BLOB_SHARE of the text is the grammar built at all.
+    """
+    values = sum(len(m) for m in _VALUE.findall(text))
+    if 2 * values < BLOB_SHARE * len(text):
+        return 0.0
+    seq: list[str] = []
+    size: list[int] = []
+    at = 0
+    for m in _TABLE.finditer(text):
+        k = m.lastgroup
+        if k == "blank":
+            if size:
+                size[-1] += m.end() - at  # white space belongs to what stands before it
+            at = m.end()
+            continue
+        seq.append("0" if k == "value" else "a" if k == "name" else m.group())
+        size.append(m.end() - at)
+        at = m.end()
+    s, rules, terminals = re_pair(seq)
+    plain, length, power = [x not in ("a", '"', "'", "`") for x in terminals], dict.fromkeys(range(len(terminals)), 1), {}
+    good = dict(enumerate(plain))
+    for r, (a, b) in rules.items():
+        good[r] = good[a] and good[b]
+        length[r] = length[a] + length[b]
+        power[r] = power.get(a, 0) + 1 if a == b else 0
+    total, at = 0, 0
+
+    def covered(x: int, at: int) -> int:
+        if good[x] and power.get(x, 0) >= 2:
+            return sum(size[at : at + length[x]])
+        if x in rules:
+            a, b = rules[x]
+            return covered(a, at) + covered(b, at + length[a])
+        return 0
+
+    for i, x in enumerate(s):
+        n = covered(x, at)
+        if not n and good[x] and i and _root(s[i - 1], rules) == _root(x, rules):
+            n = sum(size[at : at + length[x]])
+        total += n
+        at += length[x]
+    return total / max(1, len(text))
+
 
+_TABLE = re.compile(r"(?P<blank>\s+)|(?P<value>[-+]?(?:\d[\w.]*|\.\d[\w.]*))|(?P<name>[^\W\d][\w$]*)|(?P<sign>.)")
 
-def measure(text: str, path: str) -> tuple[float, float, float, float, bool]:
-    """(reuse of rules, share of near-incompressible literals and number tables, statements a line, share of names of one or two characters, marked as tool output)."""
+
+def measure(text: str, path: str) -> tuple[float, float, float, float, bool, bool]:
+    """(reuse of rules, share of near-incompressible literals and number tables, statements a line, share of names of one or two characters, marked as tool output, marked as a third-party copy)."""
     tokens, literals, comments = statements(text, path.rsplit(".", 1)[-1].lower())
     blob = sum(len(x) for x in literals if len(x) > BLOB_CHARS and shrink(x) > BLOB_RATE)
-    numbers = sum(len(m) for m in _DIGITS.findall(text) if sum(map(str.isdigit, m)) > 0.3 * len(m))
     lines = max(1, sum(1 for x in text.split("\n") if x.strip()))
     density = len(tokens) / lines
     short = 0.0
@@ -246,37 +309,21 @@ def measure(text: str, path: str) -> tuple[float, float, float, float, bool]:
         short = sum(len(w) < 3 or (len(w) < 5 and w[1:].isdigit()) for w in names) / max(1, len(names))
     parts = path.split("/")
     marked = any(_MARK.search(c) for c in comments) or bool(_TOOL_FILE.search(parts[-1])) or any(x in TOOL_DIRS for x in parts[1:-1])
-    return reuse(tokens), max(blob, numbers) / max(1, len(text)), density, short, marked
+    foreign = any(_FOREIGN.search(c) for c in comments)
+    return reuse(tokens), max(blob / max(1, len(text)), table_share(text)), density, short, marked, foreign
 
 
 def _lines(text: str) -> list[str]:
-    return [x for x in (re.sub(r"\s+", " ", raw).strip() for raw in text.split("\n")) if len(x) >= SHORT]
-
-
-def line_rules(text: str) -> list[int]:
-    """A file's corpus rules: runs of 2^LEVELS lines, each named by pairing the names of its halves."""
-    names = [hash_line(x) for x in _lines(text)]
-    step = 1
-    for _ in range(LEVELS):
-        names = [pair_name(names[i], names[i + step]) for i in range(len(names) - step)]
-        step *= 2
-    return names
-
+    return [x for x in (" ".join(raw.split()) for raw in text.split("\n")) if len(x) >= SHORT]
 
-def hash_line(x: str) -> int:
-    import xxhash
 
-    return xxhash.xxh64_intdigest(x)
-
-
-def pair_name(a: int, b: int) -> int:
-    x = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + 0x165667B1) & 0xFFFFFFFFFFFFFFFF
-    x ^= x >> 31
-    return (x * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+def line_names(text: str) -> list[int]:
+    """A file's terminals of the corpus grammar: the names of its lines, white space aside."""
+    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in _lines(text)]
 
 
 # Folders that hold other people's code or tools' output, by custom (fixed values).
-VENDOR_DIRS = ("vendor", "_vendor", "third_party", "thirdparty", "third-party", "node_modules", "bower_components", "external", "extern", "deps")
+VENDOR_DIRS = ("vendor", "_vendor", "3rdparty", "3rd_party", "third_party", "thirdparty", "third-party", "node_modules", "bower_components", "external", "extern", "deps")
 
 
 LIBRARY = "\x00library"
@@ -287,27 +334,58 @@ def _measured(files: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for path, repo, text in zip(f["source_path"], f["repo"], f["markdown"]):
-                found = measure(text, path) if text and repo != LIBRARY else (0.0, 0.0, 0.0, 0.0, False)
-                rows.append((path, repo, *found, line_rules(text) if text else []))
-            yield pd.DataFrame(rows, columns=["source_path", "repo", "reuse", "blob", "density", "short_names", "marked", "rules"])
+                found = measure(text, path) if text and repo != LIBRARY else (0.0, 0.0, 0.0, 0.0, False, False)
+                rows.append((path, repo, *found, line_names(text) if text else []))
+            yield pd.DataFrame(rows, columns=["source_path", "repo", "reuse", "blob", "density", "short_names", "marked", "foreign", "lines"])
 
-    return files.mapInPandas(run, "source_path string, repo string, reuse double, blob double, density double, short_names double, marked boolean, rules array<long>")
+    return files.mapInPandas(run, "source_path string, repo string, reuse double, blob double, density double, short_names double, marked boolean, foreign boolean, lines array<long>")
 
 
-def shared_rules(measured: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """(file, hits): how many of each file's rules occur in another repository or in a library file.
+def _in_two_homes(rows: DataFrame, symbol: str, hot_rows: int) -> DataFrame:
+    """The rows whose symbol occurs in two repositories (or one and a library), with ``uses``, the symbol's number of rows.
 
-    A rule is judged by its least and greatest repository, reduced before the shuffle, so no rule's files are ever gathered; a rule twice in a file counts twice. Common rules with more than
-    ``hot_rows`` rows (at least 50,000, a thousandth of all rows and so at most 1,000 rules) are sent to the rows instead of joined with them.
+    A symbol is judged by its least and greatest repository, reduced before the shuffle, so no symbol's files are ever gathered. Symbols with more than ``hot_rows`` rows are sent to the rows instead of joined with them.
     """
-    rows = measured.select(F.xxhash64("source_path").alias("file"), F.xxhash64("repo").alias("home"), F.explode("rules").alias("rule"))
+    common = rows.where(F.col(symbol).isNotNull()).groupBy(F.col(symbol).alias("s")).agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.count(F.lit(1)).alias("uses")).where("lo <> hi").select("s", "uses")
+    hot = F.broadcast(common.where(F.col("uses") > hot_rows).select(F.col("s").alias("hot_s"), F.col("uses").alias("hot_uses")))
+    marked = rows.join(hot, F.col(symbol) == F.col("hot_s"), "left")
+    cold = marked.where("hot_s is null").join(common.where(F.col("uses") <= hot_rows), F.col(symbol) == F.col("s"), "left")
+    warm = marked.where("hot_s is not null")
+    return cold.select(*rows.columns, "uses").unionByName(warm.select(*rows.columns, F.col("hot_uses").alias("uses")))
+
+
+def shared_rules(measured: DataFrame, hot_rows: int | None = None, rounds: int | None = None) -> DataFrame:
+    """(file, hits): how many of each file's lines are covered by rules of LONG lines or more that occur in another repository or in a library file.
+
+    Re-Pair over the corpus, in rounds: terminals are the lines found in two repositories; in a round every pair of neighbours is counted over all files, and a pair found in two repositories becomes a rule wherever it is
+    commoner (ties: by name) than the pairs it overlaps. Rounds go on until no rule under LONG lines has a pair left to join. Symbols with more than ``hot_rows`` rows (at least 50,000, a thousandth of all lines, so at most 1,000 symbols) are broadcast.
+    """
+    rows = measured.select(F.xxhash64("source_path").alias("file"), F.xxhash64("repo").alias("home"), F.posexplode("lines").alias("pos", "sym")).withColumn("len", F.lit(1))
     if hot_rows is None:
-        hot_rows = max(50_000, (measured.agg(F.sum(F.size("rules"))).head()[0] or 0) // 1000)
-    common = rows.groupBy("rule").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("rule", (F.col("n") > hot_rows).alias("hot"))
-    hot = F.broadcast(common.where("hot").select(F.col("rule").alias("hot_rule")))
-    marked = rows.join(hot, F.col("rule") == F.col("hot_rule"), "left")
-    cold = marked.where("hot_rule is null").join(common.where("not hot"), "rule", "left_semi").select("file")
-    return cold.unionByName(marked.where("hot_rule is not null").select("file")).groupBy("file").agg(F.count(F.lit(1)).alias("hits"))
+        hot_rows = max(50_000, (measured.agg(F.sum(F.size("lines"))).head()[0] or 0) // 1000)
+    now = materialize(_in_two_homes(rows, "sym", hot_rows).where("uses is not null").drop("uses"), "terminals")
+    w = Window.partitionBy("file").orderBy("pos")
+    k = 0
+    while rounds is None or k < rounds:
+        after = F.lead("pos").over(w) == F.col("pos") + F.col("len")
+        # both long: joined already well enough
+        pair = F.when(after & ((F.col("len") < LONG) | (F.lead("len").over(w) < LONG)), F.xxhash64(F.lit(k), "sym", F.lead("sym").over(w)))
+        paired = _in_two_homes(now.withColumn("pair", pair).withColumn("next_len", F.lead("len").over(w)), "pair", hot_rows)
+        rank = F.when(F.col("uses").isNotNull(), F.struct("uses", "pair"))
+        ranked = paired.withColumn("rank", rank)
+        before, behind = F.lag("rank").over(w), F.lead("rank").over(w)
+        ranked = ranked.withColumn("taken", F.coalesce(F.col("rank").isNotNull() & (before.isNull() | (F.col("rank") > before)) & (behind.isNull() | (F.col("rank") >= behind)), F.lit(False)))
+        ranked = ranked.withColumn("gone", F.coalesce(F.lag("taken").over(w), F.lit(False)))
+        done = ranked.where("not gone").select("file", "home", "pos", F.when(F.col("taken"), F.col("pair")).otherwise(F.col("sym")).alias("sym"), F.when(F.col("taken"), F.col("len") + F.col("next_len")).otherwise(F.col("len")).alias("len"), "taken")
+        done = materialize(done, f"rules{k}")
+        more = not done.where("taken").isEmpty()
+        release(now)
+        now = done.drop("taken")
+        now._weft_path = done._weft_path
+        k += 1
+        if not more:
+            break
+    return now.where(F.col("len") >= LONG).groupBy("file").agg(F.sum("len").alias("hits"))
 
 
 def not_by_hand(docs: DataFrame, library: DataFrame) -> DataFrame:
@@ -315,17 +393,17 @@ def not_by_hand(docs: DataFrame, library: DataFrame) -> DataFrame:
 
     The newest version of each file counts (see newest_files). Output of tools shaped like hand-written code shows no grammar of its own; it is known by the tool's
     mark in a comment (never in a string) or by the file's or folder's name. Rules shared over repositories cannot show a third-party copy that occurs once and is in no known library; such files
-    are taken from their folder. NULL and empty texts are hand-written. Repeated rows count once; no rows, no rows out; the library may be empty.
+    are taken from their folder or from a comment that says so. NULL and empty texts are hand-written. Repeated rows count once; no rows, no rows out; the library may be empty.
     """
     lib = library.where("text is not null").select(F.concat(F.lit("\x00"), F.coalesce(F.col("lib_file_id").cast("string"), F.lit(""))).alias("source_path"), F.lit(LIBRARY).alias("repo"), F.col("text").alias("markdown"))
     measured = materialize(_measured(newest_files(docs).unionByName(lib)), "measured")
     hits = shared_rules(measured)
     own = measured.where(F.col("repo").isNull() | (F.col("repo") != LIBRARY)).withColumn("file", F.xxhash64("source_path"))
-    both = own.join(hits, "file", "left").withColumn("shared", F.coalesce(F.col("hits") / F.size("rules"), F.lit(0.0)))
+    both = own.join(hits, "file", "left").withColumn("shared", F.coalesce(F.col("hits") / F.size("lines"), F.lit(0.0)))
     folder = F.exists(F.slice(F.split("source_path", "/"), 2, 1000), lambda x: x.isin(*VENDOR_DIRS))
     kind = (
         F.when(F.col("blob") >= BLOB_SHARE, "data").when(F.col("density") >= PACKED, "minified").when((F.col("reuse") >= REUSED) | F.col("marked"), "generated").when(minified(), "minified")
-        .when((F.col("shared") >= SHARED) | folder, "vendored").otherwise("")
+        .when((F.col("shared") >= SHARED) | folder | F.col("foreign"), "vendored").otherwise("")
     )
     return both.select("source_path", "repo", kind.alias("kind"), "reuse", "blob", "density", "short_names", "marked", F.round("shared", 6).alias("shared"))
 
