@@ -27,14 +27,14 @@ EVEN = 0.81  # bits of the characters of random data, against those of its alpha
 PACKED = 3  # statements a line from which a file counts as minified
 LONG, SHORT = 4, 16  # rules of LONG lines or more tell a copy; lines under SHORT characters say too little
 
-_COMMENT = {"py": r"#[^\n]*|^\s*(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')", "": r"//[^\n]*|/\*[\s\S]*?\*/"}
+_COMMENT = {"py": r"#[^\n]*", "": r"//[^\n]*|/\*[\s\S]*?\*/"}
 _STR = r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`"
 _TAKE = {k: re.compile(f"({_STR})|(?:{c})", re.M) for k, c in _COMMENT.items()}
 _WORD = re.compile(r"[^\W\d][\w$]*")
 _RUN = re.compile(r"(?:[-+]?(?:0|s)\s*[,;]?\s*){3,}")
-_GAP = re.compile(r"[ \t]+")
+_GAP = re.compile(r"[ \t]{2,}|\t")
 _JOIN = re.compile(r"[\s,+\\]*(?:\b[bBrRuUfF]{1,2})?")  # what may stand between two literals of a run
-_CUT = re.compile(r"\n|(?<=[;{}])")
+_CUT = re.compile(r"(?<=[;{}])(?!\n)")
 _KEEP = frozenset("if for while return def class func fn function struct type interface enum const let var static public private package import from export".split())
 
 
@@ -48,12 +48,13 @@ class _Marks(dict):
         return mark
 
 
-_ITEM = re.compile(r"[^\W\d][\w$]*|\b\d[\w.]*")
+_ITEM, _POINT = re.compile(r"[\w$]+"), re.compile(r"0(?:\.[0a]?)+")
 _marks = _Marks()
 
 
 # What tools write into the comments of their output, and how they name files and folders (fixed values).
 _MARK = re.compile(r"(?i)\bcode generated by\b|@generated\b|<auto-?generated\b|\bauto-?generated (?:file|by|code)\b|\bautomatisch erzeugt\b|\bproduced by a tool\b|\b(?:made|emitted|written|generated|created) by [\w.-]+ v?\d|\bcommands emitted by\b|\bfile (?:is|was) (?:auto-?)?generated\b")
+_MARK_WORDS = ("generated", "erzeugt", "produced by a tool", "made by", "emitted by", "written by", "created by")  # one of them is in every mark
 _TOOL_FILE = re.compile(r"(?:\.pb\.(?:go|c|h|cc)|_pb2(?:_grpc)?\.py|\.(?:gen|g|generated|designer)\.\w+|\.tab\.[ch]|\.lex\.c)$")
 _FOREIGN = re.compile(r"(?i)\bvendored from\b|\bcopied (?:verbatim )?from (?:the )?upstream\b|\bthird[- ]party code\b")
 TOOL_DIRS = ("gen", "generated", "__generated__", "autogen", "_generated")
@@ -68,7 +69,7 @@ def statements(text: str, ext: str) -> tuple[list[str], list[str], list[str]]:
     def take(m: re.Match) -> str:
         nonlocal end
         joins = end >= 0 and _JOIN.fullmatch(text, end, m.start())
-        if m.group(1) is None:
+        if m.group(1) is None or (python and text.startswith(_TRIPLE, m.start()) and _alone(text, m.start())):
             comments.append(m.group())
             end = m.end() if joins else -1
             return " "
@@ -79,14 +80,24 @@ def statements(text: str, ext: str) -> tuple[list[str], list[str], list[str]]:
         end = m.end()
         return ' "" '
 
-    bare = _TAKE["py" if ext == "py" else ""].sub(take, text)
-    bare = _ITEM.sub(lambda m: _marks[m[0]], bare).replace('""', "s")
+    python = ext == "py"
+    bare = _TAKE["py" if python else ""].sub(take, text)
+    bare = _POINT.sub("0", _ITEM.sub(lambda m: _marks[m[0]], bare)).replace('""', "s")
     bare = _RUN.sub("0+", bare)
-    parts = (p.strip() for p in _CUT.split(_GAP.sub(" ", bare)))
+    parts = (p.strip() for p in _CUT.sub("\n", _GAP.sub(" ", bare)).split("\n"))
     literals = ["".join(r) if len(r) == 1 else "".join(map(_inside, r)) for r in runs]
     return [p for p in parts if p and p not in _CLOSERS], literals, comments
 
 
+_TRIPLE = ('"""', "'''")
+
+
+def _alone(text: str, at: int) -> bool:
+    """Only blanks stand before it on its line, and either some do or the line before is empty: a docstring, which is a comment."""
+    line = text.rfind("\n", 0, at) + 1
+    return not text[line:at].strip() and (at > line or text[max(0, line - 2) : line] == "\n\n")
+
+
 def _inside(literal: str) -> str:
     n = 3 if len(literal) > 5 and literal[:3] in ('"""', "'''") else 1
     return literal[n:-n]
@@ -172,22 +183,16 @@ def _entropy(counts) -> float:
     return n * math.log2(n) - sum(c * math.log2(c) for c in counts) if n else 0.0
 
 
-def grammar_bits(text: str) -> float:
-    """Bits of the Re-Pair grammar of a text, from the characters alone to the last rule, where it is least: its sequence by the counts of its symbols, and each rule by one symbol and two bits (rules in the order of their left sides).
-
-    Pairs are counted as they change, so the whole text gets one grammar in about linear time.
-    """
-    ids: dict[str, int] = {}
-    s = [ids.setdefault(x, len(ids)) for x in text]
-    n, terminals = len(s), len(ids)
+def _pairing(s: list[int], terminals: int) -> Iterator[tuple[int, int, int, int]]:
+    """Re-Pair over ``s``, in place and in about linear time, as pairs are counted as they change: yields each rule's (left, right, symbol, uses); taken positions become -1."""
+    n = len(s)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     where: dict[tuple[int, int], set[int]] = {}
     for i in range(n - 1):
         where.setdefault((s[i], s[i + 1]), set()).add(i)
-    counts = Counter(s)
     heap = [(-len(v), k) for k, v in where.items() if len(v) > 1]
     heapq.heapify(heap)
-    best, rules, due = _entropy(counts.values()), 0, 1
+    new = terminals
     while heap:
         c, pair = heapq.heappop(heap)
         at = where.get(pair, ())
@@ -196,7 +201,6 @@ def grammar_bits(text: str) -> float:
                 heapq.heappush(heap, (-len(at), pair))
             continue
         a, b = pair
-        new = terminals + rules
         hits = 0
         touched = set()
         for i in sorted(at):
@@ -218,17 +222,29 @@ def grammar_bits(text: str) -> float:
         where.pop(pair, None)
         if not hits:
             continue
+        for k in touched:
+            if k in where and len(where[k]) > 1:
+                heapq.heappush(heap, (-len(where[k]), k))
+        yield a, b, new, hits
+        new += 1
+
+
+def grammar_bits(text: str) -> float:
+    """Bits of the Re-Pair grammar of a text, from the characters alone to the last rule, where it is least: its sequence by the counts of its symbols, and each rule by one symbol and two bits (rules in the order of their left sides)."""
+    ids: dict[str, int] = {}
+    s = [ids.setdefault(x, len(ids)) for x in text]
+    counts = Counter(s)
+    best, rules, due = _entropy(counts.values()), 0, 1
+    size = lambda: _entropy([x for x in counts.values() if x > 0]) + rules * (math.log2(len(ids) + rules) + 2)
+    for a, b, new, hits in _pairing(s, len(ids)):
         counts[a] -= hits
         counts[b] -= hits
         counts[new] = hits
         rules += 1
-        for k in touched:
-            if k in where and len(where[k]) > 1:
-                heapq.heappush(heap, (-len(where[k]), k))
         if rules >= due:
             due += 1 + due // 8
-            best = min(best, _entropy([x for x in counts.values() if x > 0]) + rules * (math.log2(terminals + rules) + 2))
-    return min(best, _entropy([x for x in counts.values() if x > 0]) + rules * (math.log2(terminals + rules) + 2))
+            best = min(best, size())
+    return min(best, size()) if s else 0.0
 
 
 def shrink(literal: str) -> float:
@@ -244,7 +260,7 @@ def shrink(literal: str) -> float:
     return grammar_bits(x) / full if _entropy(counts.values()) > EVEN * full else 0.0
 
 
-_VALUE = re.compile(r"(?<![\w$])[-+]?(?:\d[\w.]*|\.\d[\w.]*)")
+_VALUE, _NUMBER = re.compile(r"\d[\w.]*"), re.compile(r"(?<![\w$])\d[\w.]*")
 
 
 def table_share(text: str) -> float:
@@ -252,8 +268,10 @@ def table_share(text: str) -> float:
 
     Only where numbers and what stands between them could make up BLOB_SHARE of the text is the grammar built at all.
     """
-    values = sum(len(m) for m in _VALUE.findall(text))
-    if 2 * values < BLOB_SHARE * len(text):
+    values = _VALUE.findall(text)
+    if 2 * (sum(map(len, values)) + 2 * len(values)) < BLOB_SHARE * len(text):  # with a sign and a point each
+        return 0.0
+    if 2 * sum(2 + len(m) for m in _NUMBER.findall(text)) < BLOB_SHARE * len(text):  # digits in names are no numbers
         return 0.0
     seq: list[str] = []
     size: list[int] = []
@@ -268,7 +286,10 @@ def table_share(text: str) -> float:
         seq.append("0" if k == "value" else "a" if k == "name" else m.group())
         size.append(m.end() - at)
         at = m.end()
-    s, rules, terminals = re_pair(seq)
+    ids: dict[str, int] = {}
+    s = [ids.setdefault(x, len(ids)) for x in seq]
+    rules = {new: (a, b) for a, b, new, _ in _pairing(s, len(ids))}
+    s, terminals = [x for x in s if x >= 0], list(ids)
     plain, length, power = [x not in ("a", '"', "'", "`") for x in terminals], dict.fromkeys(range(len(terminals)), 1), {}
     good = dict(enumerate(plain))
     for r, (a, b) in rules.items():
@@ -308,9 +329,10 @@ def measure(text: str, path: str) -> tuple[float, float, float, float, bool, boo
         names = [w for w in _WORD.findall(text) if w not in _KEEP]
         short = sum(len(w) < 3 or (len(w) < 5 and w[1:].isdigit()) for w in names) / max(1, len(names))
     parts = path.split("/")
-    marked = any(_MARK.search(c) for c in comments) or bool(_TOOL_FILE.search(parts[-1])) or any(x in TOOL_DIRS for x in parts[1:-1])
-    foreign = any(_FOREIGN.search(c) for c in comments)
-    return reuse(tokens), max(blob / max(1, len(text)), table_share(text)), density, short, marked, foreign
+    said = "\n".join(comments)
+    low = said.lower()
+    marked = any(x in low for x in _MARK_WORDS) and bool(_MARK.search(said)) or bool(_TOOL_FILE.search(parts[-1])) or any(x in TOOL_DIRS for x in parts[1:-1])
+    return reuse(tokens), max(blob / max(1, len(text)), table_share(text)), density, short, marked, any(x in low for x in ("vendored", "upstream", "third")) and bool(_FOREIGN.search(said))
 
 
 def _lines(text: str) -> list[str]:
@@ -363,8 +385,10 @@ def shared_rules(measured: DataFrame, hot_rows: int | None = None, rounds: int |
     rows = measured.select(F.xxhash64("source_path").alias("file"), F.xxhash64("repo").alias("home"), F.posexplode("lines").alias("pos", "sym")).withColumn("len", F.lit(1))
     if hot_rows is None:
         hot_rows = max(50_000, (measured.agg(F.sum(F.size("lines"))).head()[0] or 0) // 1000)
-    now = materialize(_in_two_homes(rows, "sym", hot_rows).where("uses is not null").drop("uses"), "terminals")
     w = Window.partitionBy("file").orderBy("pos")
+    terminals = _in_two_homes(rows, "sym", hot_rows).where("uses is not null").withColumn("run", F.col("pos") - F.row_number().over(w))
+    # fewer than LONG in a row can never become a rule of LONG lines
+    now = materialize(terminals.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("file", "run"))).where(F.col("n") >= LONG).drop("uses", "run", "n"), "terminals")
     k = 0
     while rounds is None or k < rounds:
         after = F.lead("pos").over(w) == F.col("pos") + F.col("len")
