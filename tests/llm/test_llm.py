@@ -47,6 +47,23 @@ def test_cuts_fall_between_blocks():
     assert all(md.startswith("# H", a) for a, _ in cut_points(md, False, 150, 0))
 
 
+def test_only_siblings_are_merged():
+    text = "# A\n" + "".join(f"word{i} and more of it in this line of the section.\n\n" for i in range(9)) + "tail end.\n\n# B\n\nshort.\n\n# C\n\nshort too.\n"
+    parts = [text[a:b] for a, b in cut_points(text, False, 200, 0)]
+    assert "".join(parts) == text and not any("tail end" in p and "# B" in p for p in parts) and any(p.startswith("# B") and "# C" in p for p in parts)
+    lines = "".join("x" * 30 + "\n" for _ in range(50))
+    assert all(text.endswith("\n") for text in (lines[a:b] for a, b in cut_points(lines, False, 200, 0)))  # no cut in a line that fits
+
+
+def test_overlap_from_a_word_and_sections(spark):
+    text = "# One\n\n" + "alpha beta gamma delta. " * 30 + "\n\n## Two\n\n" + "omega psi chi. " * 40
+    for a, _ in cut_points(text, False, 300, 40, whole_words=True)[1:]:
+        assert not text[a - 1].isalnum()
+    row = ("a", text, "p.md", "md", False, 1, 5, "H", datetime(2025, 1, 1), datetime(2025, 1, 1))
+    got = sorted(split_oversized(spark.createDataFrame([row], CHUNK), 300, 40).collect(), key=lambda r: r.piece_no)
+    assert {r.heading for r in got} == {"H"} and got[0].section == "One" and got[-1].section == "Two" and [r.section for r in got] == sorted(r.section for r in got)
+
+
 def test_split_takes_the_newest_version(spark):
     t = lambda d: datetime(2025, 1, d)
     long, short = "word\r\n" * 500, "short"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.numbering import BEFORE, RANK, number_rows
 from ..runtime import materialize
 
-SEED, SHARDS, BLOCK = 17, 32, 16
+SEED, BLOCK, SHARD_ROWS = 17, 16, 200_000  # rows a shard has at most, about: one task puts them in order
 
 
 def split_quotas(blocks: dict[str, int], shards: int, rng: np.random.Generator) -> dict[str, list[int]]:
@@ -32,10 +32,10 @@ def split_quotas(blocks: dict[str, int], shards: int, rng: np.random.Generator)
     return {n: out[:, i].tolist() for i, n in enumerate(names)}
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, shards: int | None = None, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The drawn documents (doc_id, source, repeat_no, n_tokens, shard, position) and the shares (source, weight, max_repeats, available, quota, tokens, share, target_share).
 
-    ``docs``: doc_id, source, n_tokens; ``targets``: source, weight, max_repeats (one small row per source, read by the driver). Without
+    ``shards`` (by default as many as keep a shard under SHARD_ROWS rows) are each put in order by one task. ``docs``: doc_id, source, n_tokens; ``targets``: source, weight, max_repeats (one small row per source, read by the driver). Without
     ``total_tokens`` the total is the largest at which every source with documents can give its weight. A source without documents gives none, and its weight is
     spread over the others in proportion; a source without a target, with weight NULL or 0, or with max_repeats NULL or 0 is not drawn. A quota above max_repeats
     times what a source has is cut to that and the share reached shows it. The documents of a source are put in a pseudo-random order of
@@ -44,7 +44,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, sh
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", "source", F.col("n_tokens").cast("long").alias("n_tokens")).where("source is not null and n_tokens > 0")
-    base = base.withColumn("perm", F.xxhash64(F.lit(seed), "doc_id"))
+    base = materialize(base.withColumn("perm", F.xxhash64(F.lit(seed), "doc_id")), "sized")  # sizes are read twice below
     wanted = {r["source"]: (float(r["w"]), int(r["m"])) for r in targets.where("source is not null").groupBy("source").agg(F.max("weight").alias("w"), F.max("max_repeats").alias("m")).collect() if (r["w"] or 0) > 0 and (r["m"] or 0) > 0}
     numbered = materialize(number_rows(base.where(F.col("source").isin(*wanted) if wanted else F.lit(False)), ["source"], ["perm", "doc_id"], weight="n_tokens", sort_globally=True), "mix")
     have = {r["source"]: (r["n"], r["t"]) for r in numbered.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect()}
@@ -60,16 +60,11 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, sh
     stream = drawn.select("doc_id", "source", "n_tokens", "docs", F.col(RANK).alias("r"), F.explode(F.expr("sequence(0L, __times - 1)")).alias("repeat_no"))
     stream = stream.withColumn("block", F.expr(f"(repeat_no * docs + r) div {block}"))
     rows = {r["source"]: r["n"] for r in drawn.groupBy("source").agg(F.sum("__times").alias("n")).collect()}
+    shards = shards or max(1, -(-sum(rows.values()) // SHARD_ROWS))
     quotas = split_quotas({s: -(-n // block) for s, n in rows.items()}, shards, np.random.default_rng(seed))
-    spans = []
-    for s, per in quotas.items():
-        at = 0
-        for shard, n in enumerate(per):
-            if n:
-                spans.append((s, shard, at, at + n))
-            at += n
-    where = spark.createDataFrame(spans, "source string, shard int, lo long, hi long")  # sources x shards rows
-    placed = stream.join(F.broadcast(where), "source").where("block >= lo and block < hi")
+    where = spark.createDataFrame([(s, np.cumsum(per).tolist()) for s, per in quotas.items()], "source string, ends array<long>")  # one row per target source
+    shard = F.expr("size(filter(ends, x -> x <= block))")  # the shard whose blocks reach beyond this one
+    placed = stream.join(F.broadcast(where), "source").withColumn("shard", shard.cast("int"))
     inside = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "repeat_no"), "doc_id", "repeat_no")
     out = placed.withColumn("position", F.row_number().over(inside) - 1).select("doc_id", "source", F.col("repeat_no").cast("int").alias("repeat_no"), "n_tokens", "shard", "position")
     given = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("__times")).alias("tokens"), F.max("__times").alias("most_repeats"))

@@ -109,29 +109,30 @@ def _cut_line(text: str, start: int, end: int, cap: int) -> list[tuple[int, int]
 
 
 def _pack(nodes: list, at: list[int], text: str, cap: int) -> list[tuple[int, int]]:
-    """Merge neighbouring subtrees up to the cap; only nodes over the cap are opened."""
+    """Merge neighbouring sibling subtrees up to the cap; only nodes over the cap are opened, and what comes out of one is never merged with its neighbours."""
     out: list[tuple[int, int]] = []
+    whole = False  # the last part holds whole siblings
     for first, last, children in nodes:
         a, b = at[first], at[last]
         if b - a <= cap:
-            parts = [(a, b)]
-        elif children:
-            head = (first, children[0][0], [])
-            parts = _pack([head, *children], at, text, cap)
+            if whole and b - out[-1][0] <= cap:
+                out[-1] = (out[-1][0], b)
+            elif b > a:
+                out.append((a, b))
+                whole = True
+            continue
+        if children:
+            out.extend(_pack([(first, children[0][0], []), *children], at, text, cap))
         elif last - first > 1:
-            parts = _pack([(i, i + 1, []) for i in range(first, last)], at, text, cap)
+            out.extend(_pack([(i, i + 1, []) for i in range(first, last)], at, text, cap))
         else:
-            parts = _cut_line(text, a, b, cap)
-        for p in parts:
-            if out and p[1] - out[-1][0] <= cap:
-                out[-1] = (out[-1][0], p[1])
-            elif p[1] > p[0]:
-                out.append(p)
+            out.extend(_cut_line(text, a, b, cap))
+        whole = False
     return out
 
 
-def cut_points(text: str, is_code: bool, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(start, end) of the pieces, in characters. Each but the first repeats the ``overlap`` characters before it; none is longer than ``limit``; together they cover the text."""
+def cut_points(text: str, is_code: bool, limit: int = LIMIT, overlap: int = OVERLAP, whole_words: bool = False) -> list[tuple[int, int]]:
+    """(start, end) of the pieces, in characters. Each but the first repeats the ``overlap`` characters before it, with ``whole_words`` from the first word that begins in them; none is longer than ``limit``; together they cover the text."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
     if len(text) <= limit:
@@ -141,10 +142,33 @@ def cut_points(text: str, is_code: bool, limit: int = LIMIT, overlap: int = OVER
     for line in lines:
         at.append(at[-1] + len(line))
     parts = _pack(_tree((_code_depths if is_code else _text_depths)(lines)), at, text, limit - overlap)
-    return [(max(0, a - overlap), b) if a else (a, b) for a, b in parts]
+    return [(_back(text, a, overlap, whole_words), b) if a else (a, b) for a, b in parts]
+
+
+_START = re.compile(r"(?<!\w)\w")
+
+
+def _back(text: str, a: int, overlap: int, whole_words: bool) -> int:
+    start = max(0, a - overlap)
+    if whole_words and start:
+        m = _START.search(text, start, a)
+        start = m.start() if m else a
+    return start
+
+
+def sections(text: str) -> list[tuple[int, str]]:
+    """(position, heading) of the ATX headings outside fences, in order."""
+    out, at, fence = [], 0, False
+    for line in _LINE.findall(text):
+        if _FENCE.match(line):
+            fence = not fence
+        elif not fence and _HEAD.match(line):
+            out.append((at, line.strip("#").strip() if line.strip("# \t\r\n") else ""))
+        at += len(line)
+    return out
 
 
-def _pieces(limit: int, overlap: int):
+def _pieces(limit: int, overlap: int, whole_words: bool = False):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
@@ -152,11 +176,14 @@ def _pieces(limit: int, overlap: int):
                 known = [int(x) for x in (r.start_line, r.end_line) if pd.notna(x) and x >= 1]
                 base, text = (min(known) if known else 1), r.text
                 lines, seen = 0, 0  # newlines before the last piece's start
-                for no, (a, b) in enumerate(cut_points(text, bool(r.code), limit, overlap)):
+                heads = [] if r.code else sections(text)
+                for no, (a, b) in enumerate(cut_points(text, bool(r.code), limit, overlap, whole_words)):
+                    new = min(a + overlap, b - 1) if no and not whole_words else a  # where what the piece adds begins
+                    section = next((h for p, h in reversed(heads) if p <= new), r.heading)
                     lines += text.count("\n", seen, a)
                     seen = a
-                    rows.append((r.chunk_id, no, text[a:b], r.source_path, r.heading, base + lines, base + lines + text.count("\n", a, b - 1), a))
-            yield pd.DataFrame(rows, columns=["chunk_id", "piece_no", "text", "source_path", "heading", "start_line", "end_line", "start_char"])
+                    rows.append((r.chunk_id, no, text[a:b], r.source_path, r.heading, base + lines, base + lines + text.count("\n", a, b - 1), a, section))
+            yield pd.DataFrame(rows, columns=["chunk_id", "piece_no", "text", "source_path", "heading", "start_line", "end_line", "start_char", "section"])
 
     return run
 
@@ -164,12 +191,13 @@ def _pieces(limit: int, overlap: int):
 CODE_TYPES = ("py", "js", "jsx", "ts", "tsx", "go", "java", "c", "h", "cc", "cpp", "rs", "rb", "php", "cs", "swift", "kt", "scala")
 
 
-def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces (chunk_id, piece_no, text, source_path, heading, start_line, end_line, start_char) of the chunks over ``limit`` characters.
+def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, whole_words: bool = False) -> DataFrame:
+    """Pieces (chunk_id, piece_no, text, source_path, heading, start_line, end_line, start_char, section) of the chunks over ``limit`` characters.
 
     Of a chunk_id's rows the one with the latest indexed_at counts (NULL is the earliest; ties go to the latest loaded_at, then to the greatest text); only if its text
     is over the limit it is cut. Rows without a chunk_id are versions of nothing and count each. Only long texts are shuffled.
-    Pieces are at most ``limit`` characters; each but the first begins with exactly ``overlap`` characters of the one before (all of it if shorter).
+    Pieces are at most ``limit`` characters; each but the first begins with exactly ``overlap`` characters of the one before (all of it if shorter), with ``whole_words`` from the first word among them.
+    ``heading`` is the chunk's, ``section`` the nearest heading inside the text at or before what the piece adds (the chunk's where there is none, and in code).
     Line numbers start at the lower of the chunk's two (1 where both are missing or below 1). NULL and short texts yield nothing here.
     Code is what is_code says, or the file type or extension where that is NULL. Empty input gives no rows; other columns are ignored.
     """
@@ -181,5 +209,5 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     rows = chunks.select(own.alias("own"), F.col("chunk_id"), kept.alias("kept"), rank.alias("rank"))
     newest = rows.groupBy("own").agg(F.max_by(F.struct("chunk_id", "kept"), "rank").alias("x"))
     over = newest.where("x.kept is not null").select("x.chunk_id", "x.kept.*")
-    schema = "chunk_id string, piece_no int, text string, source_path string, heading string, start_line int, end_line int, start_char int"
-    return over.mapInPandas(_pieces(limit, overlap), schema)
+    schema = "chunk_id string, piece_no int, text string, source_path string, heading string, start_line int, end_line int, start_char int, section string"
+    return over.mapInPandas(_pieces(limit, overlap, whole_words), schema)
