@@ -64,8 +64,8 @@ def chunked_key_stats(df: DataFrame, keys: Sequence[str], latest: str | None = N
     """One row per key: ``n_rows``, ``n_chunks`` and, with ``latest``, the largest value of that column.
 
     Each key's numbered rows are cut into chunks of ``chunk_rows``; a chunk yields a state (first and last
-    number, count, largest value), and the ordered states are merged. The merge checks that neighbouring states
-    touch: a count differing from last - first + 1 would mean that rows were lost, and fails the job.
+    number, count, largest value), and the ordered states are merged. The merge checks that each state holds as many rows as numbers
+    and begins where the one before ended; anything else would mean that rows were lost or doubled, and fails the job.
     NULL keys are a key; NULLs in ``latest`` are passed over (all NULL: NULL); no rows: no result rows.
     """
     if chunk_rows < 1:
@@ -75,17 +75,21 @@ def chunked_key_stats(df: DataFrame, keys: Sequence[str], latest: str | None = N
     states = rows.groupBy(*keys, F.expr(f"{RANK} div {chunk_rows}").alias("__chunk")).agg(
         F.count(F.lit(1)).alias("__n"), F.min(RANK).alias("__first"), F.max(RANK).alias("__last"), *extra
     )
-    merged = states.groupBy(*keys).agg(
-        F.sum("__n").alias("n_rows"), F.count(F.lit(1)).alias("n_chunks"),
-        F.min("__first").alias("__first"), F.max("__last").alias("__last"),
-        *([F.max("__latest").alias(f"latest_{latest}")] if latest else []),
+    ahead = Window.partitionBy(*keys).orderBy("__chunk")  # one row per chunk: rows / chunk_rows of a key at most
+    touches = (F.col("__first") == F.coalesce(F.lag("__last").over(ahead) + 1, F.lit(0))) & (F.col("__n") == F.col("__last") - F.col("__first") + 1)
+    checked = F.when(touches, F.col("__n")).otherwise(F.raise_error(F.lit("chunk states of a key do not touch")).cast("long"))
+    return states.withColumn("__n", checked).groupBy(*keys).agg(
+        F.sum("__n").alias("n_rows"), F.count(F.lit(1)).alias("n_chunks"), *([F.max("__latest").alias(f"latest_{latest}")] if latest else []),
     )
-    whole = F.col("__last") - F.col("__first") + 1 == F.col("n_rows")
-    checked = F.when(whole, F.col("n_rows")).otherwise(F.raise_error(F.lit("chunk states of a key do not touch")).cast("long"))
-    return merged.withColumn("n_rows", checked).drop("__first", "__last")
 
 
 def distinct_per_key(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Distinct non-NULL values per key. Pairs are reduced before the shuffle and spread by (key, value); counts are then combined map-side."""
-    pairs = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.lit(1).alias("__one"))
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    """Distinct non-NULL values per key. Pairs are reduced before the shuffle and spread by (key, value); counts are then combined map-side.
+
+    Pairs travel as two pairs of 64-bit hashes instead of texts; the key's own text is kept once per key and partition.
+    """
+    h = [F.xxhash64(*keys).alias("__k"), F.xxhash64(F.lit(1), *keys).alias("__k2"), F.xxhash64(F.col(value)).alias("__v"), F.xxhash64(F.lit(1), F.col(value)).alias("__v2")]
+    some = df.where(F.col(value).isNotNull())
+    pairs = some.select(*h).distinct().groupBy("__k", "__k2").agg(F.count(F.lit(1)).alias(name))
+    named = some.select(*keys, *h[:2]).distinct()
+    return named.join(pairs, ["__k", "__k2"]).select(*keys, name)
