@@ -161,7 +161,11 @@ def x3_extract_python(spark, sf):
     return ing.extract_python(newest).drop("loaded_at", "all_nodes").withColumns({"sources": F.array_join("sources", "|"), "targets": F.array_join("targets", "|")})
 
 
-@q()
+_NEWEST = "nw AS (SELECT source_path, markdown FROM (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY converted_at DESC, loaded_at DESC, md5(markdown) DESC) AS rn FROM converted_documents) WHERE rn = 1)"
+
+
+@q(rf"""WITH {_NEWEST}, p AS (SELECT source_path, list_concat(regexp_extract_all(markdown, '(?m)\b(?:def|function|func|fn)\s+(\w+)', 1), regexp_extract_all(markdown, '(?m)\b(?:class|struct|interface|trait)\s+(\w+)', 1)) AS d, regexp_extract_all(markdown, '(?m)^\s*(?:import|from|use|require)\s+([\w.:/]+)', 1) AS m FROM nw WHERE source_path NOT LIKE '%.py' AND markdown IS NOT NULL),
+x AS (SELECT source_path, 'DEFINES' AS edge_type, d AS l FROM p UNION ALL SELECT source_path, 'IMPORTS', m FROM p) SELECT source_path, edge_type, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), '|') AS targets FROM x WHERE len(l) > 0""")
 def x18_extract_by_pattern(spark, sf):
     _, newest = _versions(spark, sf)
     return ing.extract_by_pattern(newest.where("source_path not like '%.py'")).withColumn("targets", F.array_join("targets", "|"))
@@ -174,6 +178,20 @@ def x16_associate_chunks(spark, sf):
     return ing.associate_chunks(graph(spark, sf).edges, table(spark, sf, "chunks").where("chunk_id is not null"))
 
 
+@q()
+def x4_extract_braced(spark, sf):
+    from .sources.extract import extract_braced
+
+    _, newest = _versions(spark, sf)
+    return extract_braced(newest).drop("loaded_at", "all_nodes").withColumns({"sources": F.array_join("sources", "|"), "targets": F.array_join("targets", "|")})
+
+
+@q()
+def k1_chunk_documents(spark, sf):
+    _, newest = _versions(spark, sf)
+    return ing.chunk_documents(newest)
+
+
 # projections and look-ups
 
 
@@ -230,7 +248,7 @@ def proj_neighbours(spark, sf):
     return own.withColumn("how", F.lit("incident")).unionByName(near.withColumn("how", F.lit("adjacent")))
 
 
-_LABELS = {"CALLS": ("calls", "called by"), "IMPORTS": ("imports", "imported by"), "DEFINES": ("defines", "defined in"), "INHERITS": ("inherits", "inherited by"), "RAISES": ("raises", "raised by"), "SIGNATURE": ("takes", "used in"), "DECORATES": ("decorates", "decorated by")}
+_LABELS = rt.LABELS
 
 
 @q(base(", l AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in _LABELS.items()) + ") AS v(edge_type, fwd, rev)) SELECT edge_id, coalesce(fwd, 'related to') AS forward, coalesce(rev, 'related to') AS reverse FROM e LEFT JOIN l USING (edge_type)"))
@@ -514,7 +532,8 @@ def r1_lookup_files(spark, sf):
 @q(base(", m AS (SELECT node FROM d WHERE lower(node) = 'resolve' OR list_last(string_split(lower(node), '.')) = 'resolve') SELECT edge_id, min(node) AS node, any_value(edge_type) AS edge_type, any_value(path) AS source_path FROM i WHERE node IN (SELECT node FROM m) GROUP BY 1"))
 def r1_lookup_symbols(spark, sf):
     g = graph(spark, sf)
-    return rt.lookup(g, rt.match_names(g, "resolve", ["resolve"]))[1]
+    x = rt.lookup(g, rt.match_names(g, "resolve", ["resolve"]))[1]
+    return x.groupBy("edge_id").agg(F.min("node").alias("node"), F.first("edge_type").alias("edge_type"), F.first("source_path").alias("source_path"))
 
 
 @q(base(", x AS (SELECT node, string_split(lower(node), '.')[-1] AS token, degree, degree / n AS r FROM d, n) SELECT node, degree, round((CASE WHEN r > 0.05 THEN 0.1::DOUBLE WHEN r > 0.02 THEN 0.3 WHEN r > 0.005 THEN 0.6 ELSE 1.0 END) * (CASE WHEN length(token) <= 3 AND r > 0.005 THEN 0.4::DOUBLE WHEN length(token) <= 3 AND r > 0.002 THEN 0.7 ELSE 1.0 END) * (CASE WHEN len(string_split(node, '.')) >= 3 THEN 1.3::DOUBLE WHEN len(string_split(node, '.')) = 2 THEN 1.1 ELSE 1.0 END), 4) AS specificity FROM x"))

@@ -101,3 +101,19 @@ def is_test_probe(path: Column) -> Column:
 
 def md5_id(*parts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws(":", *parts)), 1, 16)
+
+
+# Words left out of the seeds of a question (fixed values).
+SEED_STOP = ("how does what why when where which the and for that this with from into use uses used get set has have can will would should each some any are was were been being about work works all its not but they them their there class method function module file code through between reach call calls").split()
+
+
+def seed_terms(c: Column) -> Column:
+    """Likely symbols of a question in their own case: dotted names and their parts, then CamelCase words, then all words cut at dots and underscores; each followed by its singular; 3 characters or more, first of each lower-cased form kept."""
+    dotted = F.regexp_extract_all(c, F.lit(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+"), F.lit(0))
+    dots = F.flatten(F.transform(dotted, lambda x: F.concat(F.array(x), F.split(x, r"\."))))
+    camel = F.regexp_extract_all(c, F.lit(r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"), F.lit(0))
+    rest = F.transform(F.flatten(F.transform(_words(c), lambda w: F.split(w, r"[._]"))), F.trim)
+    both = F.flatten(F.transform(F.concat(dots, camel, rest), lambda x: F.array(x, depluralise(x))))
+    kept = F.filter(both, lambda x: x.isNotNull() & (F.length(x) >= 3) & ~F.lower(x).isin(*SEED_STOP))
+    first = F.filter(kept, lambda x, i: F.array_position(F.transform(kept, F.lower), F.lower(x)) == i + 1)
+    return first

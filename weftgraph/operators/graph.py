@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import clean_nodes, clean_type, normalise_node
 
-HUB_SHARE, HUB_FLOOR = 0.03, 50
+HUB_SHARE, HUB_FLOOR, HUB_LEAST = 0.03, 50, 50
 TYPE_WEIGHTS = {"TEXT": 0.7, "SUMMARY": 0.3}  # all other types weigh 1
 
 
@@ -69,6 +69,15 @@ class Hypergraph:
         n = self.count(types)
         return self.degrees(types).where(F.col("degree") > self.hub_threshold(n, share, floor))
 
+    def default_hubs(self, types: Sequence[str] | None = None) -> DataFrame:
+        """What a search leaves out where nothing is said: no node in a graph of fewer than HUB_LEAST edges, else the hubs, of the types where some are asked for."""
+        if self.edges.limit(HUB_LEAST).count() < HUB_LEAST:
+            return self.degrees().limit(0)
+        return self.hubs(types)
+
+    def type_counts(self) -> DataFrame:
+        return self.edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges"))
+
     def stats(self) -> DataFrame:
         size = F.size("all_nodes")
         per = self.edges.agg(F.count(F.lit(1)).alias("edges"), F.round(F.avg(size), 4).alias("avg_size"), F.max(size).alias("max_size"), F.min(size).alias("min_size"), F.countDistinct(F.nullif("chunk_id", F.lit(""))).alias("chunks"))
@@ -116,6 +125,19 @@ class Hypergraph:
         return self.degrees().groupBy(F.lower("node").alias("low")).agg(F.max_by("node", F.struct("degree", "node")).alias("node"))
 
 
+def first_wins(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of the rows of a key the whole first one in order; reduced before the shuffle by its minimum."""
+    cols = [c for c in rows.columns if c not in key]
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("__x"))
+    return first.select(*key, *[F.col("__x")[c].alias(c) for c in cols]).select(*rows.columns)
+
+
+def intersections(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, nodes): the nodes that both edges of each pair (a, b) hold, in order."""
+    x, y = (edges.select(F.col("edge_id").alias(k), F.col("all_nodes").alias(f"n{k}")) for k in "ab")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", F.array_sort(F.array_intersect("na", "nb")).alias("nodes"))
+
+
 def specificity(degree: Column, total: Column, token: Column, node: Column) -> Column:
     """How much a name match tells: less for nodes on many edges and short tokens, more for qualified names."""
     r = degree / total

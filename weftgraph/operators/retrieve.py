@@ -11,6 +11,38 @@ from ..functions.text import VERB_TYPES, last_segment, path_stem
 from .graph import Hypergraph, specificity, type_weight
 
 
+# What an edge's source is to its targets, and the other way round (fixed values).
+LABELS = {
+    "CALLS": ("calls", "called by"), "IMPORTS": ("imports", "imported by"), "DEFINES": ("defines", "defined in"), "INHERITS": ("inherits from", "inherited by"), "SIGNATURE": ("has signature", "parameter of"),
+    "RAISES": ("raises", "raised by"), "DECORATES": ("decorates", "decorated by"), "TEXT": ("related to", "related to"), "SUMMARY": ("summarised as", "summary of"),
+}
+
+
+def relation(edge_type: Column, forward: Column) -> Column:
+    """The verb between a node and the other end of its edge; 'related to' for unknown types."""
+    ahead, back = (F.create_map(*[F.lit(x) for k, v in LABELS.items() for x in (k, v[i])]) for i in (0, 1))
+    return F.coalesce(F.when(forward, F.try_element_at(ahead, edge_type)).otherwise(F.try_element_at(back, edge_type)), F.lit("related to"))
+
+
+def relate(g: Hypergraph, hits: DataFrame) -> DataFrame:
+    """(edge_id, node, edge_type, source_path, relationship, targets): what each met edge (edge_id, node) says of the node; targets are the nodes at the other end. Arrays are fetched for met edges only."""
+    e = g.edges.select("edge_id", "edge_type", "source_path", "sources", "targets")
+    x = hits.select("edge_id", "node").join(e, "edge_id")
+    ahead = F.array_contains("sources", F.col("node"))
+    return x.select("edge_id", "node", "edge_type", "source_path", relation(F.col("edge_type"), ahead).alias("relationship"), F.when(ahead, F.col("targets")).otherwise(F.col("sources")).alias("targets"))
+
+
+def grep_patterns(symbols: DataFrame, least: int = 3) -> DataFrame:
+    """(pattern): last segments of the other ends of relations, ``least`` characters or more."""
+    return symbols.select(F.explode("targets").alias("n")).select(last_segment(F.col("n")).alias("pattern")).where(F.length("pattern") >= least).distinct()
+
+
+def flags_to_types(calls: bool = False, callers: bool = False, inherits: bool = False, imports: bool = False, raises: bool = False) -> tuple[list[str] | None, str]:
+    """(edge types or None for all, direction) that yes-or-no switches ask for."""
+    types = [t for on, t in ((calls or callers, "CALLS"), (inherits, "INHERITS"), (imports, "IMPORTS"), (raises, "RAISES")) if on]
+    return types or None, "forward" if calls and not callers else "backward" if callers and not calls else "both"
+
+
 def infer_edge_types(query: str) -> list[str] | None:
     """Edge types named by the verbs of a query, in order; None if there is none."""
     words = [w.rstrip(".,;:!?") for w in query.lower().split()]
@@ -24,20 +56,20 @@ def match_names(g: Hypergraph, query: str, tokens: Sequence[str]) -> DataFrame:
     whole = query.strip().lower()
 
     def of(words: Sequence[str]) -> DataFrame:
-        w = g.edges.sparkSession.createDataFrame([(x,) for x in words], "token string")  # a query's words
-        return d.join(F.broadcast(w), (low == F.col("token")) | (last_segment(low) == F.col("token"))).groupBy("node").agg(F.min("token").alias("token"), F.first("degree").alias("degree"))
+        w = F.broadcast(g.edges.sparkSession.createDataFrame([(x,) for x in words], "token string"))  # a query's words
+        keys = d.select("node", "degree", F.explode(F.array_distinct(F.array(low, last_segment(low)))).alias("token"))  # an equi-join instead of an OR
+        return keys.join(w, "token").groupBy("node").agg(F.min("token").alias("token"), F.first("degree").alias("degree"))
 
     hit = of([whole])
     return hit if not hit.isEmpty() or not tokens else of(tokens)
 
 
 def lookup(g: Hypergraph, names: DataFrame, edge_types: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, symbols) of all edges on the matched nodes. Files: source_path and priority (1 if a DEFINES or CALLS edge, else 2); symbols: one row per edge with the matched node first in order."""
+    """(files, symbols) of all edges on the matched nodes. Files: source_path and priority (1 if a DEFINES or CALLS edge, else 2); symbols: a row per edge and matched node, as ``relate`` gives it."""
     i = g.incidence.where(F.col("edge_type").isin(*edge_types)) if edge_types else g.incidence
     hit = i.join(names.select("node"), "node", "left_semi")
     files = hit.where("source_path <> ''").groupBy("source_path").agg(F.min(F.when(F.col("edge_type").isin("DEFINES", "CALLS"), 1).otherwise(2)).alias("priority"))
-    symbols = hit.groupBy("edge_id").agg(F.min("node").alias("node"), F.first("edge_type").alias("edge_type"), F.first("source_path").alias("source_path"))
-    return files, symbols
+    return files, relate(g, hit)
 
 
 def score_names(g: Hypergraph, names: DataFrame) -> DataFrame:
@@ -89,13 +121,16 @@ def vector_top(vectors: DataFrame, query: Sequence[float], k: int = 20, id_col:
     return vectors.select(id_col, F.round(dot(F.col(vec_col), q), 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+TILE = 2000  # vectors a side of a block pair, whatever their number, so a task's product stays at TILE x TILE
+
+
 def similar_pairs(vectors: DataFrame, least: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(a, b, score) for a < b with cosine of at least ``least``, by blocks: the vectors are cut into blocks, and blocks meet as matrix products in Arrow batches; every pair is looked at once."""
     import numpy as np
     import pandas as pd
 
     base = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    blocks = max(1, int(base.count() ** 0.5 // 32))
+    blocks = max(1, -(-base.count() // TILE))
     own = base.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "id", "v")
 
@@ -114,6 +149,49 @@ def similar_pairs(vectors: DataFrame, least: float, id_col: str = "vec_id", vec_
     return left.groupBy("p", "q").applyInPandas(run, "a long, b long, score double")
 
 
+def hybrid_top(vectors: DataFrame, query: Sequence[float], terms: Sequence[str], k: int = 20, floor: float = 0.0) -> DataFrame:
+    """(node, score): the ``k`` nodes of (node, embedding) of highest score, the greater of cosine and keyword score (1 for a name equal to a term, 0.85 for one that holds a term); those under ``floor`` are left out, ties go by name."""
+    low = F.lower("node")
+    word = F.greatest(F.lit(0.0), *[F.when(low == t, 1.0).when(low.contains(t), 0.85).otherwise(0.0) for t in terms])
+    q = F.array(*[F.lit(float(x)) for x in query])
+    scored = vectors.select("node", F.round(F.greatest(dot(F.col("embedding"), q), word), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "node").limit(k).where(F.col("score") >= floor)
+
+
+def semantic_search(g: Hypergraph, matched: DataFrame, floor: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, symbols, greps) of nodes matched by score (node, score); those under ``floor`` are dropped. Files: source_path, priority 2, the best score; symbols: the nodes; greps: their last segments."""
+    kept = matched.where(F.col("score") >= floor)
+    files = g.incidence.join(F.broadcast(kept), "node").where("source_path <> ''").groupBy("source_path").agg(F.max("score").alias("score")).withColumn("priority", F.lit(2))  # top-k rows
+    return files, kept.select("node", F.lit("semantic match").alias("relationship"), "score"), kept.select(last_segment(F.col("node")).alias("pattern")).distinct()
+
+
+def put_vectors(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored vectors (node, embedding) with those of nodes not stored yet; of repeated new ones the first in order of the vector counts."""
+    fresh = new.join(stored.select("node"), "node", "left_anti").groupBy("node").agg(F.min("embedding").alias("embedding"))
+    return stored.select("node", "embedding").unionByName(fresh)
+
+
+def remove_vectors(stored: DataFrame, nodes: DataFrame) -> DataFrame:
+    return stored.join(nodes.select("node").distinct(), "node", "left_anti")
+
+
+def rename_vectors(stored: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Vectors moved to their node's keeper (merged, keeper); a keeper that has a vector keeps its own, of several merged ones the first by name counts."""
+    moved = stored.join(mapping, F.col("node") == F.col("merged")).groupBy("keeper").agg(F.min_by("embedding", "merged").alias("embedding")).select(F.col("keeper").alias("node"), "embedding")
+    left = stored.join(mapping.select(F.col("merged").alias("node")), "node", "left_anti")
+    return left.select("node", "embedding").unionByName(moved.join(left.select("node"), "node", "left_anti"))
+
+
+def coverage_score(g: Hypergraph, retrieved: DataFrame, seeds: DataFrame) -> DataFrame:
+    """One row: seeds, covered ones, their share (0 without seeds)."""
+    flags = coverage(g, retrieved, seeds)[0]
+    return flags.agg(F.count(F.lit(1)).alias("seeds"), F.count_if("covered").alias("covered")).withColumn("score", F.when(F.col("seeds") == 0, 0.0).otherwise(F.round(F.col("covered") / F.col("seeds"), 4)))
+
+
+def confidence(score: Column) -> Column:
+    return F.when(score >= 0.7, "HIGH").when(score >= 0.4, "MED").otherwise("LOW")
+
+
 def edge_scores(g: Hypergraph, node_scores: DataFrame, k: int, alpha: float = 0.6) -> DataFrame:
     """Edges on scored nodes: precision = mean score x sqrt(matched / size), coverage = matched / k, score = (alpha precision + (1 - alpha) coverage) x type weight."""
     size = g.edges.select("edge_id", "edge_type", F.size("all_nodes").alias("size"))
@@ -144,8 +222,14 @@ def coverage(g: Hypergraph, retrieved: DataFrame, seeds: DataFrame, top: int = 2
 
 
 def density(g: Hypergraph, ids: DataFrame) -> DataFrame:
-    """One row: edges, intersecting pairs, density (0 for fewer than two edges)."""
+    """One row: edges, intersecting pairs, density (0 for fewer than two edges). Where one node lies in all edges every pair meets, and no pair is made."""
     i = g.incidence.join(ids.select("edge_id"), "edge_id", "left_semi").select("edge_id", "node")
-    pairs = i.select(F.col("edge_id").alias("a"), "node").join(i.select(F.col("edge_id").alias("b"), "node"), "node").where("a < b").select("a", "b").distinct()
-    n, p = i.agg(F.countDistinct("edge_id").alias("n_edges")), pairs.agg(F.count(F.lit(1)).alias("n_pairs"))
-    return n.join(p).withColumn("density", F.when(F.col("n_edges") < 2, 0.0).otherwise(F.round(F.col("n_pairs") / (F.col("n_edges") * (F.col("n_edges") - 1) / 2), 4)))
+    n = i.agg(F.countDistinct("edge_id").alias("n_edges"))
+    total = n.head()[0]
+    most = i.groupBy("node").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
+    if total > 1 and most == total:
+        pairs = n.select((F.col("n_edges") * (F.col("n_edges") - 1) / 2).cast("long").alias("n_pairs"))
+    else:
+        both = i.select(F.col("edge_id").alias("a"), "node").join(i.select(F.col("edge_id").alias("b"), "node"), "node").where("a < b").select("a", "b").distinct()
+        pairs = both.agg(F.count(F.lit(1)).alias("n_pairs"))
+    return n.join(pairs).withColumn("density", F.when(F.col("n_edges") < 2, 0.0).otherwise(F.round(F.col("n_pairs") / (F.col("n_edges") * (F.col("n_edges") - 1) / 2), 4)))  # one row each

@@ -21,14 +21,16 @@ def bfs(g: Hypergraph, seeds: DataFrame, depth: int = 2, direction: str = "forwa
     if direction not in ("forward", "backward", "both"):
         raise ValueError(direction)
     edges = g.edges.where(F.col("edge_type").isin(*edge_types)) if edge_types else g.edges
-    inc = edges.select("edge_id", "sources", "targets", F.explode("all_nodes").alias("node"))
+    ends = edges.select("edge_id", "sources", "targets")
+    inc = edges.select("edge_id", F.explode("all_nodes").alias("node"))
     frontier = materialize(seeds.select("node").where("node is not null").distinct(), "frontier")
     visited_nodes, visited_edges, found = frontier, None, None
     for level in range(1, depth + 1):
         cand = inc.join(frontier, "node")
         if visited_edges is not None:
             cand = cand.join(visited_edges, "edge_id", "left_anti")
-        first = materialize(cand.groupBy("edge_id").agg(F.min_by(F.struct("node", "sources", "targets"), "node").alias("x")).select("edge_id", "x.*"), f"bfs{level}")
+        # the lists are fetched for edges met at this level only
+        first = materialize(cand.groupBy("edge_id").agg(F.min("node").alias("node")).join(ends, "edge_id"), f"bfs{level}")
         from_source, from_target = F.array_contains("sources", F.col("node")), F.array_contains("targets", F.col("node"))
         passed = first.where(F.lit(True) if direction == "both" else from_source if direction == "forward" else from_target)
         emitted = passed.select("edge_id", "node", F.lit(level).alias("level"))
@@ -93,6 +95,54 @@ def find_paths(g: Hypergraph, source: str, target: str, k: int = 3, max_depth: i
     return found.orderBy("length", "path").limit(k)
 
 
+def path_report(g: Hypergraph, path: Sequence[str]) -> DataFrame:
+    """(hop, from_edge, to_edge, shared, from_members, to_members) of an edge path; lists in order. The ends' co-members are the first row's from_members and the last row's to_members."""
+    hops = g.edges.sparkSession.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(zip(path, path[1:]))], "hop int, from_edge string, to_edge string")  # a path's edges
+    nodes = g.edges.join(F.broadcast(hops.select(F.col("from_edge").alias("edge_id")).union(hops.select("to_edge")).distinct()), "edge_id", "left_semi").select("edge_id", F.array_sort("all_nodes").alias("members"))
+    x, y = nodes.select(F.col("edge_id").alias("from_edge"), F.col("members").alias("from_members")), nodes.select(F.col("edge_id").alias("to_edge"), F.col("members").alias("to_members"))
+    return hops.join(x, "from_edge").join(y, "to_edge").select("hop", "from_edge", "to_edge", F.array_sort(F.array_intersect("from_members", "to_members")).alias("shared"), "from_members", "to_members")
+
+
+SCORED = 5000  # edges a result may hold
+
+
+def traversal_paths(g: Hypergraph, scored: DataFrame, thresholds: dict[str, int] | None = None, max_hops: int = 5, paths: int = 3, hubs: DataFrame | None = None) -> list[list[str]]:
+    """Up to ``paths`` edge paths through a result (edge_id, edge_type, score, retrieval_source; at most SCORED rows): each begins at the best seed edge not used yet and goes on to the best unused edge that shares as many nodes (no hubs) as the edge's type asks for, 1 by default.
+
+    Only pairs within the result are joined; the walk itself needs one edge after the other and runs on the driver over those pairs.
+    """
+    rows = scored.orderBy(F.desc("score"), "edge_id").select("edge_id", "edge_type", "score", "retrieval_source").limit(SCORED + 1).collect()
+    if len(rows) > SCORED:
+        raise ValueError(f"a result of at most {SCORED} edges")
+    i = g.incidence.join(F.broadcast(scored.select("edge_id").distinct()), "edge_id", "left_semi").select("edge_id", "node")
+    if hubs is not None:
+        i = i.join(hubs.select("node"), "node", "left_anti")
+    shared: dict[str, dict[str, int]] = {}
+    both = i.select(F.col("edge_id").alias("a"), "node").join(i.select(F.col("edge_id").alias("b"), "node"), "node").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    for r in both.collect():  # pairs among a result's edges
+        shared.setdefault(r.a, {})[r.b] = r.n
+    place, kind = {r.edge_id: k for k, r in enumerate(rows)}, {r.edge_id: r.edge_type for r in rows}
+    used: set[str] = set()
+    out: list[list[str]] = []
+    for r in rows:
+        if r.edge_id in used or r.retrieval_source != "seed":
+            continue
+        path = [r.edge_id]
+        used.add(r.edge_id)
+        while len(path) <= max_hops:
+            least = (thresholds or {}).get(kind[path[-1]], 1)
+            near = [e for e, n in shared.get(path[-1], {}).items() if n >= least and e not in used]
+            if not near:
+                break
+            path.append(min(near, key=place.get))
+            used.add(path[-1])
+        if len(path) > 1:
+            out.append(path)
+        if len(out) == paths:
+            break
+    return out
+
+
 def call_adjacency(g: Hypergraph) -> DataFrame:
     """(src, callees): what each source calls, in order of first mention."""
     c = g.arcs.where("edge_type = 'CALLS'").groupBy("src", "dst").agg(F.min("seq").alias("at"))

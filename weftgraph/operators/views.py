@@ -56,6 +56,39 @@ def subgraph(g: Hypergraph, seeds: DataFrame, edge_types: Sequence[str] | None =
     return nodes, edges.groupBy(F.col("src").alias("source"), F.col("dst").alias("target"), "edge_type").agg(F.min("source_path").alias("file"))
 
 
+# Codes of edge types in a drawing (fixed values, in order).
+TYPE_CODES = ("CALLS", "IMPORTS", "DEFINES", "INHERITS", "SIGNATURE", "RAISES", "DECORATES", "TEXT", "SUMMARY")
+
+
+def radius(importance):
+    """Size of a node's circle by its importance (fixed values)."""
+    return F.when(importance >= 30, 10.0).when(importance >= 15, 7.0).when(importance >= 5, 4.5).otherwise(2.5)
+
+
+def full_edges(g: Hypergraph) -> DataFrame:
+    """(source, target, edge_type, file): every pair that an edge of any type ties, once per type, with the first file in order; no loops."""
+    a = g.arcs.where("src <> dst")
+    return a.groupBy(F.col("src").alias("source"), F.col("dst").alias("target"), "edge_type").agg(F.min("source_path").alias("file"))
+
+
+def top_nodes(g: Hypergraph, n: int) -> DataFrame:
+    """The ``n`` nodes at the most arc ends, ties by name."""
+    a = g.arcs
+    return a.select(F.col("src").alias("node")).unionByName(a.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "node").limit(n)
+
+
+def compact(shown: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, files) of a drawing as numbers: nodes and files in order with their place (idx), edges as places of source, target and file (-1 for none) and the code of their type (0 for others). At most SHOWN nodes are shown, so the numbering is small."""
+    few = shown.select("node").distinct().limit(SHOWN)
+    nodes = few.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("idx"))
+    src, dst = nodes.select(F.col("node").alias("source"), F.col("idx").alias("s")), nodes.select(F.col("node").alias("target"), F.col("idx").alias("t"))
+    kept = edges.join(F.broadcast(src), "source").join(F.broadcast(dst), "target")
+    files = kept.where("file <> ''").select("file").distinct().select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("idx"))
+    code = F.greatest(F.array_position(F.array(*map(F.lit, TYPE_CODES)), F.col("edge_type")) - 1, F.lit(0)).cast("int")
+    out = kept.join(files.withColumnRenamed("idx", "f"), "file", "left").select(F.col("s").alias("source"), F.col("t").alias("target"), code.alias("type"), F.coalesce("f", F.lit(-1)).alias("file"))
+    return nodes, out, files
+
+
 def layout(nodes: list[str], edges: list[tuple[str, str, str]], steps: int = 150, seed: int = 42) -> dict[str, tuple[float, float]]:
     """Positions within ±1000 of at most SHOWN nodes: springs by edge type, repulsion in grid cells and between cell centres, damped steps. Drawing is for one screen, so this runs on the driver."""
     if len(nodes) > SHOWN:

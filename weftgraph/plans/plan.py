@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LOOKUP_STOP, SEARCH_STOP, is_test_segment
 from ..operators.graph import Hypergraph
-from ..operators.retrieve import collapse_directories, infer_edge_types, lookup, match_names, score_names, text_search
+from ..operators.retrieve import collapse_directories, grep_patterns, infer_edge_types, lookup, match_names, relate, score_names, text_search
 from ..operators.traverse import bfs
 
 _SPLIT = r"""[\s,;:!?(){}\[\]"'`/\\]+"""
@@ -30,7 +30,7 @@ def tokens_of(query: str, stop=LOOKUP_STOP, least: int = 2, dotted: bool = True)
 
 @dataclass
 class Plan:
-    """files (source_path, priority), symbols (edge_id, node, edge_type, source_path), and what was done."""
+    """files (source_path, priority), symbols (edge_id, node, edge_type, source_path, relationship, targets), ends (node, source_path: the other ends met in a file, kept when symbols are merged), and what was done."""
 
     query: str
     files: DataFrame
@@ -38,6 +38,11 @@ class Plan:
     tiers: list[int] = field(default_factory=list)
     classes: list[str] = field(default_factory=list)
     context: str = ""
+    ends: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.ends is None:
+            self.ends = self.symbols.where("source_path <> ''").select(F.explode("targets").alias("node"), "source_path")
 
     def merge(self, other: Plan) -> Plan:
         """Files by path and symbols by (node, edge_type), the first plan's first; tiers and classes in order without repeats."""
@@ -46,12 +51,23 @@ class Plan:
         return Plan(
             self.query,
             files.groupBy("source_path").agg(F.min_by("priority", F.struct("o", "priority")).alias("priority")),
-            symbols.groupBy("node", "edge_type").agg(F.min_by(F.struct("edge_id", "source_path"), F.struct("o", "edge_id")).alias("x")).select("x.edge_id", "node", "edge_type", "x.source_path"),
+            symbols.groupBy("node", "edge_type").agg(F.min_by(F.struct("edge_id", "source_path", "relationship", "targets"), F.struct("o", "edge_id")).alias("x")).select("x.edge_id", "node", "edge_type", "x.source_path", "x.relationship", "x.targets"),
             list(dict.fromkeys(self.tiers + other.tiers)), list(dict.fromkeys(self.classes + other.classes)), "\n".join(filter(None, (self.context, other.context))),
+            self.ends.unionByName(other.ends),
         )
 
     def without_tests(self) -> Plan:
-        return Plan(self.query, self.files.where(~is_test_segment(F.col("source_path"))), self.symbols.where(~is_test_segment(F.col("source_path"))), self.tiers, self.classes, self.context)
+        keep = ~is_test_segment(F.col("source_path"))
+        return Plan(self.query, self.files.where(keep), self.symbols.where(keep), self.tiers, self.classes, self.context, self.ends.where(keep))
+
+    def greps(self, top: int = 15) -> list[str]:
+        """Patterns to search for: last segments of the other ends of the plan's relations, the first ``top`` in order."""
+        return [r[0] for r in grep_patterns(self.symbols).orderBy("pattern").limit(top).collect()]
+
+    def test_counts(self) -> dict[str, int]:
+        """How many files and symbols ``without_tests`` drops."""
+        test = is_test_segment(F.col("source_path"))
+        return {"files": self.files.where(test).count(), "symbols": self.symbols.where(test).count()}
 
     def is_empty(self) -> bool:
         return self.files.isEmpty() and self.symbols.isEmpty()
@@ -59,12 +75,12 @@ class Plan:
     def to_dict(self, top: int = 15) -> dict:
         files = [r.asDict() for r in self.files.orderBy("priority", "source_path").limit(top).collect()]
         symbols = [r.asDict() for r in self.symbols.orderBy("node", "edge_id").limit(top).collect()]
-        return {"query": self.query, "classification": self.classes, "tiers_used": self.tiers, "primary_files": files, "related_symbols": symbols, "structural_context": self.context}
+        return {"query": self.query, "classification": self.classes, "tiers_used": self.tiers, "primary_files": files, "related_symbols": symbols, "grep_suggestions": self.greps(top), "structural_context": self.context}
 
     def format_text(self, top: int = 15) -> str:
         d = self.to_dict(top)
         lines = [f"Query: {self.query}", "Files:"] + [f"  [{f['priority']}] {f['source_path']}" for f in d["primary_files"]]
-        return "\n".join(lines + ["Symbols:"] + [f"  {s['node']} ({s['edge_type']}) {s['source_path']}" for s in d["related_symbols"]])
+        return "\n".join(lines + ["Symbols:"] + [f"  {s['node']} {s['relationship']} {', '.join(s['targets'][:5])} ({s['edge_type']}) {s['source_path']}" for s in d["related_symbols"]] + ["Search for:"] + [f"  {x}" for x in d["grep_suggestions"]])
 
 
 def classify(g: Hypergraph, query: str) -> list[str]:
@@ -82,6 +98,14 @@ def classify(g: Hypergraph, query: str) -> list[str]:
     return out
 
 
+def walk(g: Hypergraph, query: str, seeds: DataFrame, depth: int, direction: str, types: list[str] | None, classes: list[str] | None = None) -> Plan:
+    """The plan of a breadth-first search: files by the level they were met at, and what every met edge says of the node it was met from."""
+    met = bfs(g, seeds, depth, direction, types, g.default_hubs(types))
+    symbols = relate(g, met)
+    files = met.select("edge_id", "level").join(symbols.where("source_path <> ''").select("edge_id", "source_path"), "edge_id").groupBy("source_path").agg(F.min("level").alias("priority"))
+    return Plan(query, files, symbols, [2], classes or [])
+
+
 def dispatch(g: Hypergraph, query: str, depth: int = 2, direction: str = "both", limit: int = 20) -> Plan:
     """Tier 1 lookup with the specificity filter (from 50 edges on), tier 2 search from at most 5 specific names, tier 3 text search where asked for or nothing was found; folders collapsed, tests later by 2."""
     words, types = tokens_of(query), infer_edge_types(query)
@@ -93,9 +117,7 @@ def dispatch(g: Hypergraph, query: str, depth: int = 2, direction: str = "both",
     plan = Plan(query, files, symbols, [1], classes)
     seeds = names.orderBy(F.desc("specificity"), "node").limit(5)
     if not seeds.isEmpty():
-        met = bfs(g, seeds, depth, direction, types, g.hubs(types))
-        hit = met.join(g.edges.select("edge_id", "edge_type", "source_path"), "edge_id")
-        plan = plan.merge(Plan(query, hit.where("source_path <> ''").groupBy("source_path").agg(F.min("level").alias("priority")), hit.select("edge_id", "node", "edge_type", "source_path"), [2], classes))
+        plan = plan.merge(walk(g, query, seeds, depth, direction, types, classes))
     if "text_search" in classes or plan.is_empty():
         found = text_search(g, tokens_of(query, SEARCH_STOP, 3), limit)
         paths = found.where("kind = 'path'").select(F.col("entry").alias("source_path"), F.lit(3).alias("priority"))
@@ -103,4 +125,4 @@ def dispatch(g: Hypergraph, query: str, depth: int = 2, direction: str = "both",
         plan = plan.merge(Plan(query, paths.unionByName(n_files), n_symbols, [3], classes))
     folded = collapse_directories(plan.files, tokens_of(query, SEARCH_STOP, 3, False))
     late = folded.withColumn("priority", F.col("priority") + F.when(is_test_segment(F.col("source_path")), 2).otherwise(0)).drop("n")
-    return Plan(query, late, plan.symbols, plan.tiers, classes)
+    return Plan(query, late, plan.symbols, plan.tiers, classes, ends=plan.ends)

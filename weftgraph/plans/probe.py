@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SEARCH_STOP, is_test_probe
 from ..operators.graph import Hypergraph
 from ..operators.retrieve import lookup, match_names, text_search
-from ..operators.traverse import bfs
-from .plan import Plan, dispatch, tokens_of
+from .plan import Plan, dispatch, tokens_of, walk
 
 # Patterns that choose a strategy (fixed values).
 STRATEGIES = {
@@ -36,9 +35,12 @@ def strategies_of(question: str) -> list[str]:
 
 
 def scaffold(plan: Plan) -> DataFrame:
-    """Tour steps (node, text, file, edge_type): one per symbol, the first edge of each node counting."""
-    s = plan.symbols.groupBy("node").agg(F.min_by(F.struct("edge_type", "source_path"), "edge_id").alias("x"))
-    return s.select("node", F.concat_ws(" ", "node", F.concat(F.lit("["), F.lower("x.edge_type"), F.lit("]"))).alias("text"), F.col("x.source_path").alias("file"), "x.edge_type")
+    """Tour steps (node, text, file, edge_type): one per symbol, the first edge of each node counting, with what it says of the node; then the other ends of the plan's relations that are no step yet, with the first file in order."""
+    s = plan.symbols.groupBy("node").agg(F.min_by(F.struct("edge_type", "source_path", "relationship", "targets"), "edge_id").alias("x"))
+    text = F.concat_ws(" -> ", F.concat("node", F.lit(" ["), "x.relationship", F.lit("]")), F.nullif(F.array_join("x.targets", ", "), F.lit("")))
+    own = s.select("node", text.alias("text"), F.col("x.source_path").alias("file"), "x.edge_type")
+    others = plan.ends.join(s.select("node"), "node", "left_anti").groupBy("node").agg(F.min("source_path").alias("file"))
+    return own.unionByName(others.select("node", F.concat_ws(" in ", "node", "file").alias("text"), "file", F.lit("").alias("edge_type")))
 
 
 def question_for(symbol: str, task: str) -> Column:
@@ -54,9 +56,7 @@ def question_for(symbol: str, task: str) -> Column:
 def _around(g: Hypergraph, symbol: str, types: list[str] | None, direction: str, depth: int) -> Plan:
     names = match_names(g, symbol, tokens_of(symbol))
     files, symbols = lookup(g, names, types)
-    hit = bfs(g, names.orderBy("node").limit(5), depth, direction, types, g.hubs(types)).join(g.edges.select("edge_id", "edge_type", "source_path"), "edge_id")
-    more = Plan(symbol, hit.where("source_path <> ''").groupBy("source_path").agg(F.min("level").alias("priority")), hit.select("edge_id", "node", "edge_type", "source_path"), [2])
-    return Plan(symbol, files, symbols, [1]).merge(more)
+    return Plan(symbol, files, symbols, [1]).merge(walk(g, symbol, names.orderBy("node").limit(5), depth, direction, types))
 
 
 def blast_radius(g: Hypergraph, symbol: str, depth: int = 2, task: str = "") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog import QUERIES as CATALOG
 from .catalog import SQL
+from . import catalog_more  # noqa: F401  registers its queries
 from .functions.names import clean_nodes
 from .operators.hierarchy import descendants, inherits_links, resolve_hierarchy
 from .operators.numbering import chunked_key_stats, distinct_per_key

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,49 @@ from .operators.graph import Hypergraph, canonical_edges
 from .operators.retrieve import lookup, match_names, text_search
 from .plans.plan import Plan, dispatch, tokens_of
 from .plans.probe import blast_radius, probe
-from .sources.ingest import changes, extract_python, scan_directory
+from .sources.extract import extract
+from .sources.ingest import changes, scan_directory, split_errors
 from .sources.tours import TourStore
 
 
+DONE = "_DONE"  # marks a whole version
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of the cluster's own file API, so that shared and remote folders work like local ones."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, cache_dir: str) -> list[str]:
+    fs, path = _files(spark, cache_dir)
+    if not fs.exists(path):
+        return []
+    return sorted(n for n in (x.getPath().getName() for x in fs.listStatus(path)) if re.fullmatch(r"v\d{6,}", n))
+
+
+def _newest(spark: SparkSession, cache_dir: str) -> str | None:
+    """The last whole version."""
+    for name in reversed(_versions(spark, cache_dir)):
+        fs, path = _files(spark, f"{cache_dir}/{name}/{DONE}")
+        if fs.exists(path):
+            return name
+    return None
+
+
+CACHE, CACHE_VARIABLE = ".weftgraph", "WEFTGRAPH_CACHE"
+
+
+def find_cache(start: str, levels: int = 5) -> str | None:
+    """The cache folder in ``start`` or one of its ``levels`` parents."""
+    here = os.path.abspath(start)
+    for _ in range(levels + 1):
+        if os.path.isdir(os.path.join(here, CACHE)):
+            return os.path.join(here, CACHE)
+        here = os.path.dirname(here)
+    return None
+
+
 class GraphSession:
     def __init__(self, spark: SparkSession, edges: DataFrame, cache_dir: str):
         self.spark, self.graph, self.cache_dir = spark, Hypergraph(edges), cache_dir
@@ -22,28 +62,44 @@ class GraphSession:
 
     @classmethod
     def load(cls, spark: SparkSession, cache_dir: str) -> GraphSession:
-        return cls(spark, spark.read.parquet(f"{cache_dir}/edges"), cache_dir)
+        found = _newest(spark, cache_dir)
+        if found is None:
+            raise FileNotFoundError(f"no index below {cache_dir}")
+        return cls(spark, spark.read.parquet(f"{cache_dir}/{found}/edges"), cache_dir)
 
     @classmethod
     def index(cls, spark: SparkSession, root: str, cache_dir: str) -> GraphSession:
-        """Read a folder, extract edges of files that are new or changed since the last run, keep the others' edges, drop those of deleted files."""
-        docs = scan_directory(spark, root)
-        manifest, edges = f"{cache_dir}/manifest", f"{cache_dir}/edges"
-        if os.path.exists(manifest):
-            old = spark.read.parquet(manifest)
-            status = changes(old, docs)
+        """Read a folder, extract edges of files that are new or changed since the last run, keep the others' edges, drop those of deleted files.
+
+        Edges and manifest are written as one new version beside the old ones, which counts once its mark is there; so a crash between the writes leaves the last whole version in force. Older versions are then deleted, but for the last.
+        Files that cannot be read keep no edges; see ``errors``.
+        """
+        docs, errors = split_errors(scan_directory(spark, root))
+        last = _newest(spark, cache_dir)
+        if last is not None:
+            status = changes(spark.read.parquet(f"{cache_dir}/{last}/manifest"), docs)
             fresh = docs.join(status.where("status in ('added', 'modified')"), "source_path", "left_semi")
-            kept = spark.read.parquet(edges).join(status.where("status = 'unchanged'"), "source_path", "left_semi")
-            new = canonical_edges(extract_python(fresh))
+            kept = spark.read.parquet(f"{cache_dir}/{last}/edges").join(status.where("status = 'unchanged'"), "source_path", "left_semi")
+            new = canonical_edges(extract(fresh))
             new = kept.unionByName(new.select(kept.columns))
         else:
-            new = canonical_edges(extract_python(docs))
-        for frame, path in ((new, edges), (docs.select("source_path", "markdown"), manifest)):
-            frame.write.mode("overwrite").parquet(f"{path}.next")
-        for path in (edges, manifest):
-            spark.read.parquet(f"{path}.next").write.mode("overwrite").parquet(path)
+            new = canonical_edges(extract(docs))
+        own = f"v{int(last[1:]) + 1 if last else 1:06d}"
+        for frame, name in ((new, "edges"), (docs.select("source_path", "markdown"), "manifest"), (errors, "errors")):
+            frame.write.mode("overwrite").parquet(f"{cache_dir}/{own}/{name}")
+        fs, path = _files(spark, f"{cache_dir}/{own}/{DONE}")
+        fs.create(path, True).close()
+        for name in _versions(spark, cache_dir):
+            if name < (last or own):
+                old_fs, old = _files(spark, f"{cache_dir}/{name}")
+                old_fs.delete(old, True)
         return cls.load(spark, cache_dir)
 
+    @property
+    def errors(self) -> DataFrame:
+        """(source_path, error) of files that could not be read."""
+        return self.spark.read.parquet(f"{self.cache_dir}/{_newest(self.spark, self.cache_dir)}/errors")
+
     @property
     def tours(self) -> TourStore:
         if self._tours is None:
@@ -61,7 +117,8 @@ class GraphSession:
 
     def stats(self) -> dict:
         row = self.graph.stats().head().asDict()
-        return row | {"hubs": self.graph.hubs().count()}
+        by_type = {r.edge_type: r.edges for r in self.graph.type_counts().collect()}  # one row a type
+        return row | {"hubs": self.graph.hubs().count(), "by_type": by_type}
 
     def overview(self, top: int = 10) -> dict:
         files = self.graph.edges.where("source_path <> ''").select("source_path").distinct().count()
@@ -96,3 +153,18 @@ class Registry:
 
     def listing(self) -> list[dict]:
         return [{"name": n, "active": n == self.active, **{k: s.stats()[k] for k in ("nodes", "edges")}} for n, s in self.sessions.items()]
+
+    def resolve(self, spark: SparkSession, path: str | None = None) -> GraphSession | None:
+        """The session for a call: that of an explicit path, else the active one, else that of the folder the environment names, else that of the working folder or a parent, else None. Sessions opened by path are kept."""
+        if path is None and self.active:
+            return self.sessions[self.active]
+        found = find_cache(path) if path else os.environ.get(CACHE_VARIABLE) or find_cache(os.getcwd())
+        if path and found is None and _newest(spark, path):
+            found = path
+        if not found or _newest(spark, found) is None:
+            return None
+        known = next((s for s in self.sessions.values() if s.cache_dir == found), None)
+        if known is None:
+            known = GraphSession.load(spark, found)
+            self.add(os.path.basename(os.path.dirname(found)) or found, known)
+        return known

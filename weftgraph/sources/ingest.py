@@ -25,16 +25,39 @@ def skipped(path: Column) -> Column:
     return F.exists(F.split(path, "/"), lambda x: x.isin(*SKIP_DIRS) | (x.startswith(".") & (x != ".") & (x != "..")))
 
 
-def scan_directory(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """(source_path, markdown, file_type, is_code, metadata) of all text files below ``root``; bytes that are no UTF-8 become replacement characters."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _decoded(content: pd.Series) -> pd.DataFrame:
+    """Bytes as UTF-8 text with replacement characters; what could not be read is an error."""
+    text, err = [], []
+    for b in content:
+        if b is None:
+            text.append(None)
+            err.append("unreadable")
+        else:
+            b = bytes(b)
+            text.append(b.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace"))
+            err.append(None)
+    return pd.DataFrame({"text": text, "err": err})
+
+
+def scan_directory(spark: SparkSession, root: str, extensions: list[str] | None = None, most_bytes: int = 50_000_000) -> DataFrame:
+    """(source_path, markdown, file_type, is_code, metadata, error) of all text files below ``root``, by path; bytes that are no UTF-8 become replacement characters.
+
+    A file that cannot be read as a whole comes out with NULL text and an error instead of failing the scan: corrupt or vanished files, and those over ``most_bytes``, which are never loaded.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(root)
     prefix = F.lit(root.rstrip("/") + "/")
     rel = F.split_part("path", prefix, F.lit(-1))
-    ext = extension(rel)
     wanted = [e.lower().lstrip(".") for e in extensions] if extensions else [*CODE_EXTENSIONS, *TEXT_EXTENSIONS]
-    x = raw.withColumn("rel", rel).where(~skipped(F.col("rel")) & ext.isin(*wanted))
-    text = F.udf(lambda b: b.decode("utf-8", "replace"), "string") if False else F.decode(F.col("content"), "UTF-8")
-    return x.select(F.col("rel").alias("source_path"), text.alias("markdown"), ext.alias("file_type"), ext.isin(*CODE_EXTENSIONS).alias("is_code"), F.struct(F.substring_index("rel", "/", -1).alias("filename"), F.col("length").alias("size_bytes")).alias("metadata"))
+    x = listed.withColumn("rel", rel).withColumn("ext", extension(F.col("rel"))).where(~skipped(F.col("rel")) & F.col("ext").isin(*wanted))
+    shape = [F.col("rel").alias("source_path"), F.col("text").alias("markdown"), F.col("ext").alias("file_type"), F.col("ext").isin(*CODE_EXTENSIONS).alias("is_code"), F.struct(F.substring_index("rel", "/", -1).alias("filename"), F.col("length").alias("size_bytes")).alias("metadata"), F.col("err").alias("error")]
+    read = x.where(F.col("length") <= most_bytes).withColumn("t", F.pandas_udf(_decoded, "struct<text:string,err:string>")(F.col("content"))).select("rel", "ext", "length", "t.text", "t.err").select(*shape)
+    large = x.where(F.col("length") > most_bytes).select("rel", "ext", "length", F.lit(None).cast("string").alias("text"), F.lit("too large").alias("err")).select(*shape)
+    return read.unionByName(large)
+
+
+def split_errors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(readable documents, (source_path, error) of the others)."""
+    return docs.where("error is null"), docs.where("error is not null").select("source_path", "error")
 
 
 def fixed_windows(docs: DataFrame, id_col: str, text_col: str, size: int = 2000, overlap: int = 200) -> DataFrame:
@@ -54,6 +77,47 @@ def markdown_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return x.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select(id_col, "pos", F.coalesce(F.nullif(F.trim(head), F.lit("")), F.lit("__top__")).alias("heading"), "text")
 
 
+def packed_paragraphs(text: Column, limit: int = 2000) -> Column:
+    """A text as pieces of whole paragraphs, filled from the left up to ``limit`` characters; a longer paragraph is a piece of its own."""
+    parts = F.filter(F.split(text, r"\n\s*\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"))
+    full = lambda a, x: F.length(a["last"]) + F.length(x) + 2 > limit
+    fold = F.aggregate(
+        parts, start,
+        lambda a, x: F.when(a["last"].isNull(), F.struct(a["done"].alias("done"), x.alias("last"))).when(full(a, x), F.struct(F.array_append(a["done"], a["last"]).alias("done"), x.alias("last"))).otherwise(F.struct(a["done"].alias("done"), F.concat(a["last"], F.lit("\n\n"), x).alias("last"))),
+        lambda a: F.when(a["last"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["last"])),
+    )
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(fold)
+
+
+def chunk_documents(docs: DataFrame, limit: int = 2000) -> DataFrame:
+    """(source_path, start, symbol, kind, text, chunk_id) of documents (source_path, markdown): Python by definitions, Markdown and other text by headings with long sections packed by paragraphs, other code, and whatever those two find nothing in, by fixed windows.
+
+    NULL, empty and blank documents give no chunks. ``start`` is a line for Python, the section's number for text, and a character for windows. Pieces over ``limit`` (one paragraph, one function) stay whole.
+    """
+    d = docs.select("source_path", "markdown").where(F.length(F.trim(F.col("markdown"))) > 0)
+    ext = extension(F.col("source_path"))
+    py, code = d.where(ext == "py"), d.where(ext.isin(*CODE_EXTENSIONS) & (ext != "py"))
+    prose = d.where(~ext.isin(*CODE_EXTENSIONS))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, text in zip(f["source_path"], f["markdown"]):
+                lines = text.split("\n")
+                found = [(path, a, name, kind, "\n".join(lines[a - 1 : z])) for name, kind, a, z in python_chunks(text)]
+                rows.extend(found or [(path, None, None, None, text)])  # nothing to cut at: by windows below
+            yield pd.DataFrame(rows, columns=["source_path", "start", "symbol", "kind", "text"]).astype({"start": "Int32"})
+
+    cut = py.mapInPandas(run, "source_path string, start int, symbol string, kind string, text string")
+    sections = markdown_sections(prose, "source_path", "markdown")
+    packed = sections.select("source_path", F.col("pos").alias("start"), F.col("heading").alias("symbol"), F.lit("section").alias("kind"), F.explode(packed_paragraphs(F.col("text"), limit)).alias("text"))
+    plain = code.unionByName(cut.where("start is null").select("source_path", F.col("text").alias("markdown")))
+    windows = fixed_windows(plain, "source_path", "markdown", limit, limit // 10).select("source_path", F.col("start").cast("int").alias("start"), F.lit(None).cast("string").alias("symbol"), F.lit("window").alias("kind"), "text")
+    every = cut.where("start is not null").unionByName(packed).unionByName(windows)
+    return every.withColumn("chunk_id", F.substring(F.md5(F.concat_ws(":", "source_path", F.col("start").cast("string"), F.md5("text"))), 1, 16))
+
+
 def python_chunks(source: str) -> list[tuple[str, str, int, int]]:
     """(symbol, kind, first line, last line): the preamble, each function, class and method; none for source that does not parse."""
     try:

@@ -30,6 +30,17 @@ def list_tours(tours: DataFrame, tag: str | None = None, promoted: bool | None =
     return tours.orderBy(F.desc("created_at"), "id")
 
 
+def select_tours(tours: DataFrame, tags: list[str] | None = None, ids: list[str] | None = None) -> DataFrame:
+    """Tours with their place (pos): those of the given ids whatever their status; else the active ones of the given tags, by the first tag that they have; else all active ones (place 0)."""
+    if ids:
+        return tours.where(F.col("id").isin(*ids)).withColumn("pos", (F.array_position(F.array(*map(F.lit, ids)), F.col("id")) - 1).cast("int"))
+    live = tours.where("status = 'active'")
+    if not tags:
+        return live.withColumn("pos", F.lit(0))
+    has = [F.when(F.array_contains("tags", t), i) for i, t in enumerate(tags)]
+    return live.withColumn("pos", F.coalesce(*has)).where("pos is not null")
+
+
 def append_steps(tour_steps: DataFrame, new: DataFrame) -> DataFrame:
     """Steps (id, node, …) of ``new`` whose node the tour lacks; the first of repeated ones by pos."""
     fresh = new.join(tour_steps.select("id", "node").distinct(), ["id", "node"], "left_anti")
@@ -50,8 +61,10 @@ class TourStore:
             self.active = data.get("active") if data.get("active") in self.tours else None
 
     def _save(self) -> None:
-        with open(self.path, "w", encoding="utf-8") as f:
+        beside = f"{self.path}.{uuid.uuid4().hex}"  # written whole, then renamed, so a crash leaves the old file
+        with open(beside, "w", encoding="utf-8") as f:
             json.dump({"version": 1, "active": self.active, "tours": list(self.tours.values())}, f, ensure_ascii=False, indent=1)
+        os.replace(beside, self.path)
 
     def add(self, name: str, steps: list[dict], **fields) -> dict:
         now = datetime.now(timezone.utc).isoformat()
@@ -71,6 +84,22 @@ class TourStore:
         self._save()
         return found
 
+    def clear(self) -> int:
+        n = len(self.tours)
+        self.tours, self.active = {}, None
+        self._save()
+        return n
+
+    def annotate(self, tour_id: str, node: str, text: str) -> int:
+        """Put ``text`` on the steps of a node; how many there were."""
+        n = 0
+        for s in self.tours[tour_id]["steps"]:
+            if s["node"] == node:
+                s["text"] = text
+                n += 1
+        self._save()
+        return n
+
     def promote(self, tour_id: str) -> None:
         self.tours[tour_id]["promoted"] = True
         self._save()
