@@ -12,7 +12,7 @@ from .functions.names import clean_nodes, clean_type, normalise_node
 from .operators import retrieve as rt
 from .operators import traverse as tv
 from .operators.graph import Hypergraph, canonical_edges, specificity, type_weight
-from .runtime import table
+from .runtime import exists, materialize, stamp, table
 from .sources import ingest as ing
 from .sources import tours as to
 
@@ -56,8 +56,15 @@ def base(rest: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{BASE}{rest if rest.startswith(',') else ' ' + rest}"
 
 
+_graphs: dict[tuple, Hypergraph] = {}
+
+
 def graph(spark: SparkSession, sf: str) -> Hypergraph:
-    return Hypergraph(canonical_edges(table(spark, sf, "hyperedges")))
+    """The graph of a folder's table: the canonical edges are written once per application and version of the table, and every query reads that."""
+    key = (spark.sparkContext.applicationId, stamp(spark, f"{sf}/hyperedges.parquet"))
+    if key not in _graphs or not exists(spark, _graphs[key].edges._weft_path):
+        _graphs[key] = Hypergraph(materialize(canonical_edges(table(spark, sf, "hyperedges")), "edges"))
+    return _graphs[key]
 
 
 def words(spark: SparkSession, *names: str) -> DataFrame:

@@ -23,10 +23,34 @@ def shared_dir(spark: SparkSession) -> str:
     return own[0]
 
 
+def files(spark: SparkSession, path: str):
+    """(file system, path) of the cluster's own file API, so that shared and remote folders work like local ones."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = files(spark, path)
+    return fs.exists(p)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if there is no such folder."""
+    fs, p = files(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = files(spark, path)
+    fs.delete(p, True)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """(path, length, latest change) of a table's files: it differs after any rewrite."""
+    fs, p = files(spark, path)
+    one = fs.getFileStatus(p)
+    found = [one] if one.isFile() else list(fs.listStatus(p))
+    return path, sum(x.getLen() for x in found), max([one.getModificationTime(), *(x.getModificationTime() for x in found)])
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
@@ -49,6 +73,9 @@ def release(df: DataFrame) -> None:
     path = getattr(df, "_weft_path", None)
     if path:
         _delete(df.sparkSession, path)
+        kept = _written.get(df.sparkSession.sparkContext.applicationId, [])
+        if path in kept:
+            kept.remove(path)
 
 
 def release_all(spark: SparkSession) -> None:

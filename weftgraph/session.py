@@ -12,6 +12,7 @@ from .operators.graph import Hypergraph, canonical_edges
 from .operators.retrieve import lookup, match_names, text_search
 from .plans.plan import Plan, dispatch, tokens_of
 from .plans.probe import blast_radius, probe
+from .runtime import children, exists, files
 from .sources.extract import extract
 from .sources.ingest import changes, scan_directory, split_errors
 from .sources.tours import TourStore
@@ -20,24 +21,14 @@ from .sources.tours import TourStore
 DONE = "_DONE"  # marks a whole version
 
 
-def _files(spark: SparkSession, path: str):
-    """(file system, path) of the cluster's own file API, so that shared and remote folders work like local ones."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def _versions(spark: SparkSession, cache_dir: str) -> list[str]:
-    fs, path = _files(spark, cache_dir)
-    if not fs.exists(path):
-        return []
-    return sorted(n for n in (x.getPath().getName() for x in fs.listStatus(path)) if re.fullmatch(r"v\d{6,}", n))
+    return [n for n in children(spark, cache_dir) if re.fullmatch(r"v\d{6,}", n)]
 
 
 def _newest(spark: SparkSession, cache_dir: str) -> str | None:
     """The last whole version."""
     for name in reversed(_versions(spark, cache_dir)):
-        fs, path = _files(spark, f"{cache_dir}/{name}/{DONE}")
-        if fs.exists(path):
+        if exists(spark, f"{cache_dir}/{name}/{DONE}"):
             return name
     return None
 
@@ -87,11 +78,11 @@ class GraphSession:
         own = f"v{int(last[1:]) + 1 if last else 1:06d}"
         for frame, name in ((new, "edges"), (docs.select("source_path", "markdown"), "manifest"), (errors, "errors")):
             frame.write.mode("overwrite").parquet(f"{cache_dir}/{own}/{name}")
-        fs, path = _files(spark, f"{cache_dir}/{own}/{DONE}")
+        fs, path = files(spark, f"{cache_dir}/{own}/{DONE}")
         fs.create(path, True).close()
         for name in _versions(spark, cache_dir):
             if name < (last or own):
-                old_fs, old = _files(spark, f"{cache_dir}/{name}")
+                old_fs, old = files(spark, f"{cache_dir}/{name}")
                 old_fs.delete(old, True)
         return cls.load(spark, cache_dir)
 

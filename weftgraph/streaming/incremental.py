@@ -6,25 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import canonical_edges
+from ..runtime import children, exists, materialize, release
 
 
 def edge_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.readStream.schema(like.schema).parquet(path)
 
 
+BUCKETS = 256
+
+
 def ingest(stream: DataFrame, out: str, checkpoint: str):
-    """Start a query that appends new canonical edges to ``out``. A batch is written to its own folder by batch id, so a repeated batch overwrites itself and no edge_id is stored twice."""
+    """Start a query that appends new canonical edges to ``out``. A batch is written to its own folder by batch id, so a repeated batch overwrites itself and no edge_id is stored twice.
+
+    Edges lie in BUCKETS folders by the hash of their id, and a batch is held against the ids of its own buckets only.
+    """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        edges = canonical_edges(batch)
-        try:
-            known = spark.read.parquet(out).where(F.col("batch") != batch_id).select("edge_id")
-            edges = edges.join(known, "edge_id", "left_anti")
-        except Exception as e:  # noqa: BLE001 - the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        edges.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        edges = materialize(canonical_edges(batch).withColumn("bucket", F.pmod(F.xxhash64("edge_id"), F.lit(BUCKETS)).cast("int")), "batch")
+        if exists(spark, out) and any(name != f"batch={batch_id}" for name in children(spark, out)):
+            own = [r[0] for r in edges.select("bucket").distinct().collect()]  # at most BUCKETS
+            known = spark.read.parquet(out).where((F.col("batch") != batch_id) & F.col("bucket").isin(own)).select("edge_id")
+            fresh = edges.join(known, "edge_id", "left_anti")
+        else:
+            fresh = edges
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={batch_id}")
+        release(edges)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
