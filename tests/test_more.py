@@ -279,3 +279,60 @@ def test_compact_drawing(spark):
     g = _edges(spark, [("CALLS", ["a"], ["b"]), ("ODD", ["b"], ["c"]), ("INHERITS", ["z"], ["a"])])
     nodes, edges, files = views.compact(spark.createDataFrame([("a",), ("b",), ("c",)], "node string"), views.full_edges(g))
     assert {(r.node, r.idx) for r in nodes.collect()} == {("a", 0), ("b", 1), ("c", 2)} and {tuple(r) for r in edges.collect()} == {(0, 1, 0, 0), (1, 2, 0, 1)} and files.count() == 2
+
+
+def test_context_text(spark):
+    g = _edges(spark, [("CALLS", ["a"], ["b"]), ("CALLS", ["b"], ["c"]), ("CALLS", ["x"], ["y"])])
+    s = spark.createDataFrame([("e0", 0.9, "seed"), ("e1", 0.5, "intersection"), ("e2", 0.1, "seed")], "edge_id string, score double, retrieval_source string")
+    t = rt.assemble_context(g, "q", s, [["e0", "e1"]], 0.5)
+    assert "Coverage: 0.50" in t and "2 seed, 1 intersection" in t and "through b" in t and "HIGH" in t and t.index("MED") < t.index("Other edges") < t.index("LOW")
+
+
+def test_hashed_vectors_and_encoders(spark):
+    n = spark.createDataFrame([("open_ledger",), ("ledger.open",), ("zebra",), ("--",)], "node string")
+    v = {r.node: r.embedding for r in rt.hashed_vectors(n, 128).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
+    assert abs(cos("zebra", "zebra") - 1) < 1e-9 and cos("open_ledger", "ledger.open") > 0.99 > 0.5 > cos("open_ledger", "zebra") and not any(v["--"])
+    assert {r.node: r.embedding for r in rt.hashed_vectors(n, encoder=lambda texts: [[3.0, 4.0] for _ in texts]).collect()}["zebra"] == [0.6, 0.8]
+
+
+def test_highlight_and_places(spark):
+    df = spark.createDataFrame([("call core.open_all then open_all, not reopen_all or get",)], "t string")
+    assert df.select(views.highlight(F.col("t"), ["core.open_all", "get"])).head()[0] == "call <strong class='tc'>core.open_all</strong> then <strong class='tc'>open_all</strong>, not reopen_all or get"
+    assert df.select(views.highlight(F.col("t"), ["get"])).head()[0] == df.head()[0]
+    nodes = spark.createDataFrame([(f"n{i}", "hot" if i % 3 else "few") for i in range(300)], "node string, grp string")
+    placed = spark.createDataFrame([("n1", 100.0, 0.0), ("n2", 300.0, 0.0)], "node string, x double, y double")
+    got = {r.node: (r.x, r.y) for r in views.place_rest(nodes, placed).collect()}
+    assert len(got) == 300 and got["n1"] == (100.0, 0.0) and all(abs(x - 200) <= 90 and abs(y) <= 90 for n, (x, y) in got.items() if int(n[1:]) % 3 and n not in ("n1", "n2"))
+    assert [r.node for r in views.most_important(spark.createDataFrame([("a", 1), ("b", 5), ("c", 5)], "node string, importance int"), 2).collect()] == ["b", "c"]
+
+
+def test_summaries(spark):
+    from weftgraph.sources.summaries import file_prompts, named_entities, summarise
+
+    g = _edges(spark, [("CALLS", [f"a{i}"], ["b"]) for i in range(120)] + [("SUMMARY", ["f1"], ["x"])])
+    assert {(r.source_path, len(r.lines)) for r in file_prompts(g.edges).collect()} == {("f0.py", 30), ("f1.py", 30), ("f2.py", 30)}
+
+    def model(path, lines):
+        if path == "f2.py":
+            raise RuntimeError("no answer")
+        return "It does things.\nKEY ENTITIES: `Alpha`, beta.run, Alpha"
+
+    got = [(r.source_path, r.targets, r.edge_type) for r in summarise(g.edges, model).collect()]
+    done = g.edges.where("edge_type = 'SUMMARY'").head().source_path
+    assert sorted(got) == sorted((p, ["Alpha", "beta.run"], "SUMMARY") for p in {"f0.py", "f1.py"} - {done})
+    assert {r.source_path for r in summarise(g.edges, model, force=True).collect()} == {"f0.py", "f1.py"}
+    texts = spark.createDataFrame([("Uses SessionPool and core.open, then SessionPool.",), ("nothing here",), (None,)], "t string")
+    assert [r[0] for r in texts.select(named_entities(F.col("t"))).collect()] == [["SessionPool", "core.open"], [], None]
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from weftgraph.__main__ import main
+
+    (tmp_path / "a.py").write_text("def f():\n    g()\n")
+    assert main(["index", str(tmp_path)], spark) == 0 and '"edges": 2' in capsys.readouterr().out
+    monkeypatch.chdir(tmp_path)
+    assert main(["lookup", "a.f", "--calls"], spark) == 0 and "a.f calls g" in capsys.readouterr().out
+    assert main(["search", "g", "--json"], spark) == 0 and main(["stats"], spark) == 0 and "by_type" in capsys.readouterr().out
+    monkeypatch.chdir("/")
+    assert main(["stats"], spark) == 1

@@ -83,7 +83,7 @@ def text_search(g: Hypergraph, terms: Sequence[str], limit: int = 20) -> DataFra
     low, stem = F.lower("node"), last_segment(F.lower("node"))
 
     def best(by) -> Column:
-        return F.least(*[by(t) for t in terms], F.lit(99))
+        return F.least(*[by(t) for t in terms], F.lit(99), F.lit(99))  # no terms match nothing
 
     node = best(lambda t: F.when(stem == t, 1).when(low.startswith(t), 2).when(low.contains(t), 3).otherwise(99))
     nodes = d.select(F.col("node").alias("entry"), F.lit("node").alias("kind"), node.alias("quality"))
@@ -192,6 +192,49 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 0.7, "HIGH").when(score >= 0.4, "MED").otherwise("LOW")
 
 
+def assemble_context(g: Hypergraph, query: str, scored: DataFrame, paths: Sequence[Sequence[str]], score: float, more: int = 10, most: int = 500) -> str:
+    """A result as text: coverage and provenance, each path edge by edge with its confidence and what ties it to the next, then the ``more`` best other edges. ``scored``: edge_id, score, retrieval_source; at most ``most`` edges are told of."""
+    rows = scored.orderBy(F.desc("score"), "edge_id").limit(most).join(g.edges.select("edge_id", "edge_type", "relation", "source_path", "all_nodes"), "edge_id").withColumn("tier", confidence(F.col("score"))).collect()
+    by, sources = {r.edge_id: r for r in rows}, [r.retrieval_source for r in rows]
+    say = lambda r: f"{r.edge_type}: {r.relation} [{r.retrieval_source}, {r.score:.2f}, {r.tier}] {r.source_path}"
+    lines = [f"Query: {query}", f"Coverage: {score:.2f}", f"Edges: {sources.count('seed')} seed, {sources.count('intersection')} intersection"]
+    told: set[str] = set()
+    for n, path in enumerate(paths, 1):
+        lines += ["", f"Path {n}"]
+        known = [by[e] for e in path if e in by]
+        for r, after in zip(known, [*known[1:], None]):
+            told.add(r.edge_id)
+            lines.append(f"  {say(r)}")
+            if after is not None:
+                lines.append(f"    through {', '.join(sorted(set(r.all_nodes) & set(after.all_nodes)))}")
+    rest = [r for r in sorted(rows, key=lambda r: (-r.score, r.edge_id)) if r.edge_id not in told][:more]
+    return "\n".join(lines + (["", "Other edges"] + [f"  {say(r)}" for r in rest] if rest else []))
+
+
+def hashed_vectors(names: DataFrame, size: int = 64, encoder=None) -> DataFrame:
+    """(node, embedding) of unit length for (node). Without an ``encoder`` the parts of a name and their runs of three letters are counted into ``size`` hashed places; an encoder takes a list of texts and gives a list of vectors, and is called on batches of 64 in the workers. A name without parts gets zeros."""
+    if encoder is None:
+        parts = F.filter(F.split(F.lower(F.regexp_replace("node", r"(?<=[a-z0-9])(?=[A-Z])", "_")), r"[^a-z0-9]+"), lambda x: x != "")
+        grams = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > 3, F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))).otherwise(F.array(p))))
+        places = F.transform(F.concat(parts, grams), lambda x: F.pmod(F.xxhash64(x), F.lit(size)).cast("int"))
+        counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda x: x == i)).cast("double"))
+        x = names.select("node", counts.alias("c")).withColumn("n", F.sqrt(dot(F.col("c"), F.col("c"))))
+        return x.select("node", F.transform("c", lambda v: v / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).alias("embedding"))
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for lo in range(0, len(f), 64):
+                v = np.asarray(encoder(f["node"].iloc[lo : lo + 64].tolist()), dtype=np.float64)
+                out.extend((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).tolist())
+            yield pd.DataFrame({"node": f["node"], "embedding": out})
+
+    return names.select("node").mapInPandas(run, "node string, embedding array<double>")
+
+
 def edge_scores(g: Hypergraph, node_scores: DataFrame, k: int, alpha: float = 0.6) -> DataFrame:
     """Edges on scored nodes: precision = mean score x sqrt(matched / size), coverage = matched / k, score = (alpha precision + (1 - alpha) coverage) x type weight."""
     size = g.edges.select("edge_id", "edge_type", F.size("all_nodes").alias("size"))

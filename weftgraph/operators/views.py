@@ -65,6 +65,34 @@ def radius(importance):
     return F.when(importance >= 30, 10.0).when(importance >= 15, 7.0).when(importance >= 5, 4.5).otherwise(2.5)
 
 
+def highlight(text, symbols: Sequence[str], generic: Sequence[str] = ()):
+    """Text with the given symbols (and the last segments of dotted ones) set off, the longest first; those of 3 characters or fewer and ``generic`` ones are left alone. Symbols are a screen's worth."""
+    names = {x for s in symbols for x in (s, s.rsplit(".", 1)[-1]) if len(x) > 3} - set(generic)
+    if not names:
+        return text
+    quoted = "|".join("\\Q" + x.replace("\\E", "\\E\\\\E\\Q") + "\\E" for x in sorted(names, key=lambda x: (-len(x), x)))
+    return F.regexp_replace(text, rf"(?<![<\w.])(?:{quoted})(?![>\w])", "<strong class='tc'>$0</strong>")
+
+
+def most_important(nodes: DataFrame, n: int = SHOWN) -> DataFrame:
+    """The ``n`` nodes (node, importance) to lay out where there are more, ties by name."""
+    return nodes.orderBy(F.desc("importance"), "node").limit(n)
+
+
+def place_rest(nodes: DataFrame, placed: DataFrame) -> DataFrame:
+    """(node, x, y) of all nodes (node, grp): those of ``placed`` (node, x, y; at most SHOWN) stay, the others lie around the middle of their group's placed nodes (the origin where it has none), in a disc that grows with the group.
+
+    Angle and distance come from hashes of the name, so a group with most of the nodes needs no order within it.
+    """
+    known = F.broadcast(placed.select("node", "x", "y"))
+    x = nodes.select("node", "grp").join(known, "node", "left")
+    per = x.groupBy("grp").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("n"))
+    part = lambda k: F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(1 << 30)) / float(1 << 30)
+    angle, far = 2 * 3.141592653589793 * part(1), F.sqrt(part(2)) * (20 + 4 * F.sqrt("n"))
+    y = x.join(per, "grp")
+    return y.select("node", F.round(F.coalesce("x", F.coalesce("cx", F.lit(0.0)) + far * F.cos(angle)), 2).alias("x"), F.round(F.coalesce("y", F.coalesce("cy", F.lit(0.0)) + far * F.sin(angle)), 2).alias("y"))
+
+
 def full_edges(g: Hypergraph) -> DataFrame:
     """(source, target, edge_type, file): every pair that an edge of any type ties, once per type, with the first file in order; no loops."""
     a = g.arcs.where("src <> dst")
