@@ -336,3 +336,13 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert main(["search", "g", "--json"], spark) == 0 and main(["stats"], spark) == 0 and "by_type" in capsys.readouterr().out
     monkeypatch.chdir("/")
     assert main(["stats"], spark) == 1
+
+
+def test_plan_folding_and_seeds(spark):
+    files = [(f"a/core/f{i}.py", 2) for i in range(5)] + [(f"a/misc/f{i}.py", 1 + i % 2) for i in range(3)] + [("a/tests/x.py", 1), ("b/", 2), ("b/in.py", 1), ("b/deep/in.py", 1), ("top.py", 1), (None, 1)]
+    got = {r.source_path: (r.priority, r.n) for r in rt.collapse_plan(spark.createDataFrame(files, "source_path string, priority int"), ["core"]).collect()}
+    assert got == {"a/core/": (1, 5), "a/misc/": (3, 3), "a/tests/x.py": (3, 1), "b/": (2, 1), "b/deep/in.py": (1, 1), "top.py": (1, 1)}
+    g = _edges(spark, [("CALLS", ["a"], ["b"]), ("CALLS", ["t"], ["u"])])
+    g.edges = g.edges.withColumn("source_path", F.when(F.array_contains("all_nodes", "t"), "tests/t.py").otherwise("src/a.py"))
+    names = spark.createDataFrame([("t", 0.9), ("a", 0.5), ("b", 0.1)], "node string, specificity double")
+    assert [r.node for r in rt.rank_seeds(g, names, 2).collect()] == ["a", "b"] and [r.node for r in rt.rank_seeds(g, names).collect()] == ["a", "b", "t"]

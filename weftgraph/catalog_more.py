@@ -190,3 +190,32 @@ def t6_scaffold_nodes(spark, sf):
 
     g = graph(spark, sf)
     return scaffold(Plan(_CALLER, *rt.lookup(g, words(spark, _CALLER)))).select("node")
+
+
+@q(base(r""", f AS (SELECT path, min(CASE WHEN edge_type IN ('DEFINES', 'CALLS') THEN 1 ELSE 2 END) AS priority FROM e WHERE path <> '' GROUP BY 1), g AS (SELECT CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '.' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS dir, path, priority FROM f),
+c AS (SELECT dir, count(*) AS n, min(priority) AS best FROM g GROUP BY 1 HAVING count(*) >= 3),
+x AS (SELECT dir || '/' AS source_path, CASE WHEN contains(lower(list_last(string_split(dir, '/'))), 'core') AND n >= 5 THEN 1 WHEN contains(lower(list_last(string_split(dir, '/'))), 'core') OR n >= 7 THEN 2 ELSE greatest(best, 3) END AS priority, n FROM c UNION ALL SELECT path, priority, 1 FROM g WHERE dir NOT IN (SELECT dir FROM c))
+SELECT source_path, n, CAST(priority + CASE WHEN len(list_filter(string_split(lower(source_path), '/'), lambda v: v IN ('tests', 'test') OR starts_with(v, 'test_'))) > 0 OR ends_with(lower(source_path), '_test.py') OR list_last(string_split(lower(source_path), '/')) IN ('conftest.py', 'testing.py') THEN 2 ELSE 0 END AS INT) AS priority FROM x"""))
+def r8_collapse_plan(spark, sf):
+    """All files of the graph folded as a plan's files are."""
+    e = graph(spark, sf).edges.where("source_path <> ''")
+    files = e.groupBy("source_path").agg(F.min(F.when(F.col("edge_type").isin("DEFINES", "CALLS"), 1).otherwise(2)).alias("priority"))
+    return rt.collapse_plan(files, ["core"])
+
+
+@q(base(", x AS (SELECT path, dst, min(seq) AS mn FROM a WHERE edge_type = 'DEFINES' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY mn, dst) AS k, count(*) OVER (PARTITION BY path) AS n FROM x), d5 AS (SELECT path, string_agg(string_split(dst, '.')[-1], ', ' ORDER BY k) || CASE WHEN max(n) > 5 THEN ' (+' || (max(n) - 5) || ' more)' ELSE '' END AS description FROM r WHERE k <= 5 GROUP BY 1), sm AS (SELECT path, arg_min(relation, (seq, edge_id)) AS relation FROM e WHERE edge_type = 'SUMMARY' AND path <> '' GROUP BY 1) SELECT coalesce(sm.path, d5.path) AS source_path, coalesce(sm.relation, d5.description) AS description FROM d5 FULL JOIN sm ON d5.path = sm.path"))
+def a10_module_descriptions(spark, sf):
+    """What a file's summary says, else the names that it defines."""
+    from .catalog import agg_module_descriptions
+
+    sm = graph(spark, sf).edges.where("edge_type = 'SUMMARY' and source_path <> ''").groupBy("source_path").agg(F.min_by("relation", F.struct("seq", "edge_id")).alias("relation"))
+    return agg_module_descriptions(spark, sf).join(sm, "source_path", "full").select("source_path", F.coalesce("relation", "description").alias("description"))
+
+
+@q("WITH t AS (SELECT DISTINCT id, promoted, tags, steps FROM tours), s AS (SELECT id, unnest(steps) AS s FROM t) SELECT (SELECT count(DISTINCT id) FROM t) AS tours, (SELECT count(DISTINCT id) FROM t WHERE promoted) AS promoted, (SELECT count(*) FROM s) AS steps, (SELECT count(DISTINCT s.file) FROM s WHERE s.file <> '') AS files, (SELECT count(DISTINCT tag) FROM (SELECT unnest(tags) AS tag FROM t)) AS tags")
+def a14_tour_totals(spark, sf):
+    """One row: tours, promoted ones, steps, files that steps name, tags."""
+    t = table(spark, sf, "tours").select("id", "promoted", "tags", "steps").distinct()
+    per = t.agg(F.countDistinct("id").alias("tours"), F.countDistinct(F.when(F.col("promoted"), F.col("id"))).alias("promoted"))
+    s = t.select(F.explode("steps").alias("s")).agg(F.count(F.lit(1)).alias("steps"), F.countDistinct(F.nullif("s.file", F.lit(""))).alias("files"))
+    return per.join(s).join(t.select(F.explode("tags").alias("tag")).agg(F.countDistinct("tag").alias("tags")))  # one row each

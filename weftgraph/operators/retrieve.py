@@ -110,6 +110,36 @@ def collapse_directories(files: DataFrame, terms: Sequence[str], least: int = 3)
     return dirs.unionByName(rest)
 
 
+def collapse_plan(files: DataFrame, terms: Sequence[str], least: int = 3) -> DataFrame:
+    """The folding of a whole plan's files (source_path, priority): rows that are folders already ('dir/') stay and swallow the files right below them; other folders of ``least`` files or more become one row: priority 1 if a term is in
+    the folder's own name and it has 5 files, 2 if either that or 7 files, else the best of its files but 3 at least; then test paths come later by 2. Columns source_path, priority, n. Rows with a NULL path are left out."""
+    from ..functions.text import file_name, is_test_segment, parent_dir
+
+    base = files.where("source_path is not null")
+    folded = base.where(F.col("source_path").endswith("/")).groupBy("source_path").agg(F.min("priority").cast("int").alias("priority")).withColumn("n", F.lit(1).cast("long"))
+    x = base.where(~F.col("source_path").endswith("/")).withColumn("dir", F.coalesce(F.nullif(parent_dir(F.col("source_path")), F.lit("")), F.lit(".")))
+    x = x.join(folded.select(F.expr("left(source_path, length(source_path) - 1)").alias("dir")), "dir", "left_anti")
+    per = x.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), F.min("priority").alias("best")).where(F.col("n") >= least)
+    named = F.lit(False)
+    for t in terms:
+        named = named | F.lower(file_name(F.col("dir"))).contains(t)
+    rank = F.when(named & (F.col("n") >= 5), 1).when(named | (F.col("n") >= 7), 2).otherwise(F.greatest("best", F.lit(3))).cast("int")
+    dirs = per.select(F.concat("dir", F.lit("/")).alias("source_path"), rank.alias("priority"), "n")
+    rest = x.join(per.select("dir"), "dir", "left_anti").select("source_path", F.col("priority").cast("int").alias("priority"), F.lit(1).cast("long").alias("n"))
+    return folded.unionByName(dirs).unionByName(rest).withColumn("priority", F.col("priority") + F.when(is_test_segment(F.col("source_path")), 2).otherwise(0))
+
+
+def rank_seeds(g: Hypergraph, names: DataFrame, limit: int = 5, least: float = 0.25) -> DataFrame:
+    """The ``limit`` nodes a search starts from: of (node, specificity) those of ``least`` or more (all in a graph too small for specificity to tell), those of source files before those of tests, the most specific first, ties by name."""
+    from ..functions.text import is_test_segment
+    from .traverse import first_files
+
+    if g.edges.limit(50).count() >= 50:
+        names = names.where(F.col("specificity") >= least)
+    placed = names.join(first_files(g), "node", "left")
+    return placed.withColumn("late", is_test_segment(F.coalesce("source_path", F.lit("")))).orderBy("late", F.desc("specificity"), "node").limit(limit).select("node", "specificity")
+
+
 def dot(a: Column, b: Column) -> Column:
     pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)

@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LOOKUP_STOP, SEARCH_STOP, is_test_segment
+from ..functions.text import LOOKUP_STOP, SEARCH_STOP, is_test_segment, last_segment
 from ..operators.graph import Hypergraph
-from ..operators.retrieve import collapse_directories, grep_patterns, infer_edge_types, lookup, match_names, relate, score_names, text_search
+from ..operators.retrieve import collapse_plan, grep_patterns, infer_edge_types, lookup, match_names, rank_seeds, relate, score_names, text_search
 from ..operators.traverse import bfs
 
 _SPLIT = r"""[\s,;:!?(){}\[\]"'`/\\]+"""
@@ -107,22 +107,29 @@ def walk(g: Hypergraph, query: str, seeds: DataFrame, depth: int, direction: str
 
 
 def dispatch(g: Hypergraph, query: str, depth: int = 2, direction: str = "both", limit: int = 20) -> Plan:
-    """Tier 1 lookup with the specificity filter (from 50 edges on), tier 2 search from at most 5 specific names, tier 3 text search where asked for or nothing was found; folders collapsed, tests later by 2."""
+    """Tier 1 lookup with the specificity filter (from 50 edges on), tier 2 search from at most 5 specific names, tier 3 text search where asked for or nothing was found, its best nodes looked up and, where no word names a node, at most 3 of them followed one step; folders collapsed, tests later by 2."""
     words, types = tokens_of(query), infer_edge_types(query)
     classes = classify(g, query)
+    large = g.edges.limit(50).count() >= 50
     names = score_names(g, match_names(g, query, words))
-    if g.count() >= 50:
+    if large:
         names = names.where("specificity >= 0.25")
     files, symbols = lookup(g, names, types)
     plan = Plan(query, files, symbols, [1], classes)
-    seeds = names.orderBy(F.desc("specificity"), "node").limit(5)
+    seeds = rank_seeds(g, names)
     if not seeds.isEmpty():
         plan = plan.merge(walk(g, query, seeds, depth, direction, types, classes))
     if "text_search" in classes or plan.is_empty():
         found = text_search(g, tokens_of(query, SEARCH_STOP, 3), limit)
         paths = found.where("kind = 'path'").select(F.col("entry").alias("source_path"), F.lit(3).alias("priority"))
-        n_files, n_symbols = lookup(g, found.where("kind = 'node' and quality <= 2").select(F.col("entry").alias("node")).limit(5), types)
+        near = found.where("kind = 'node' and quality <= 2").select(F.col("entry").alias("node")).limit(5)
+        n_files, n_symbols = lookup(g, near, types)
         plan = plan.merge(Plan(query, paths.unionByName(n_files), n_symbols, [3], classes))
-    folded = collapse_directories(plan.files, tokens_of(query, SEARCH_STOP, 3, False))
-    late = folded.withColumn("priority", F.col("priority") + F.when(is_test_segment(F.col("source_path")), 2).otherwise(0)).drop("n")
+        if "identifier" not in classes:  # what the text search found is followed one step
+            token = last_segment(F.lower("node"))
+            of = score_names(g, near.join(g.degrees(), "node").select("node", token.alias("token"), "degree"))
+            starts = rank_seeds(g, of, 3)
+            if not starts.isEmpty():
+                plan = plan.merge(walk(g, query, starts, 1, direction, types, classes))
+    late = collapse_plan(plan.files, tokens_of(query, SEARCH_STOP, 3, False)).drop("n")
     return Plan(query, late, plan.symbols, plan.tiers, classes, ends=plan.ends)
