@@ -276,6 +276,15 @@ def test_brackets_are_placed_at_least_cost():
             assert cost(t) <= 1 or not any(cost(k) == 0 for k in near), t
 
 
+def test_a_new_chart_gives_the_same(monkeypatch):
+    from weftgraph.llm import syntax
+
+    texts = [(x, lang) for lang, xs in INVALID.items() for x in xs] + [(x, lang) for lang, xs in VALID.items() for x in xs]
+    want = [check_source(*t) for t in texts]
+    monkeypatch.setattr(syntax, "HELD", 0)
+    assert [check_source(*t) for t in texts] == want
+
+
 def test_quick_classes_are_the_classes():
     from weftgraph.llm.lexers import classes, quick_classes
 

@@ -233,7 +233,7 @@ _TEXTS = {  # strings and comments; every part begins with a fixed character
     "rust": rf"//[^\n]*|{_BLOCK}|(?:br(?<!\wbr)|r(?<!\wr))(?=#{{0,2}}(?P<quote>\"))(?:\"[^\"]*\"|#\"[\s\S]*?\"#|##\"[\s\S]*?\"##)|(?=(?P<other>[\"']))(?:\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\\n]|\\(?:u\{{\w+\}}|x\w\w|.))')",
 }
 _MARKS = {"quote": r"\g<quote>\g<quote>", "other": r"\g<other>\g<other>", "slash": r"\g<slash>\g<slash>", "line": r"\g<line>"}
-MOST_WORDS, MOST_LINES = 500_000, 200_000  # kept a language; then the table starts anew
+MOST_WORDS, MOST_LINES, WIDE = 200_000, 50_000, 400  # kept a language; then the table starts anew; wider lines are read each time
 
 
 class _Words(dict):
@@ -312,7 +312,9 @@ def quick_classes(lang: str, text: str) -> list[str] | None:
         for line in text.split("\n"):
             found = known.get(line)
             if found is None:
-                found = known[line] = _line(lang, line, token)
+                found = _line(lang, line, token)
+                if len(line) <= WIDE:
+                    known[line] = found
             put(found[0])
         return out
     go = lang == "go"
@@ -320,7 +322,9 @@ def quick_classes(lang: str, text: str) -> list[str] | None:
     for line in text.split("\n"):
         found = known.get(line)
         if found is None:
-            found = known[line] = _line(lang, line, token)
+            found = _line(lang, line, token)
+            if len(line) <= WIDE:
+                known[line] = found
         own, net, least, starts = found
         if not own:
             continue
@@ -357,7 +361,9 @@ def _quick_python(text: str, known: dict[str, tuple], token: re.Pattern) -> list
             wide = 0
             for ch in pad:
                 wide = wide + 1 if ch == " " else (wide // 8 + 1) * 8
-            found = known[line] = (*_line("python", bare, token), (wide, len(pad)))
+            found = (*_line("python", bare, token), (wide, len(pad)))
+            if len(line) <= WIDE:
+                known[line] = found
         own, net, least, _, here = found
         if not own:
             continue

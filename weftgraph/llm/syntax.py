@@ -28,7 +28,7 @@ _OPENS = frozenset(_CLOSE)
 _CLOSES = {v: k for k, v in _CLOSE.items()}
 # 0 ends a segment, 1 opens, a bracket closes that bracket
 _ROLE = {t: 0 for t in (";", "NL", "NEWLINE", ",")} | {t: 1 for t in _OPENS} | _CLOSES
-FULL = 400_000  # chart entries after which a worker starts a new chart
+FULL, HELD = 400_000, 48 << 20  # chart entries, and bytes of remembered sets of states, after which a worker starts a new chart of a language
 FAR = 1 << 29  # cost of what is not reached
 
 
@@ -291,6 +291,10 @@ class Levels:
         self.put: dict = {}
         self.ends: dict = {}
 
+    def held(self) -> int:
+        """Bytes of the sets remembered, about."""
+        return 2 * (len(self.moved) + len(self.put) + len(self.ends)) * (self.bytes + 32)
+
     def mask(self, states) -> int:
         v = np.zeros(8 * self.bytes, bool)
         v[list(states)] = True
@@ -394,7 +398,12 @@ class Chart:
         self.inside: dict[str, list[str]] = {}
         self.clear()
 
+    def full(self) -> bool:
+        return len(self.items) + len(self.moved) > FULL or sum(e.held() for e in self.levels.values()) > HELD
+
     def clear(self) -> None:
+        self.dfas.clear()
+        self.levels.clear()
         self.ids: dict = {}
         self.items: list = []  # id -> token class, ('g', bracket, content) or tuple of ids (a segment or content)
         self.moved: dict = {}
@@ -829,7 +838,7 @@ def check_source(text: str, lang: str, ready: dict[str, dict[str, Automaton]] |
     The kind follows from where the edits lie: on a line of a merge conflict; all over the file (mismatch); nowhere but at its end (truncation); at characters of no token; else local.
     """
     c = chart(lang, ready)
-    if len(c.items) + len(c.moved) > FULL:
+    if c.full():
         c.clear()
     found = quick_classes(lang, text)
     content = c.quick(found) if found is not None else None
