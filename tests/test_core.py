@@ -12,7 +12,7 @@ from weftgraph.operators import retrieve as rt
 from weftgraph.operators import traverse as tv
 from weftgraph.operators.graph import Hypergraph, canonical_edges
 from weftgraph.operators.hierarchy import descendants, inherits_links, resolve_hierarchy
-from weftgraph.operators.numbering import chunked_key_stats, distinct_per_key, number_rows
+from weftgraph.operators.numbering import chunked_key_stats, number_rows, with_distinct
 from weftgraph.sources import ingest as ing
 from weftgraph.sources.tours import TourStore
 
@@ -59,7 +59,7 @@ def test_numbering_null_keys_and_clashing_names(spark):
         number_rows(df.withColumn("__rank", F.lit(1)), ["k"])
     with pytest.raises(ValueError):
         chunked_key_stats(df, ["k"], chunk_rows=0)
-    assert distinct_per_key(df.union(df), ["k"], "i", "n").where("k is null").head().n == 2
+    assert with_distinct(df.select("k").distinct(), df.union(df), ["k"], "i", "n").where("k is null").head().n == 2
 
 
 # hierarchies

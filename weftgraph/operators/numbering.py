@@ -83,13 +83,14 @@ def chunked_key_stats(df: DataFrame, keys: Sequence[str], latest: str | None = N
     )
 
 
-def distinct_per_key(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Distinct non-NULL values per key. Pairs are reduced before the shuffle and spread by (key, value); counts are then combined map-side.
+def with_distinct(stats: DataFrame, df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """``stats`` (one row per key) with the number of distinct non-NULL values that each key has in ``df``, 0 for none.
 
-    Pairs travel as two pairs of 64-bit hashes instead of texts; the key's own text is kept once per key and partition.
+    Pairs of key and value are reduced before the shuffle and spread by both, so no key is hot; they travel as two pairs of 64-bit hashes instead of texts, and meet the key's text in ``stats`` only.
     """
-    h = [F.xxhash64(*keys).alias("__k"), F.xxhash64(F.lit(1), *keys).alias("__k2"), F.xxhash64(F.col(value)).alias("__v"), F.xxhash64(F.lit(1), F.col(value)).alias("__v2")]
-    some = df.where(F.col(value).isNotNull())
-    pairs = some.select(*h).distinct().groupBy("__k", "__k2").agg(F.count(F.lit(1)).alias(name))
-    named = some.select(*keys, *h[:2]).distinct()
-    return named.join(pairs, ["__k", "__k2"]).select(*keys, name)
+    h = lambda k: [F.xxhash64(*k), F.xxhash64(F.lit(1), *k)]
+    (k1, k2), (v1, v2) = h([F.col(k) for k in keys]), h([F.col(value)])
+    pairs = df.where(F.col(value).isNotNull()).select(k1.alias("__k"), k2.alias("__k2"), v1.alias("__v"), v2.alias("__v2")).distinct()
+    counts = pairs.groupBy("__k", "__k2").agg(F.count(F.lit(1)).alias("__n"))
+    out = stats.withColumn("__h", k1).withColumn("__h2", k2).join(counts, (F.col("__h") == F.col("__k")) & (F.col("__h2") == F.col("__k2")), "left")
+    return out.select(*stats.columns, F.coalesce("__n", F.lit(0)).alias(name))

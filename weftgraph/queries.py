@@ -12,7 +12,7 @@ from .catalog import SQL
 from . import catalog_more  # noqa: F401  registers its queries
 from .functions.names import clean_nodes
 from .operators.hierarchy import descendants, inherits_links, resolve_hierarchy
-from .operators.numbering import chunked_key_stats, distinct_per_key
+from .operators.numbering import chunked_key_stats, with_distinct
 from .runtime import table
 
 HEAVY = 0.05
@@ -38,10 +38,9 @@ def p2_key_stats(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["field", "key_value"]
     rows = key_rows(edges.withColumn("nodes", F.array_distinct(F.concat(clean_nodes(F.col("sources")), clean_nodes(F.col("targets"))))), "edge_id", "nodes", "loaded_at")
     stats = chunked_key_stats(rows.drop("nodes"), keys, latest="loaded_at", order=["loaded_at", "edge_id"])
-    n_edges = distinct_per_key(rows, keys, "edge_id", "n_edges")
     near = rows.select(*keys, F.explode("nodes").alias("near")).where("field <> 'targets' or near <> key_value")
-    out = stats.join(n_edges, keys, "left").join(distinct_per_key(near, keys, "near", "n_neighbours"), keys, "left")
-    return out.select(*keys, "n_rows", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("n_neighbours", F.lit(0)).alias("n_neighbours"), F.col("latest_loaded_at").alias("latest_load"))
+    out = with_distinct(with_distinct(stats, rows, keys, "edge_id", "n_edges"), near, keys, "near", "n_neighbours")
+    return out.select(*keys, "n_rows", "n_edges", "n_neighbours", F.col("latest_loaded_at").alias("latest_load"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
